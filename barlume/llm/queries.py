@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlume.llm.chat import rotate_perspectives
+from barlume.llm.jaccard_join import near_duplicates
 from barlume.llm.language_id import identify
 from barlume.llm.token_counts import count_tokens
 from barlume.llm.token_files import round_trip
@@ -44,12 +45,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(f"{n}.{z}",) for n in LISTED_NAMES for z in LISTED_ZONES], "domain string")
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(f"{n}.{z}") for n in LISTED_NAMES for z in LISTED_ZONES])).alias("domain"))
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, names)
 
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_url_filter": op8_url_filter,
     "op9_chat_perspectives": op9_chat_perspectives,
