@@ -1,14 +1,67 @@
-"""The corpus pipeline: documents through the stages in order, each over all that its predecessor kept."""
+"""The corpus pipeline: documents through the stages in order, each over all that its predecessor kept.
+
+Every stage but the last returns the columns of documents. What a stage decides takes effect on the rows it returns:
+unidentifiable and repeated and contaminated documents go, personal data is replaced, and the last stage gives the ids of
+each text that is left.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barlume.llm import decontamination, jaccard_join, language_id, pii, sentence_pieces
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Posterior below which a language counts as not identified.
+LEAST_POSTERIOR = 0.5
+#: The key of the surrogates; a deployment sets its own.
+PII_KEY = "corpus-pipeline"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose likeliest language is not likely enough, go."""
+    model = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"))), PIECES)
+    judged = language_id.predict(docs, model, keep=F.struct(*docs.columns))
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).select("kept.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    first = jaccard_join.near_duplicates(docs).filter("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    marked = decontamination.mark_contamination(docs, benchmark)
+    return docs.join(marked.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities get surrogates; n_chars follows the new text."""
+    clean = pii.replace_pii(docs, PII_KEY)
+    return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids) of every document."""
+    return sentence_pieces.encode_documents(docs, PIECES).select("doc_id", "lang", "source", "n_tokens", "ids")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", replace_personal_data),
+    ("sentence_pieces", encode_pieces),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # learning, surrogates and merges have no SQL; tests hold the stages against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
