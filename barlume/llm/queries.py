@@ -12,6 +12,8 @@ from barlume.llm.chat import rotate_perspectives
 from barlume.llm.decontamination import mark_contamination
 from barlume.llm.jaccard_join import near_duplicates
 from barlume.llm.language_id import identify
+from barlume.llm.pii import replace_pii
+from barlume.llm.sentence_pieces import decode, encode_documents
 from barlume.llm.token_counts import count_tokens
 from barlume.llm.token_files import round_trip
 from barlume.llm.topk import exact_top_k
@@ -34,6 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_documents(table(spark, sf_dir, "documents"), path)
+    back = decode(F.col("ids"), path).eqNullSafe(F.coalesce("text", F.lit("")))
+    return encoded.select("doc_id", "n_tokens", "ids", back.alias("decodes"))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"), "op2").select("doc_id", "n_entities", "kinds", "text")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
@@ -70,6 +83,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
