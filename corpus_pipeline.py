@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlume.llm import decontamination, jaccard_join, language_id, pii, sentence_pieces
+from barlume.llm.common import stage
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Posterior below which a language counts as not identified.
@@ -66,6 +67,7 @@ ORACLE_SQL = None  # learning, surrogates and merges have no SQL; tests hold the
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    *inner, (_, last) = STAGES
+    for name, step in inner:
+        docs = stage(step(spark, docs, sf_dir), name)  # written and reread: the next stage reads it more than once
+    return last(spark, docs, sf_dir)
