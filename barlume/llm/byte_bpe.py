@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterable
@@ -17,6 +18,24 @@ WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \t\n\r{L
 CUT = re.compile(rf"(?<=[!-~{LETTERS}]) (?=[{LETTERS}])")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself if it prints, else one of those from 256 on."""
+    prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+class Numbered(dict):
+    """Numbers its keys in order of their first lookup."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class ByteBpe:
     """Ids of the tokenizers library for byte-level BPE files, texts without added special tokens.
 
@@ -40,18 +59,17 @@ class ByteBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbered()
         self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.index) + len(words) > self.remember and self.index:
-            self.forget()
-        got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of new words, from the library's model: a word has been split already."""
+        tokenize = self.library.model.tokenize
+        got = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in words]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.int64)])
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
 
     def plain(self, text: str) -> bool:
         return self.split and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
@@ -60,14 +78,13 @@ class ByteBpe:
         """Indices of the words of plain texts, one after the other, and the number of words of each text."""
         words = [WORDS.findall(t) for t in texts]
         flat = [w for ws in words for w in ws]
-        fresh = [w for w in dict.fromkeys(flat) if w not in self.index]
-        if fresh:
-            if len(self.index) + len(fresh) > self.remember and self.index:
-                self.forget()
-                fresh = list(dict.fromkeys(flat))
-            self.learn(fresh)
-        index = self.index
-        return np.fromiter([index[w] for w in flat], np.int64, len(flat)), np.fromiter(map(len, words), np.int64, len(words))
+        if len(self.index) > self.remember:
+            self.forget()
+        known = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))  # numbers new words as it meets them
+        if len(self.index) > known:
+            self.learn(list(itertools.islice(self.index, known, None)))
+        return at, np.fromiter(map(len, words), np.int64, len(words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -60,11 +60,10 @@ def shared_table(encoded: DataFrame, kind: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                c = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            total[: len(c)] += c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
@@ -112,8 +111,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, *, end_id:
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_token_file(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, decoded from the files alone. Buckets are read in parallel; a damaged block fails the read."""
+def read_token_file(spark: SparkSession, path: str, vocabulary: int, *, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, decoded from the files alone. Buckets are read in parallel; a damaged block fails the read."""
     table = spark.sparkContext.broadcast(load_table(spark, path, vocabulary))
 
     def decode(own: pd.DataFrame) -> pd.DataFrame:
@@ -124,15 +123,16 @@ def read_token_file(spark: SparkSession, path: str, vocabulary: int) -> DataFram
         ends = np.cumsum(lengths)
         raw = ids.astype("<u4").tobytes()
         cut = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends, lengths, strict=True)]
-        return pd.DataFrame({"doc_id": pd.array(list(own["doc_ids"].iloc[0]), "Int64"), "start": parts[0][0] + ends - lengths, "n_tokens": lengths, "ids_crc32": [zlib.crc32(c) for c in cut], "ids": cut})
+        out = pd.DataFrame({"doc_id": pd.array(list(own["doc_ids"].iloc[0]), "Int64"), "start": parts[0][0] + ends - lengths, "n_tokens": lengths, "ids_crc32": [zlib.crc32(c) for c in cut]})
+        return out.assign(ids=cut) if with_ids else out
 
     blocks = spark.read.parquet(f"{path}/blocks")
-    return blocks.groupBy("bucket").applyInPandas(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    return blocks.groupBy("bucket").applyInPandas(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Writes docs to a new token file in the shared folder and reads it back."""
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/token-file-{uuid.uuid4().hex}"
     write_token_file(docs, path, tokenizer_path, end_id=end_id)
-    return read_token_file(spark, path, vocabulary_size(tokenizer_path))
+    return read_token_file(spark, path, vocabulary_size(tokenizer_path), with_ids=with_ids)
