@@ -1 +1,172 @@
-"""Queries, registered below."""
+"""Queries over risk variance and forecast operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barlume.operators import forecast, volatility
+from barlume.plans.bar_queries import P, on_bars
+from barlume.plans.catalogue import query
+from barlume.plans.oracle import RETURNS_SQL, W, bars_sql, frame, last, r, roll, rounded, with_bars
+from barlume.sources import market
+
+LN2 = 0.6931471805599453
+LOGS = "SELECT symbol, ts, volume, ln(open) AS o, ln(high) AS h, ln(low) AS l, ln(close) AS c FROM prev"
+PREVIOUS = f"SELECT *, lag(c) OVER {W} AS p, h - l AS x FROM prev"
+RS = "((h - o) * (h - c) + (l - o) * (l - c))"
+GK = f"(0.5 * (h - l) * (h - l) - {2 * LN2 - 1!r}::DOUBLE * (c - o) * (c - o))"
+FORMULAS = {"ctc": "((c - p) * (c - p))", "parkinson": f"((h - l) * (h - l) / {4 * LN2!r}::DOUBLE)", "garman_klass": GK, "rogers_satchell": RS, "gk_yang_zhang": f"((o - p) * (o - p) + {GK})"}
+K = 0.34 / (1.34 + 22 / 20)
+YZ = {"cont": f"{K!r}::DOUBLE * {roll('avg', '((c - o) * (c - o))', 21)} + (1 - {K!r}::DOUBLE) * {roll('avg', RS, 21)}", "gap": roll("avg", "((o - p) * (o - p))", 21)}
+PAST = frame("21 PRECEDING", "1 PRECEDING")
+FLAGS = f"""CASE WHEN count(x) OVER {PAST} < 5 THEN 'LOW_CONFIDENCE' WHEN abs((x - avg(x) OVER {PAST}) / nullif(stddev_pop(x) OVER {PAST}, 0)) > 6 THEN 'HIGH_LOW_OUTLIER' ELSE '' END AS flags"""
+DIGITS = 9
+
+
+def variance_sql(value: str, used: str) -> str:
+    return with_bars(LOGS, PREVIOUS, f"SELECT symbol, ts, {value} AS v, {FLAGS} FROM prev",
+        f"""SELECT symbol, ts, round(v, {DIGITS}) + 0.0 AS var_per_bar, {r('CASE WHEN v >= 0 THEN sqrt(v) END', 'vol_per_bar')}, {r('v * 252', 'var_annualized')},
+        {r('CASE WHEN v >= 0 THEN sqrt(v * 252) END', 'vol_annualized')}, flags, '{used}' AS estimator_used FROM prev""")
+
+
+def estimated(bars, name):  # noqa: ANN001, ANN201
+    out = volatility.estimate_variance(bars, volatility.VarianceSpec(name))
+    flags = F.array_join("flags", ",").alias("flags")
+    return out.select("symbol", "ts", F.round("var_per_bar", DIGITS).alias("v"), "vol_per_bar", "var_annualized", "vol_annualized", flags, "estimator_used")
+
+
+for _name in [*FORMULAS, "yang_zhang"]:
+    _value = f"({YZ['cont']}) + ({YZ['gap']})" if _name == "yang_zhang" else roll("avg", FORMULAS[_name], 21)
+
+    @query(f"vol_{_name}", variance_sql(_value, _name))
+    def _vol(spark, sf_dir, name=_name):  # noqa: ANN001, ANN202
+        out = estimated(market.bars(spark, sf_dir), name)
+        rest = rounded(out.drop("v")).columns
+        return out.select(*[(F.round(c, 6) + 0.0).alias(c) if c in ("vol_per_bar", "var_annualized", "vol_annualized") else F.col(c) for c in rest], (F.col("v") + 0.0).alias("var_per_bar"))
+
+
+on_bars("vol_components", with_bars(LOGS, PREVIOUS, f"SELECT symbol, ts, {r(YZ['cont'], 'cont')}, {r(YZ['gap'], 'overnight_gap')} FROM prev"), lambda b: volatility.estimate_variance(b).select("symbol", "ts", "cont", "overnight_gap"))
+
+#: Bars with some of every defect, made from the price and the row number alone.
+DEFECTS = {
+    "open": "CASE WHEN n % 61 = 7 THEN NULL ELSE open END", "high": "CASE WHEN n % 83 = 11 THEN low * 0.5 WHEN n % 47 = 5 THEN (open + close) / 2 * 0.99 ELSE high END", "low": "low",
+    "close": "CASE WHEN n % 101 = 3 THEN NULL WHEN n % 97 = 13 THEN -close ELSE close END", "volume": "CASE WHEN n % 53 = 2 THEN 0 ELSE volume END",
+}
+
+
+def defective(bars):  # noqa: ANN001, ANN201
+    n = bars.withColumn("n", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY ts)"))
+    return n.select("symbol", "ts", *[F.expr(v).cast("double").alias(k) for k, v in DEFECTS.items()])
+
+
+BROKEN = [f"SELECT *, row_number() OVER {W} AS n FROM prev", "SELECT symbol, ts, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in DEFECTS.items()) + " FROM prev"]
+JUDGED = [
+    *BROKEN,
+    """SELECT *, CASE WHEN close IS NULL THEN 'missing_close' WHEN coalesce(open <= 0, false) OR coalesce(high <= 0, false) OR coalesce(low <= 0, false) OR close <= 0 THEN 'nonpositive_price'
+      WHEN high < low THEN 'high_lt_low' END AS rule, CASE WHEN high > 0 AND low > 0 THEN ln(high / low) END AS x FROM prev""",
+    f"SELECT *, count(x) OVER {PAST} AS k, (x - avg(x) OVER {PAST}) / nullif(stddev_pop(x) OVER {PAST}, 0) AS z FROM prev",
+    """SELECT *, rule IS NOT NULL AS hard, rule IS NULL AND coalesce(high < greatest(open, close) OR low > least(open, close), false) AS suspect, rule IS NULL AND open IS NULL AS missing FROM prev""",
+]
+on_bars("vol_quality_flags", with_bars(*JUDGED, """SELECT symbol, ts, rule, suspect, missing AS missing_open, array_to_string(list_filter([
+  CASE WHEN hard OR suspect THEN 'DATA_QUALITY_FAILURE' END, CASE WHEN missing THEN 'MISSING_OPEN' END, CASE WHEN NOT hard AND NOT missing AND k < 5 THEN 'LOW_CONFIDENCE' END,
+  CASE WHEN NOT hard AND NOT missing AND k >= 5 AND abs(z) > 6 THEN 'HIGH_LOW_OUTLIER' END, CASE WHEN NOT hard AND NOT missing AND volume = 0 THEN 'ZERO_VOLUME_DAY' END], lambda f: f IS NOT NULL), ',') AS flags FROM prev"""),
+    lambda b: volatility.bar_quality(defective(b), 21).select("symbol", "ts", "rule", "suspect", "missing_open", F.array_join("flags", ",").alias("flags")))
+on_bars("vol_fallback", with_bars(*JUDGED, "SELECT symbol, CASE WHEN bool_or(suspect) THEN 'ctc' WHEN bool_or(missing) THEN 'parkinson' ELSE 'yang_zhang' END AS estimator_used FROM prev GROUP BY 1"),
+        lambda b: volatility.fallback(volatility.bar_quality(defective(b), 21), "yang_zhang").select("symbol", "estimator_used").distinct())
+on_bars("vol_failure_rate", with_bars(*JUDGED, f"SELECT symbol, {r('avg(CASE WHEN hard THEN 1.0::DOUBLE ELSE 0 END)', 'failure_rate')} FROM prev GROUP BY 1"), lambda b: volatility.failure_rate(volatility.bar_quality(defective(b), 21)))
+
+BPV = "coalesce(sum(a), 0) * (pi() / 2)"
+
+
+@query("rv_bpv_jv", f"""WITH {RETURNS_SQL}, x AS (SELECT *, abs(lag(r) OVER (PARTITION BY symbol, bar ORDER BY seq)) * abs(r) AS a FROM er)
+  SELECT symbol, bar, {r('sum(r * r)', 'rv')}, {r(BPV, 'bpv')}, {r(f'greatest(sum(r * r) - {BPV}, 0)', 'jv')} FROM x GROUP BY 1, 2""")
+def rv_bpv_jv(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(volatility.realized_measures(market.event_returns(spark, sf_dir), ["symbol", "bar"]))
+
+
+def coarse(n: int) -> str:
+    return f"c{n} AS (SELECT symbol, bar, coalesce(sum(s * s) FILTER (WHERE n = {n}), 0) AS v{n} FROM (SELECT symbol, bar, q // {n} AS g, sum(r) AS s, count(*) AS n FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+
+
+@query("vol_signature", f"""WITH {RETURNS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol, bar ORDER BY seq) - 1 AS q FROM er), {coarse(5)}, {coarse(15)},
+  f AS (SELECT symbol, bar, sum(r * r) AS v1, sum(r) AS m FROM er GROUP BY 1, 2), j AS (SELECT * FROM f JOIN c5 USING (symbol, bar) JOIN c15 USING (symbol, bar)),
+  k AS (SELECT *, v1 >= 2 * v5 AND v1 >= 2 * v15 AND m * m < 0.5 * v5 AS noisy FROM j)
+  SELECT symbol, bar, {r('v1', 'rv_1')}, {r('v5', 'rv_5')}, {r('v15', 'rv_15')}, {r('m', 'movement')}, noisy, {r('CASE WHEN noisy THEN v5 ELSE v1 END', 'signature')} FROM k""")
+def vol_signature(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(volatility.volatility_signature(market.event_returns(spark, sf_dir), ["symbol", "bar"]))
+
+
+NAMES = ["ctc", "parkinson", "garman_klass", "rogers_satchell"]
+
+
+def all_estimates(bars):  # noqa: ANN001, ANN201
+    parts = [volatility.estimate_variance(bars, volatility.VarianceSpec(n), gate=False).select("symbol", "ts", F.col("var_per_bar").alias(n)) for n in NAMES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, ["symbol", "ts"])
+    return volatility.dispersion_flags(out, 0.5, NAMES).select("symbol", "ts", "dispersion", F.array_join("flags", ",").alias("flags"))
+
+
+on_bars("vol_dispersion_flags", with_bars(
+    LOGS, PREVIOUS, "SELECT symbol, ts, " + ", ".join(f"{roll('avg', FORMULAS[n], 21)} AS {n}" for n in NAMES) + " FROM prev",
+    f"SELECT *, list_filter([{', '.join(NAMES)}], lambda v: v IS NOT NULL) AS xs, list_avg(list_filter([parkinson, garman_klass, rogers_satchell], lambda v: v IS NOT NULL)) AS rm FROM prev", "SELECT *, list_avg(xs) AS m FROM prev",
+    "SELECT *, sqrt(list_sum(list_transform(xs, lambda v: (v - m) * (v - m))) / len(xs)) AS d FROM prev",
+    f"""SELECT symbol, ts, {r('d', 'dispersion')}, array_to_string(list_filter([CASE WHEN parkinson > 0 AND ctc >= 4 * parkinson THEN 'GAP_DOMINATED_VOL' END,
+      CASE WHEN ctc > 0 AND rogers_satchell >= 4 * ctc THEN 'INTRADAY_RANGE_DOMINATED_VOL' END, CASE WHEN len(xs) >= 2 AND d > 0.5 THEN 'HIGH_ESTIMATOR_DISAGREEMENT' END,
+      CASE WHEN ctc IS NOT NULL AND least(ctc, rm) > 0 AND greatest(ctc, rm) / least(ctc, rm) >= 4 THEN 'CTC_DISAGREES_WITH_RANGE' END], lambda f: f IS NOT NULL), ',') AS flags FROM prev""",
+), all_estimates)
+
+on_bars("legacy_yz", with_bars(
+    f"SELECT symbol, ln(high / open) * (ln(high / open) - ln(low / open)) AS rs, ln(close / open) AS co, coalesce(ln(open / {P}), 0) AS oc FROM prev",
+    f"SELECT symbol, {r('CASE WHEN count(*) >= 2 THEN sqrt(var_samp(oc) + 0.164333::DOUBLE * var_samp(co) + 0.835667::DOUBLE * sum(rs) / (count(*) - 1)) ELSE 0 END', 'value')} FROM prev GROUP BY 1",
+), volatility.legacy_yang_zhang)
+GKL = "avg(0.5::DOUBLE * ln(high / low) * ln(high / low) - 2 * ln(close / open) * ln(close / open))"
+on_bars("legacy_gk", with_bars(f"SELECT symbol, {r(f'CASE WHEN count(*) < 2 THEN 0 WHEN {GKL} >= 0 THEN sqrt({GKL}) END', 'value')} FROM prev GROUP BY 1"), volatility.legacy_garman_klass)
+
+# ---- forecast
+
+SESSION = f"""WITH {bars_sql()}, x AS (SELECT *, CAST(ts AS DATE) AS session, lag(close) OVER {W} AS p FROM bars),
+y AS (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS n FROM x),
+s AS (SELECT symbol, session, max(CASE WHEN n = 1 THEN p END) AS before, min(ts) AS target_start_ts, max(ts) AS target_end_ts, min_by(open, ts) AS o, max_by(close, ts) AS c,
+  sum(ln(close / CASE WHEN n = 1 THEN open ELSE p END) * ln(close / CASE WHEN n = 1 THEN open ELSE p END)) AS rv FROM y GROUP BY 1, 2),
+t AS (SELECT *, ln(o / before) * ln(o / before) AS gap FROM s WHERE before IS NOT NULL)
+"""
+on_bars("target_rv_total", SESSION + f"""SELECT symbol, session, {r('gap + rv', 'target_rv_total')}, {r('gap', 'overnight_gap_var')}, {r('rv', 'intraday_bar_rv')}, target_start_ts, target_end_ts, {r('o', 'raw_price_start')}, {r('c', 'raw_price_end')},
+  true AS promotion_eligible FROM t""", lambda b: forecast.target_rv_total(b).drop("reason_codes"))
+on_bars("intraday_reversal", with_bars(f"SELECT symbol, ts AS signal_ts, ts + INTERVAL 5 MINUTE AS fill_ts, least(ts + INTERVAL 65 MINUTE, date_trunc('day', ts) + INTERVAL 1 DAY) AS target_end_ts FROM prev"),
+        lambda b: forecast.intraday_reversal_target(b.selectExpr("symbol", "ts AS signal_ts", "ts + INTERVAL 5 MINUTE AS fill_ts", "CAST(date_trunc('day', ts) AS timestamp_ntz) + INTERVAL 1 DAY AS next_close_ts")).select("symbol", "signal_ts", "fill_ts", "target_end_ts"))
+MONTH = last(22)
+on_bars("multiscale", SESSION + f""", u AS (SELECT symbol, session AS ts, gap + rv AS v, ln(greatest(gap + rv, 1e-12)) AS lv, row_number() OVER (PARTITION BY symbol ORDER BY session) AS n FROM t),
+  w AS (SELECT symbol, ts, v, lv, n, {roll('avg', 'v', 5)} AS wk, {roll('avg', 'v', 22)} AS mo, regr_slope(v, n) OVER {MONTH} AS sv, regr_slope(lv, n) OVER {MONTH} AS sl FROM u)
+  SELECT symbol, ts, {r('CASE WHEN v > 0 THEN v END', 'daily_var')}, {r('wk', 'weekly_avg_var')}, {r('mo', 'monthly_avg_var')}, {r('CASE WHEN isfinite(sv) THEN sv END', 'var_slope')}, {r('lv', 'log_daily_var')},
+  {r('CASE WHEN isfinite(sl) THEN sl END', 'log_var_slope')}, n AS observed_count, n >= 5 AS has_full_weekly_window, n >= 22 AS has_full_monthly_window FROM w""",
+    lambda b: forecast.multiscale_features(forecast.target_rv_total(b).withColumnRenamed("session", "ts"), "target_rv_total"))
+on_bars("semivariance", with_bars(f"SELECT symbol, ts, ln(close / {P}) AS q FROM prev", f"""SELECT symbol, ts, {r(f'sum(least(q, 0) * least(q, 0)) OVER {last(24)}', 'downside_rv')}, {r(f'sum(greatest(q, 0) * greatest(q, 0)) OVER {last(24)}', 'upside_rv')},
+  {r(f'sum(q * q) OVER {last(24)}', 'bar_rv')}, {r(f'count(q) OVER {last(24)} / 24', 'coverage')} FROM prev WHERE q IS NOT NULL"""),
+    lambda b: forecast.semivariance(b.withColumn("q", F.ln(F.col("close") / F.expr("lag(close) OVER (PARTITION BY symbol ORDER BY ts)"))).filter("q IS NOT NULL"), "q", 24))
+on_bars("asymmetry_regression", None, lambda b: forecast.asymmetry_regression(b.withColumn("q", F.ln(F.col("close") / F.expr("lag(close) OVER (PARTITION BY symbol ORDER BY ts)"))).filter("q IS NOT NULL"), "q"))
+on_bars("gap_jump_labels", SESSION + """SELECT symbol, session, array_to_string(list_filter([CASE WHEN gap / greatest(gap + rv, 1e-12) >= 0.6 THEN 'GAP_DOMINATED_VOL' END,
+  CASE WHEN rv / greatest(gap + rv, 1e-12) >= 0.4 THEN 'INTRADAY_RANGE_DOMINATED_VOL' END, CASE WHEN 0.05 * rv / greatest(gap + rv, 1e-12) >= 0.045 THEN 'JUMP_DAY' END], lambda f: f IS NOT NULL), ',') AS labels FROM t""",
+    lambda b: forecast.gap_jump_labels(forecast.target_rv_total(b).selectExpr("symbol", "session", "overnight_gap_var", "intraday_bar_rv AS intraday_range_var", "0.05D * intraday_bar_rv AS jump_var", "target_rv_total AS total_var"), threshold_jump=0.045)
+    .select("symbol", "session", F.array_join("labels", ",").alias("labels")))
+
+
+@query("universe_membership", """WITH e AS (SELECT c_custkey % 200 AS symbol, lower(['GARCH', 'EWMA', 'HAR'][1 + c_custkey % 3]) AS b, c_acctbal > 0 AS eligible, c_custkey % 45 AS n FROM customer)
+  SELECT CAST(symbol AS VARCHAR) AS symbol, CASE WHEN bool_and(eligible) THEN 'common-eligible' WHEN coalesce(bool_or(b = 'garch' AND NOT eligible), false) AND bool_or(n >= 22) THEN 'limited-history'
+  WHEN bool_or(n >= 22) THEN 'production-coverage' ELSE 'limited-history' END AS universe FROM e GROUP BY symbol""")
+def universe_membership(spark, sf_dir):  # noqa: ANN001, ANN201
+    c = market.table(spark, sf_dir, "customer")
+    return forecast.universe_membership(c.selectExpr("CAST(c_custkey % 200 AS STRING) AS symbol", "element_at(array('GARCH', 'EWMA', 'HAR'), CAST(1 + c_custkey % 3 AS INT)) AS baseline", "c_acctbal > 0 AS eligible", "c_custkey % 45 AS sessions_available"))
+
+
+TIMES = {
+    "observation_end_ts": 0, "availability_ts": 5, "forecast_origin_ts": "o_custkey % 20", "forecast_generated_ts": 15, "forecast_available_ts": "10 + o_custkey % 15", "target_start_ts": "12 + o_custkey % 7", "target_end_ts": 60,
+    "source_valid_from": 20, "sizing_decision_ts": "18 + o_custkey % 10", "source_valid_until": 50, "order_decision_ts": "25 + o_custkey % 30",
+}
+CLOCK_SQL = " UNION ALL ".join(f"SELECT '{k}' AS clock, CAST(sum(CASE WHEN {c} THEN 0 ELSE 1 END) AS BIGINT) AS violations FROM t" for k, c in forecast.CLOCKS.items())
+
+
+@query("serving_clock_violations", "WITH t AS (SELECT " + ", ".join(f"o_orderdate + to_minutes({m}) AS {k}" for k, m in TIMES.items()) + f" FROM orders) {CLOCK_SQL}")
+def serving_clock_violations(spark, sf_dir):  # noqa: ANN001, ANN201
+    o = market.table(spark, sf_dir, "orders")
+    return forecast.clock_violations(o.selectExpr(*[f"o_orderdate + make_dt_interval(0, 0, CAST({m} AS INT), 0) AS {k}" for k, m in TIMES.items()]))
