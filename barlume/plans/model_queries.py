@@ -1 +1,180 @@
-"""Queries, registered below."""
+"""Queries over transforms, feature selection and regimes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barlume.operators import derived, regime, selection, transforms
+from barlume.plans.bar_queries import P, on_bars
+from barlume.plans.catalogue import query
+from barlume.plans.oracle import bars_sql, lag, r, rounded, with_bars
+from barlume.sources import market
+
+WEIGHTS = transforms.fracdiff_weights(0.4)
+FRAC = " + ".join(f"{w!r}::DOUBLE * coalesce({lag('close', k)}, 0)" if k else "close" for k, w in enumerate(WEIGHTS))
+on_bars("fracdiff", with_bars(f"SELECT symbol, ts, {r(FRAC, 'value')} FROM prev"), transforms.fracdiff)
+STATS = "(SELECT avg(close) AS m, stddev_pop(close) AS s, min(close) AS lo, max(close) AS hi FROM bars)"
+for _name, _value in [("nn", "(close - m) / s"), ("diffusion", "2 * (close - lo) / (hi - lo) - 1"), ("tree", "close")]:
+    on_bars(f"scaler_{_name}", with_bars(f"SELECT symbol, ts, {r(_value, 'value')} FROM prev, {STATS}"), lambda b, n=_name: b.select("symbol", "ts", transforms.Scaler(n).fit(b, "close").transform(F.col("close")).alias("value")))
+on_bars("feature_pipeline", with_bars(f"SELECT symbol, ts, {FRAC} AS q FROM prev", f"SELECT symbol, ts, {r('(q - m) / s', 'value')} FROM prev, {STATS}"), lambda b: transforms.FeaturePipeline("nn").fit(b).transform(b))
+ROC = f"close / nullif({P}, 0) - 1"
+on_bars("quantize", with_bars(f"SELECT symbol, ts, {ROC} AS q, close FROM prev", "SELECT symbol, ts, CAST(round(least(greatest(q, -2147), 2147) * 1000000) AS BIGINT) AS q_return, CAST(round(close * 100000) AS BIGINT) AS q_close FROM prev"),
+        lambda b: derived.returns(b).select("symbol", "ts", transforms.quantize(F.col("return"), "return").alias("q_return"), transforms.quantize(F.col("close"), "sma").alias("q_close")))
+on_bars("dequantize", with_bars("SELECT symbol, ts, round(CAST(round(close * 100000) AS BIGINT) / 100000.0, 6) + 0.0 AS close FROM prev"), lambda b: b.select("symbol", "ts", transforms.dequantize(transforms.quantize(F.col("close"), "sma"), "sma").alias("close")))
+MONTH_HALF = "day(ts) <= 15"
+on_bars("drift", with_bars(f"""SELECT 'close' AS feature, {r('abs(a - c) + abs(b - d)', 'statistic')}, 0.1::DOUBLE AS threshold, abs(a - c) + abs(b - d) > 0.1 AS drifted FROM
+  (SELECT avg(close) FILTER (WHERE NOT {MONTH_HALF}) AS a, stddev_pop(close) FILTER (WHERE NOT {MONTH_HALF}) AS b, avg(close) FILTER (WHERE {MONTH_HALF}) AS c, stddev_pop(close) FILTER (WHERE {MONTH_HALF}) AS d FROM prev)"""),
+  lambda b: transforms.drift(b.filter(f"NOT {MONTH_HALF}"), b.filter(MONTH_HALF), "close"))
+SAMPLE = "(SELECT symbol, ts, close AS v, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars)"
+on_bars("sample_entropy", f"""WITH {bars_sql()}, x AS (SELECT *, 0.2 * stddev_pop(v) OVER (PARTITION BY symbol) AS tol, count(*) OVER (PARTITION BY symbol) AS n,
+    lead(v, 1) OVER (PARTITION BY symbol ORDER BY i) AS v1, lead(v, 2) OVER (PARTITION BY symbol ORDER BY i) AS v2 FROM {SAMPLE}),
+  p AS (SELECT a.symbol, count(*) FILTER (WHERE a.i <= a.n - 2 AND b.i <= b.n - 2) AS m2,
+    count(*) FILTER (WHERE a.i <= a.n - 3 AND b.i <= b.n - 3 AND abs(a.v2 - b.v2) <= a.tol) AS m3
+    FROM x a JOIN x b ON a.symbol = b.symbol AND a.i < b.i AND abs(a.v - b.v) <= a.tol AND abs(a.v1 - b.v1) <= a.tol GROUP BY 1)
+  SELECT symbol, {r('CASE WHEN m2 > 0 AND m3 > 0 THEN -ln(m3::DOUBLE / m2) ELSE 0 END', 'value')} FROM p""", lambda b: transforms.sample_entropy(b, "close"))
+on_bars("hurst", f"""WITH {bars_sql()}, x AS (SELECT symbol, v, i - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {SAMPLE}),
+  t AS (SELECT symbol, v, i, tau, i // tau AS g FROM x, (SELECT unnest([2, 4, 8, 16]) AS tau) WHERE n >= 20 AND i // tau < n // tau),
+  c AS (SELECT *, v - avg(v) OVER (PARTITION BY symbol, tau, g) AS a FROM t), s AS (SELECT *, sum(a) OVER (PARTITION BY symbol, tau, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM c),
+  q AS (SELECT symbol, tau, g, max(s) - min(s) AS r, stddev_pop(a) AS d FROM s GROUP BY 1, 2, 3), h AS (SELECT symbol, tau, avg(ln(r / d)) / ln(tau) AS h FROM q WHERE d > 0 AND r > 0 GROUP BY 1, 2)
+  SELECT symbol, {r('avg(h)', 'value')} FROM h GROUP BY 1""", lambda b: transforms.hurst_exponent(b, "close"))
+
+# ---- selection, over the line items' numbers
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PAIRS = selection.pairs(FEATURES)
+
+
+def items(spark, sf_dir):  # noqa: ANN001, ANN201
+    return market.table(spark, sf_dir, "lineitem")
+
+
+def corr_sql(source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, {r(f'corr({a}, {b})', 'corr')} FROM {source}" for a, b in PAIRS)
+
+
+@query("pearson_long", corr_sql("lineitem"))
+def pearson_long(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(selection.correlation_pairs(items(spark, sf_dir), FEATURES))
+
+
+RANKED = "k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0::DOUBLE AS {f}" for f in FEATURES) + " FROM lineitem)"
+
+
+@query("spearman_long", f"WITH {RANKED} {corr_sql('k')}")
+def spearman_long(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(selection.spearman_pairs(items(spark, sf_dir), FEATURES))
+
+
+OHLC = ["open", "high", "low", "close"]
+OHLC_SQL = " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, {r(f'corr({a}, {b})', 'corr')} FROM prev" for a, b in selection.pairs(OHLC))
+on_bars("correlated_pairs", with_bars(f"SELECT * FROM ({OHLC_SQL}) WHERE f1 <> f2 AND abs(corr) >= 0.2"), lambda b: selection.highly_correlated_pairs(selection.correlation_pairs(b, OHLC), 0.2))
+
+
+@query("fdr_bh", f"""WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE ((c_custkey * 7919) % 10007) / 100070.0::DOUBLE END AS p FROM customer),
+  k AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p) AS i FROM p WHERE p IS NOT NULL), q AS (SELECT *, least(min(p * n / i) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS q FROM k)
+  SELECT c_custkey, {r('q', 'q_value')}, q < 0.05 AS significant FROM p LEFT JOIN q USING (c_custkey)""")
+def fdr_bh(spark, sf_dir):  # noqa: ANN001, ANN201
+    p = market.table(spark, sf_dir, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE ((c_custkey * 7919) % 10007) / 100070.0D END AS p")
+    return rounded(selection.benjamini_hochberg(p, "p").select("c_custkey", "q_value", "significant"))
+
+
+@query("cohens_d", f"""WITH m AS (SELECT count(*) FILTER (WHERE l_returnflag = 'A') AS n1, count(*) FILTER (WHERE l_returnflag = 'N') AS n2, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS m1, avg(l_quantity) FILTER (WHERE l_returnflag = 'N') AS m2,
+  var_samp(l_quantity) FILTER (WHERE l_returnflag = 'A') AS v1, var_samp(l_quantity) FILTER (WHERE l_returnflag = 'N') AS v2 FROM lineitem), p AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS s FROM m)
+  SELECT {r('s', 'pooled_std')}, {r('m1 - m2', 'mean_diff')}, {r('(m1 - m2) / s', 'cohens_d')}, CASE WHEN abs((m1 - m2) / s) < 0.2 THEN 'negligible' WHEN abs((m1 - m2) / s) < 0.5 THEN 'small' WHEN abs((m1 - m2) / s) < 0.8 THEN 'medium' ELSE 'large' END AS interpretation FROM p""")
+def cohens_d(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(selection.cohens_d(items(spark, sf_dir), "l_returnflag", "l_quantity", "A", "N"))
+
+
+@query("mrmr_rank")
+def mrmr_rank(spark, sf_dir):  # noqa: ANN001, ANN201
+    chosen = selection.mrmr(items(spark, sf_dir), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], 4)
+    return rounded(spark.createDataFrame([(i + 1, f, s) for i, (f, s) in enumerate(chosen)], "rank int, feature string, score double"))
+
+
+def numbered_bars(spark, sf_dir):  # noqa: ANN001, ANN201
+    """One symbol's bars with features and a target, numbered from 0."""
+    b = derived.derived_fields(market.bars(spark, sf_dir)).filter("symbol = 'click'").selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n")
+    return b.selectExpr("n", "open", "range", "true_range", "volume", "close AS target").filter("target IS NOT NULL")
+
+
+BAR_FEATURES = ["open", "range", "true_range", "volume"]
+
+
+@query("mutual_information")
+def mutual_information(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.mutual_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target")
+
+
+@query("mi_bootstrap")
+def mi_bootstrap(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "bootstrap", 40)
+
+
+@query("mi_permutation")
+def mi_permutation(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "permutation", 40)
+
+
+@query("rolling_mi")
+def rolling_mi(spark, sf_dir):  # noqa: ANN001, ANN201
+    found = selection.rolling_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", 120, 60)
+    return selection.rank_stability(found, "window", "feature", "mi")
+
+
+# ---- regimes, over the embeddings
+
+
+def embeddings(spark, sf_dir):  # noqa: ANN001, ANN201
+    return market.table(spark, sf_dir, "embeddings")
+
+
+LONG = "x AS (SELECT vec_id AS row, label, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS dim FROM embeddings)"
+
+
+@query("nearest_centroid", f"""WITH {LONG}, m AS (SELECT dim, avg(value) AS m, stddev_pop(value) AS s FROM x GROUP BY 1), z AS (SELECT row, label, dim, coalesce((value - m) / nullif(s, 0), 0) AS z FROM x JOIN m USING (dim)),
+  c AS (SELECT label AS class, dim, avg(z) AS c FROM z GROUP BY 1, 2), d AS (SELECT row, class, sqrt(sum((z - c) * (z - c))) AS d FROM z JOIN c USING (dim) GROUP BY 1, 2)
+  SELECT row, arg_min(class, d) AS prediction, {r('exp(-min(d)) / sum(exp(-d))', 'confidence')} FROM d GROUP BY 1""")
+def nearest_centroid(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(regime.nearest_centroid(embeddings(spark, sf_dir), "vec_id", "embedding", "label"))
+
+
+@query("cluster_quality", f"""WITH {LONG}, c AS (SELECT label, dim, avg(value) AS c, count(*) AS n FROM x GROUP BY 1, 2), d AS (SELECT row, x.label, c.label AS other, sqrt(sum((value - c) * (value - c))) AS d FROM x JOIN c USING (dim) GROUP BY 1, 2, 3),
+  o AS (SELECT row, label, d AS a FROM d WHERE label = other), b AS (SELECT row, min(d) AS b FROM d WHERE label <> other GROUP BY 1), s AS (SELECT label, avg(a) AS s, sum(a * a) AS w, count(*) AS n FROM o GROUP BY 1),
+  p AS (SELECT i.label AS i, j.label AS j, sqrt(sum((i.c - j.c) * (i.c - j.c))) AS m FROM c i JOIN c j USING (dim) WHERE i.label <> j.label GROUP BY 1, 2),
+  db AS (SELECT avg(q) AS v FROM (SELECT i, max((si.s + sj.s) / m) AS q FROM p JOIN s si ON si.label = i JOIN s sj ON sj.label = j GROUP BY 1)), g AS (SELECT dim, avg(value) AS g FROM x GROUP BY 1),
+  bt AS (SELECT sum(n * (c - g) * (c - g)) AS v FROM c JOIN g USING (dim)), t AS (SELECT sum(w) AS w, sum(n) AS n, count(*) AS k, min(n) / sum(n) AS f, count(*) FILTER (WHERE n = 1) AS z FROM s)
+  SELECT {r('db.v', 'davies_bouldin')}, {r('(bt.v / (k - 1)) / (w / (n - k))', 'calinski_harabasz')}, {r('f', 'min_cluster_fraction')}, CAST(z AS BIGINT) AS n_singletons,
+  {r('(SELECT avg((b - a) / greatest(a, b)) FROM o JOIN b USING (row))', 'simplified_silhouette')} FROM db, bt, t""")
+def cluster_quality(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(regime.cluster_quality(embeddings(spark, sf_dir), "vec_id", "embedding", "label"))
+
+
+@query("adjusted_rand", f"""WITH e AS (SELECT label AS a, (label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) % 10 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM e GROUP BY 1, 2),
+  t AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY a)) AS i, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY b)) AS j, (SELECT sum(n) FROM c) AS n)
+  SELECT {r('(ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2))', 'ari')} FROM t""")
+def adjusted_rand(spark, sf_dir):  # noqa: ANN001, ANN201
+    e = embeddings(spark, sf_dir).selectExpr("label AS a", "(label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) % 10 AS b")
+    return rounded(regime.adjusted_rand(e, "a", "b"))
+
+
+@query("terminal_coverage", f"SELECT label, {r('coalesce(n / (SELECT count(*) FROM embeddings), 0)', 'coverage')} FROM (SELECT unnest(range(12))::INTEGER AS label) LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) USING (label)")
+def terminal_coverage(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(regime.terminal_coverage(embeddings(spark, sf_dir), "label", list(range(12))))
+
+
+@query("kmeans_regimes")
+def kmeans_regimes(spark, sf_dir):  # noqa: ANN001, ANN201
+    return regime.kmeans_regimes(embeddings(spark, sf_dir).select("vec_id", "embedding"), "embedding", 10).select("vec_id", "cluster_id")
+
+
+@query("gmm_regimes")
+def gmm_regimes(spark, sf_dir):  # noqa: ANN001, ANN201
+    return regime.gmm_regimes(numbered_bars(spark, sf_dir), ["range", "volume"], 3).select("n", "cluster_id", "probabilities")
+
+
+@query("svm_regimes")
+def svm_regimes(spark, sf_dir):  # noqa: ANN001, ANN201
+    e = embeddings(spark, sf_dir)
+    return regime.svm_regimes(e, e, "embedding", "label").select("vec_id", "label", "prediction")
+
+
