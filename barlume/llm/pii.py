@@ -167,7 +167,7 @@ def fitted(surface: Column, kind: Column, replacement: Column, key: str) -> Colu
     first = F.substring_index(surface, " ", 1)
     swap = F.create_map(*[F.lit(x) for pair in given_names(key).items() for x in pair])
     name = F.concat(F.coalesce(F.try_element_at(swap, first), first), F.lit(" "), F.initcap(replacement))
-    return F.when(kind == "name", name).when(kind == "ip", replacement).otherwise(plain)
+    return F.when(kind == "name", name).when(kind == "ip", replacement).when(surface == F.upper(surface), F.upper(plain)).otherwise(plain)
 
 
 def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
