@@ -1,0 +1,376 @@
+"""The text operators against plain Python on small inputs with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from barlume.llm import byte_bpe, chat, decontamination, jaccard_join, language_id, pii, rans, sentence_pieces, token_counts, token_files, topk, url_filter
+
+BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+ODD = [None, "", " ", "\n", "a", "  a  b\n\n c ", "日本語 ²½ x", "é😀ñ <s> </s>", "a'll b<|endoftext|>c", "x" * 300, "word " * 3000, "https://www.example.com/a?b=c&d=e" * 3, "aaaa " * 40, "a\x1cb"]
+DOCS = "doc_id bigint, text string, n bigint, id string"
+
+
+def documents(frame, texts):
+    """Rows with columns whose names clash with those that the operators use inside."""
+    return frame([(i, t, 7, "x") for i, t in enumerate(texts)], DOCS)
+
+
+# ---- 1
+
+
+def test_pieces_equal_the_library_and_decode(spark, frame):
+    import sentencepiece
+
+    s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    out = sentence_pieces.encode_documents(documents(frame, ODD), PIECES, table_words=5).withColumn("back", sentence_pieces.decode(F.col("ids"), PIECES)).collect()
+    for r in out:
+        assert r["ids"] == (s.encode(r["text"]) if r["text"] else []) and r["n_tokens"] == len(r["ids"])
+        assert r["back"] == (r["text"] or "")
+    assert sentence_pieces.encode_documents(documents(frame, []), PIECES).count() == 0
+
+
+def test_relational_lattice_equals_arrays(spark, frame):
+    v = sentence_pieces.Vocabulary.load(PIECES)
+    words = sorted({u for t in ODD for u in sentence_pieces.units(t) if len(u) < 40})
+    own = sentence_pieces.ArrayLattice(v)
+    for r in sentence_pieces.encode_words(frame([(w,) for w in words], "word string"), v).collect():
+        assert r["ids"] == own.encode([r["word"]])[0] == own.spell(r["word"], own.queue(r["word"]))
+
+
+def test_viterbi_equals_brute_force(spark, frame):
+    """All segmentations of short words under a unigram vocabulary."""
+    pieces = {"▁": -3.0, "▁a": -2.5, "a": -2.0, "b": -2.2, "ab": -3.9, "aba": -6.5, "bb": -4.0, "▁ab": -4.6, "c": -9.0}
+    v = sentence_pieces.Vocabulary("unigram", list(pieces), list(range(10, 10 + len(pieces))), list(pieces.values()), list(range(1000, 1256)), 3)
+    ids = dict(zip(v.pieces, v.ids, strict=True))
+
+    def best(w):
+        found = []
+
+        def walk(at, score, out):
+            if at == len(w):
+                found.append((score, out))
+            for n in range(1, 4):
+                p = w[at : at + n]
+                if len(p) == n and p in pieces:
+                    walk(at + n, score + pieces[p], [*out, ids[p]])
+            if at < len(w) and w[at] not in pieces:
+                walk(at + 1, score + min(pieces.values()) - 10, [*out, *(1000 + x for x in w[at].encode())])
+
+        walk(0, 0.0, [])
+        top = max(f[0] for f in found)
+        return [f[1] for f in found if f[0] > top - 1e-9]
+
+    rng = random.Random(3)
+    words = sorted({"▁" + "".join(rng.choice("aabbcz") for _ in range(rng.randrange(1, 8))) for _ in range(60)})
+    own = sentence_pieces.ArrayLattice(v)
+    relational = {r["word"]: r["ids"] for r in sentence_pieces.encode_words(frame([(w,) for w in words], "word string"), v).collect()}
+    for w in words:
+        assert own.encode([w])[0] == relational[w] == own.spell(w, own.long_viterbi(w)) and relational[w] in best(w), w
+
+
+# ---- 2
+
+
+def test_surrogates(spark, frame):
+    texts = [
+        "Mail John.Doe9@Mail3.Example.com or john.doe9@mail3.example.com now", "call +1 (017) 555-7713, or +1-017-555-7713. 4111 1111 1111 1111 card 4111111111111111", None, "", "ip 10.0.0.1 and 97.51.17.173 v 1.2.3",
+        'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!', "Dr. Smith met Alice Smith and Robert Jones", "Version 2.0 of 2024-01-02 and 1,000,000 items; GNU license, version 3.", "DE89 3704 0044 0532 0130 00 and 123-45-6789", "again 97.51.17.173",
+    ]
+    out = {r["doc_id"]: r for r in pii.replace_pii(documents(frame, texts), "key").collect()}
+    assert len(out) == len(texts) and out[2]["text"] is None and out[3]["text"] == "" and out[7]["text"] == texts[7]
+    a, b = re.findall(r"\S+@\S+", out[0]["text"])
+    assert a.lower() == b and a != "John.Doe9@Mail3.Example.com" and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}\d@[A-Z][a-z]{3}\d\.[A-Z][a-z]{6}\.com", a)
+    phones = re.findall(r"\+1[ (0-9)-]+\d", out[1]["text"])
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) and "0175557713" not in re.sub(r"\D", "", out[1]["text"])
+    spaced, bare = re.search(r"(\d{4} \d{4} \d{4} \d{4}) card (\d{16})", out[1]["text"]).groups()
+    assert spaced.replace(" ", "") == bare and sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(bare)) % 10 == 0
+    assert "10." in out[4]["text"] and "10.0.0.1" not in out[4]["text"] and "1.2.3" in out[4]["text"]
+    assert out[4]["text"].split()[3] == out[9]["text"].split()[1] != "97.51.17.173"
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"!!', out[5]["text"]) and "9233A8EC" not in out[5]["text"]
+    first, second = re.fullmatch(r"Dr\. (\w+) met (\w+ \w+) and \w+ \w+", out[6]["text"]).groups()
+    assert second.split()[1] == first != "Smith" and second.split()[0] in pii.GIVEN["latin", "f"]
+    assert out[8]["kinds"] == "iban,ssn" and out[0]["n"] == 7
+
+
+def test_surrogates_never_meet(spark, frame):
+    """Two-letter names have few surrogates, so many collide at first."""
+    names = [a + b for a in "bcdfgh" for b in "aeiou"]
+    got = pii.assign(frame([("name", n) for n in names], "kind string, entity string"), "k").collect()
+    assert len(got) == len(names) == len({r["surrogate"] for r in got})
+    assert all(r["entity"] != r["surrogate"] for r in got)
+
+
+# ---- 3 and 4
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 20_000, 65_536, 70_001])
+def test_coder_round_trip(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n), 50_256).astype(np.int64)
+    table = rans.Frequencies.of(np.bincount(ids, minlength=50_257))
+    blocks = rans.encode_blocks(ids, 5, table)
+    parts = rans.decode_blocks(blocks, table)
+    assert parts[0][0] == 5 and np.array_equal(np.concatenate([p[1] for p in parts]), ids)
+    with pytest.raises(ValueError):
+        rans.decode_blocks([blocks[0][:-5] + bytes([blocks[0][-5] ^ 1]) + blocks[0][-4:]], table)
+
+
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_token_file(spark, frame):
+    want = [[*x, 2] for x in library_ids(ODD)]
+    rows = [(len(ODD) - 1 - i, t, 7, "x") for i, t in reversed(list(enumerate(ODD)))]
+    out = token_files.round_trip(frame(rows, DOCS), BPE).orderBy("doc_id").collect()
+    start = 0
+    for r, ids in zip(out, reversed(want), strict=True):
+        raw = np.array(ids, "<u4").tobytes()
+        assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (start, len(ids), zlib.crc32(raw), raw)
+        start += len(ids)
+    assert token_files.round_trip(documents(frame, []), BPE).count() == 0
+
+
+@pytest.mark.parametrize("path", [BPE, PIECES])
+def test_token_counts(spark, frame, path):
+    import sentencepiece
+
+    texts = [*ODD, "word, another one. " * 20_000]
+    want = library_ids(texts) if path == BPE else sentencepiece.SentencePieceProcessor(model_file=path).encode([t or "" for t in texts])
+    out = token_counts.count_tokens(documents(frame, texts), path, piece_chars=500, batch_chars=3000).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in out] == [(len((t or "").encode()), len(w), len(w) > 512) for t, w in zip(texts, want, strict=True)]
+
+
+def test_small_memory_of_words():
+    e = byte_bpe.ByteBpe(BPE, remember=20)
+    texts = [f"w{i} and w{i + 1} more" for i in range(50)]
+    assert [list(x) for t in texts for x in e.encode([t])] == library_ids(texts)
+
+
+# ---- 5
+
+
+def test_forward_sums_all_segmentations():
+    lattice = language_id.Lattice(["▁", "a", "b", "ab", "▁a"])
+    p = np.array([0.3, 0.2, 0.1, 0.15, 0.05, 1e-6])
+    word = "▁ab"
+    want = 0.3 * 0.2 * 0.1 + 0.3 * 0.15 + 0.05 * 0.1
+    (at, grid, sizes) = next(language_id.grids([word]))
+    assert language_id.forward(lattice.edges(grid, sizes), 1, 3, p[:, None])[0, 3, 0] == pytest.approx(want)
+
+
+def test_languages(spark, frame):
+    speech = {"en": "the house and the water with that other thing was here", "de": "das haus und der wasser mit dem anderen ding war hier"}
+    rng, rows = random.Random(1), []
+    for i in range(120):
+        k = rng.choice(list(speech))
+        rows.append((i, " ".join(rng.choices(speech[k].split(), k=12)), k))
+    rows += [(200, None, "en"), (201, "", None), (202, "123 !!", "de"), (203, "x" * 5000, None), (204, "the house", None)]
+    out = {r["doc_id"]: r for r in language_id.identify(frame(rows, "doc_id bigint, text string, lang string"), PIECES).collect()}
+    held = [i for i, r in out.items() if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in out.items())
+    assert all(out[i]["lang_pred"] == rows[i][2] for i in held if i < 120) and out[204]["lang_pred"] == "en"
+    assert [(out[i]["lang_pred"], out[i]["score"]) for i in (200, 201, 202)] == [("und", 0.0)] * 3 and 0 < out[203]["score"] <= 1
+    assert language_id.identify(frame([(1, "a b", None)], "doc_id bigint, text string, lang string"), PIECES).first()["lang_pred"] == "und"
+
+
+# ---- 6
+
+
+def linked(rows):
+    sets, place, parent = {}, defaultdict(list), {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        parent[i] = i
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    both = defaultdict(int)
+    for i, s in sets.items():
+        for x in s:
+            for j in place[x]:
+                both[j, i] += 1
+            place[x].append(i)
+    for (a, b), n in both.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_jaccard_join(spark, frame):
+    rng, texts = random.Random(2), [None, "", " \t", "a", "A", "a b c", "A b C", "a b c d", "a b c d e"]
+    for _ in range(25):
+        w = [f"{rng.choice('abcdef')}{rng.randrange(900)}" for _ in range(rng.choice([3, 8, 15, 30, 55, 63, 64, 70, 130, 400]))]
+        for _ in range(rng.choice([1, 2, 6, 25])):
+            v = list(w)
+            for _ in range(rng.randrange(len(w) // 15 + 1)):
+                v[rng.randrange(len(v))] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+            w = v if rng.random() < 0.4 else w
+    shared = [f"p{i}" for i in range(60)]
+    texts += [" ".join(shared + [f"q{c}_{i}" for i in range(rng.choice([4, 8, 16]))]) for c in range(25)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(documents(frame, texts)).collect()}
+    assert got == linked(rows)
+
+
+def test_jaccard_join_of_nothing(spark, frame):
+    assert jaccard_join.near_duplicates(documents(frame, [])).count() == 0
+
+
+def test_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        a = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, 30) :], rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)]))
+        band = jaccard_join.band_of(200)
+        x, y = (np.frombuffer(jaccard_join.keys_and_sketch(s, band, 35)[1], np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+# ---- 7
+
+
+def test_top_k(spark, frame):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 256], 1) for i in range(300)]  # many ties
+    rows += [(1000, None, 1), (1050, [1.0, None, 0.0, 0.0], 1), (1100, [float("nan"), 0.0, 0.0, 0.0], 1), (1150, [0.5, 0.5], 1), (1200, [0.25, 0.25], 1), (50, rows[50][1], 1)]
+    out = topk.exact_top_k(frame(rows, "vec_id bigint, embedding array<double>, score int"), F.col("vec_id") % 50 == 0, shard_rows=64, block_rows=2).collect()
+    good = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in sorted(k for k in good if k % 50 == 0):
+        s = sorted((-int(good[q] @ good[c]), c) for c in good if c != q and len(good[c]) == len(good[q]))[:5]
+        want += [(q, n + 1, c, -v) for n, (v, c) in enumerate(s)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == want
+
+
+# ---- 8
+
+RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
+URLS = ["http://A.Example.NET/en/x?q#f", "https://b.net", "https://b.net/", "ftp://example.com/de/1", "x://notexample.com/de/1", "no scheme", None, "", "http://spam.org/en/", "http://www.spam.org/fr/a", "http://://x/y", "a://b://c/d", "http://spam.org?x", "http://spam.org#y", "HTTP://x.spam.org:80/fr/"]
+
+
+@pytest.mark.parametrize("max_bits", [1 << 20, 0])
+def test_urls(spark, frame, max_bits):
+    pages = frame([(i, u, "h") for i, u in enumerate(URLS + URLS[:1])], "page_id bigint, url string, host string")
+    out = {r["page_id"]: r for r in url_filter.judge_urls(pages, RULES, frame([("spam.org",), (None,)], "d string"), max_bits=max_bits).collect()}
+    assert len(out) == len(URLS) + 1
+    for i, u in enumerate(URLS):
+        m = re.search(r"://([^/?#]*)([^?#]*)", u or "")
+        host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+        fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: len(r.text), default=None)
+        verdict = rule.verdict if rule else "block" if host == "spam.org" or host.endswith(".spam.org") else "allow"
+        assert (out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) == (host, path, rule and rule.text, verdict), u
+
+
+def test_cascade_is_exact(spark, frame):
+    universe = [f"h{i}.com" for i in range(3000)]
+    keys = set(universe[::7])
+    df = frame([(u,) for u in universe], "key string")
+    levels = url_filter.build_cascade(df, frame([(k,) for k in keys], "key string"), 1 << 20)
+    assert len(levels) > 2
+    assert {r[0] for r in df.filter(url_filter.listed(F.col("key"), levels)).collect()} == keys
+
+
+# ---- 9
+
+
+def test_perspectives(spark, frame):
+    rows = [(1, 2, "bob", "hi <|im_end|>"), (1, 0, "system", "rules"), (1, 1, "ann", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, 0, "ann", "n"), (1, 3, None, "x")]
+    out = {(r["conv_id"], r["perspective"]): r for r in chat.rotate_perspectives(frame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert set(out) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    r = out[1, "bob"]
+    assert r["rendered"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>assistant\nhi <\\|im_end|><|im_end|>\n" + 2 * "<|im_start|>user name=unknown\nx<|im_end|>\n"
+    assert [r["rendered"][m["start"] : m["end"]] for m in r["mask"]] == ["hi <\\|im_end|><|im_end|>"]
+    assert [out[1, "unknown"]["rendered"][m["start"] : m["end"]] for m in out[1, "unknown"]["mask"]] == ["x<|im_end|>"] * 2
+
+
+def test_long_dialogues_come_in_parts(spark, frame):
+    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(50)]
+    df = frame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = chat.rotate_perspectives(df, part_turns=8).filter("perspective = 'a'").orderBy("part").collect()
+    assert "".join(p["rendered"] for p in parts) == chat.rotate_perspectives(df).filter("perspective = 'a'").first()["rendered"] and len(parts) == 7
+
+
+# ---- 10
+
+
+def contamination(docs, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for t in docs:
+        w, hit, names = split(t), set(), set()
+        for name, text in items:
+            v = split(text)
+            n = min(10, len(v))
+            for i in range(len(v) - n + 1) if v else ():
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == v[i : i + n]:
+                        hit |= set(range(j, j + n))
+                        names.add("" if name is None else str(name))
+        out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def test_decontamination(spark, frame):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([12, 25, 40])))) for i in range(12)] + [(100, "Short item"), (101, None), (102, "..."), (None, "seven little words stand in this item"), (3, "another text of item three " * 3)]
+    docs = [None, "", "...", "a short-ITEM here", "SEVEN little words stand in this item", "é" * 50]
+    for _ in range(40):
+        t = rng.choices(words, k=30)
+        v = rng.choice(items)[1]
+        if v:
+            v = v.split()
+            cut = rng.randrange(len(v))
+            t[rng.randrange(30) : 5] = v[cut : cut + rng.choice([9, 10, 14, 60])]
+        docs.append(" ".join(t) if rng.random() < 0.7 else "  ".join(t).upper())
+    docs += docs[-2:] + [" ".join(words * 400) + " " + items[0][1]]
+    marked = decontamination.mark_contamination(documents(frame, docs), frame(items, "item_id bigint, text string")).orderBy("doc_id").collect()
+    got = [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in marked]
+    assert got == contamination(docs, items)
+    for r in marked:
+        assert sum(s["last"] - s["first"] + 1 for s in r["spans"] or []) == r["n_hit"]
+    assert decontamination.mark_contamination(documents(frame, docs[:4]), frame([], "item_id bigint, text string")).filter("contaminated").count() == 0
+    assert decontamination.mark_contamination(documents(frame, []), frame(items, "item_id bigint, text string")).count() == 0
+
+
+# ---- the pipeline
+
+
+def test_pipeline(spark, frame, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [a + b for a in ("ba", "to", "ri", "mon", "se", "lu") for b in ("na", "ter", "li", "gos", "dem", "pra")]
+    bench = " ".join(rng.choices(words, k=15))
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(12)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(20, texts[0], "en", "s", 1), (21, "1234 !!", "en", "s", 7), (22, texts[1][:60] + " " + bench, "en", "s", 1), (23, " ".join(rng.choices(words, k=30)) + " reach me at joe.b@site.org", "en", "s", 1), (24, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == {*range(12), 23}
+    import sentencepiece
+
+    s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert all(s.decode(out[i]["ids"]) == texts[i] for i in range(12))
+    private = s.decode(out[23]["ids"])
+    assert "joe.b@site.org" not in private and private.startswith(rows[15][1].split(" reach")[0])
