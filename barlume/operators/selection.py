@@ -136,11 +136,11 @@ def with_target(df: DataFrame, row_id: str, features: list[str], target: str) ->
 
 
 def mutual_information(df: DataFrame, row_id: str, features: list[str], target: str, neighbors: int = 3, seed: int = 42, least: int = 100) -> DataFrame:
-    """(feature, mi): one task a feature; NaN with fewer than least rows. Meant for samples that fit a task, as it compares all rows of a feature."""
+    """(feature, mi): one task a feature; null with fewer than least rows. Meant for samples that fit a task, as it compares all rows of a feature."""
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
-        v = float("nan") if len(pdf) < least else ksg(pdf["value"].to_numpy(), pdf["y"].to_numpy(), neighbors, np.random.default_rng(seed))
+        v = None if len(pdf) < least else ksg(pdf["value"].to_numpy(), pdf["y"].to_numpy(), neighbors, np.random.default_rng(seed))
         return pd.DataFrame({"feature": [key[0]], "mi": [v]})
 
     return grouped_scores(with_target(df, row_id, features, target), ["feature"], score, "feature string, mi double")

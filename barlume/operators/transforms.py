@@ -104,7 +104,7 @@ def bounds(indicator: str, scale: float | None = None) -> tuple[float, float, fl
 def quantize(c: Column, indicator: str, scale: float | None = None) -> Column:
     """Clipped, scaled and rounded to a whole number, halves away from 0; infinities go to the bounds, NaN to null."""
     s, lo, hi = bounds(indicator, scale)
-    return F.round(F.least(F.greatest(F.when(~F.isnan(c), c), F.lit(lo)), F.lit(hi)) * s, 0).cast("bigint")
+    return F.when(c.isNotNull() & ~F.isnan(c), F.round(F.least(F.greatest(c, F.lit(lo)), F.lit(hi)) * s, 0).cast("bigint"))
 
 
 def dequantize(c: Column, indicator: str, scale: float | None = None) -> Column:

@@ -18,7 +18,7 @@ for _name, _value in [("nn", "(close - m) / s"), ("diffusion", "2 * (close - lo)
     on_bars(f"scaler_{_name}", with_bars(f"SELECT symbol, ts, {r(_value, 'value')} FROM prev, {STATS}"), lambda b, n=_name: b.select("symbol", "ts", transforms.Scaler(n).fit(b, "close").transform(F.col("close")).alias("value")))
 on_bars("feature_pipeline", with_bars(f"SELECT symbol, ts, {FRAC} AS q FROM prev", f"SELECT symbol, ts, {r('(q - m) / s', 'value')} FROM prev, {STATS}"), lambda b: transforms.FeaturePipeline("nn").fit(b).transform(b))
 ROC = f"close / nullif({P}, 0) - 1"
-on_bars("quantize", with_bars(f"SELECT symbol, ts, {ROC} AS q, close FROM prev", "SELECT symbol, ts, CAST(round(least(greatest(q, -2147), 2147) * 1000000) AS BIGINT) AS q_return, CAST(round(close * 100000) AS BIGINT) AS q_close FROM prev"),
+on_bars("quantize", with_bars(f"SELECT symbol, ts, {ROC} AS q, close FROM prev", "SELECT symbol, ts, CASE WHEN q IS NOT NULL THEN CAST(round(least(greatest(q, -2147), 2147) * 1000000) AS BIGINT) END AS q_return, CAST(round(close * 100000) AS BIGINT) AS q_close FROM prev"),
         lambda b: derived.returns(b).select("symbol", "ts", transforms.quantize(F.col("return"), "return").alias("q_return"), transforms.quantize(F.col("close"), "sma").alias("q_close")))
 on_bars("dequantize", with_bars("SELECT symbol, ts, round(CAST(round(close * 100000) AS BIGINT) / 100000.0, 6) + 0.0 AS close FROM prev"), lambda b: b.select("symbol", "ts", transforms.dequantize(transforms.quantize(F.col("close"), "sma"), "sma").alias("close")))
 MONTH_HALF = "day(ts) <= 15"
