@@ -6,9 +6,11 @@ pigeonhole principle they agree in one of the first d + 1 parts that are not emp
 equality, per size band. A second sketch, one bit flipped for each shingle, has a Hamming distance that never exceeds the
 number of differing shingles and turns candidates away before their shingles are compared.
 
-A pair that qualifies always meets: parts are so few that many more than d + 1 hold a shingle. Documents with equal sets are one node from the
-start. Within a bucket of equal sketches only the pairs with its first member are verified at first; where its members
-then still belong to several components, pairs across these are verified in growing numbers until none is left.
+A pair that qualifies always meets: parts are so few that many more than d + 1 hold a shingle. Documents with equal sets are one node
+from the start, named by the set's hash. Within a bucket of equal sketches every node is verified against its smallest
+partners that the bit sketches allow, and in later rounds, while components in a bucket differ, against more of them, until
+no allowed pair across components is left unverified. So a group of thousands of near copies is a star, not all its pairs,
+and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlume.llm.common import stage
@@ -87,14 +89,18 @@ def keys_and_sketch(s: np.ndarray, band: int, allowed: int) -> tuple[np.ndarray,
     return keys, np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-SKETCHED = "doc_id bigint, n bigint, same binary, keys0 array<bigint>, keys1 array<bigint>, bits0 binary, bits1 binary"
+SKETCHED = "doc_id bigint, n bigint, node bigint, keys0 array<bigint>, keys1 array<bigint>, bits0 binary, bits1 binary"
 
 
-def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row a document: set size, hash of the set, and keys and bits for its own band (0) and the next (1) if a partner may be there."""
+def sketch(docs: DataFrame, words: int, percent: int, remember: int = 200_000) -> DataFrame:
+    """One row a document: set size, node, and keys and bits for its own band (0) and the next (1) if a partner may be there.
+
+    Nodes are multiples of 2. A task gives keys and bits for a set once (as far back as it remembers), whatever the number
+    of copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
+        shingles, seen = Shingles(words), set()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for i in range(0, len(ids), 500):
@@ -103,75 +109,114 @@ def sketch(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     s = shingles.of(text)
                     n = len(s)
                     if n == 0:
-                        rows.append((key, 0, b"e" + str(key).encode(), None, None, None, None))
+                        rows.append((key, 0, None, None, None, None, None))
+                        continue
+                    node = (xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 << 1) - 2**63
+                    if node in seen:
+                        rows.append((key, n, node, None, None, None, None))
                         continue
+                    if len(seen) >= remember:
+                        seen.clear()
+                    seen.add(node)
                     allowed, band = (100 - percent) * n // percent, band_of(n)
                     own = keys_and_sketch(s, band, allowed)
                     up = keys_and_sketch(s, max(band + 1, band_of(SMALL)), allowed) if band_of(100 * n // percent) > band else (None, None)
-                    rows.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), own[0].view(np.int64), None if up[0] is None else up[0].view(np.int64), own[1], up[1]))
+                    rows.append((key, n, node, own[0].view(np.int64), None if up[0] is None else up[0].view(np.int64), own[1], up[1]))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n", "same", "keys0", "keys1", "bits0", "bits1"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n", "node", "keys0", "keys1", "bits0", "bits1"])
 
     return docs.mapInArrow(run, SKETCHED)
 
 
 def shingle_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles): the hashes themselves."""
+    """(node, shingles): the hashes themselves, for docs (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 own = [shingles.of(t).view(np.int64) for t in b.column(1).slice(i, 200).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 200), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 200), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    left = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def partners(own: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The pairs (a, b) of one block pair of a bucket: for each node its most smallest allowed partners in other components, and whether there are more."""
+    own = own.drop_duplicates("node")
+    if len(own) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    node, n, comp, side = (own[c].to_numpy() for c in ("node", "n", "component", "at"))
+    within = own["x"].iloc[0] == own["y"].iloc[0]
+    bits = np.frombuffer(b"".join(own["bits"]), np.uint64).reshape(len(own), -1)
+    left, right, more = [], [], False
+    for i in range(len(own)):
+        j = np.flatnonzero((comp != comp[i]) & (within | (side != side[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        if len(j):
+            h = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[(100 + percent) * h <= (100 - percent) * (n[j] + n[i])]
+            more |= len(j) > most
+            left.append(np.minimum(node[j[:most]], node[i]))
+            right.append(np.maximum(node[j[:most]], node[i]))
+    return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64), more
+
+
 def across(members: DataFrame, percent: int, most: int, block: int = 512) -> DataFrame:
-    """(a, b, more): for each bucket, up to most pairs for every two of its components whose bit sketches allow similarity, the nearest first.
+    """(a, b, more): the pairs to verify next, see partners(). more tells that some were left for a later round.
 
-    members: key, rep, n, bits, component, size of the bucket. A large bucket is cut into blocks that meet two by two in
-    tasks of their own. more tells that pairs were left for a later round.
+    members: key, node, n, bits, component, size of the bucket. A large bucket is cut into blocks that meet two by two, each
+    meeting being dealt on its own, so that no task gets a whole bucket. Small buckets share a call.
     """
 
-    def compare(own: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "more": np.zeros(0, bool)})
-        own = own.drop_duplicates("rep").sort_values("rep")
-        same_block = own["x"].iloc[0] == own["y"].iloc[0]
-        rep, n, comp, side = (own[c].to_numpy() for c in ("rep", "n", "component", "at"))
-        bits = np.stack([np.frombuffer(x, np.uint64) for x in own["bits"]])
-        found = []
-        for i in range(len(own) - 1):
-            j = np.arange(i + 1, len(own))
-            j = j[(comp[j] != comp[i]) & (same_block | (side[j] != side[i])) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            h = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            ok = (100 + percent) * h <= (100 - percent) * (n[j] + n[i])
-            found.append(pd.DataFrame({"a": rep[i], "b": rep[j][ok], "h": h[ok], "c": np.minimum(comp[i], comp[j][ok]), "d": np.maximum(comp[i], comp[j][ok])}))
-        if not found:
-            return none
-        all_pairs = pd.concat(found).sort_values(["h", "a", "b"], kind="stable")
-        rank = all_pairs.groupby(["c", "d"]).cumcount()
-        out = all_pairs[rank < most]
-        return pd.DataFrame({"a": out["a"], "b": out["b"], "more": bool((rank >= most).any())}) if len(out) else none
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for last, batch in ends(batches):
+            own = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            k = own[["key", "x", "y"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)] if len(k) else [0]
+            if last:
+                cuts.append(len(own))
+            found = [partners(own.iloc[s:e], percent, most) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e - s > 1]
+            rest = None if last else own.iloc[cuts[-1] :]
+            yield pd.DataFrame({
+                "a": np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)]), "b": np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)]),
+                "more": np.repeat([False, *(f[2] for f in found)], [0, *(len(f[0]) for f in found)]),
+            })
 
     parts = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.withColumn("at", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    met = dealt.withColumn("o", other).select("key", "rep", "n", "bits", "component", "at", F.least("at", "o").alias("x"), F.greatest("at", "o").alias("y"))
-    return met.groupBy("key", "x", "y").applyInPandas(compare, "a bigint, b bigint, more boolean")
+    dealt = members.withColumn("at", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = met.select("key", F.least("at", "o").alias("x"), F.greatest("at", "o").alias("y"), "node", "n", "component", "at", "bits")
+    met = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    return met.mapInPandas(compare, "a bigint, b bigint, more boolean")
+
+
+def ends(items: Iterator) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Each item with whether it is the last."""
+    held = None
+    for item in items:
+        if held is not None:
+            yield False, held
+        held = item
+    if held is not None:
+        yield True, held
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+def texts_of(texts: DataFrame, ids: DataFrame, small: int) -> DataFrame:
+    """The rows (doc_id, text) of some ids (doc_id, node): a broadcast join for up to small ids, else one that shuffles."""
+    return texts.join(F.broadcast(ids) if ids.count() <= small else ids, "doc_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, small: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id) for every row: set size, and the smallest id reachable over links.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a set holds the distinct runs of ``words``
@@ -181,39 +226,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stage(sketch(texts, words, percent), "sketches")
-    classes = rows.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = rows.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys0").alias("key"), F.lit(0).cast("byte").alias("slot"))
-    keyed = keyed.unionByName(reps.select(F.col("doc_id").alias("rep"), F.explode("keys1").alias("key"), F.lit(1).cast("byte").alias("slot")))
-    met = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stage(keyed.join(met, "key").select("key", "rep", "slot", "size"), "buckets")
-
-    sketches = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "bits0", "bits1")
-    members = stage(
-        members.join(sketches.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "size", "n", F.when(F.col("slot") == 0, F.col("bits0")).otherwise(F.col("bits1")).alias("bits")),
-        "buckets",
-    )
-    leaders = members.groupBy("key").agg(F.min(F.struct("rep", "n", "bits")).alias("lead"))
-    pairs = members.join(leaders, "key").filter((F.col("rep") != F.col("lead.rep")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-    pairs = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    shingles = stage(shingle_table(texts.join(needed, "doc_id", "left_semi"), words), "shingles")
-
-    links = stage(verified(pairs, shingles, percent), "links")
-    most = 4
+    # the last bit of a node tells the band in which it offers a key
+    keyed = rows.select(F.explode("keys0").alias("key"), F.col("node").alias("offer")).unionByName(rows.select(F.explode("keys1").alias("key"), (F.col("node") + 1).alias("offer")))
+    bucket = Window.partitionBy("key")
+    met = keyed.withColumns({"lo": F.min("offer").over(bucket), "hi": F.max("offer").over(bucket)}).filter("shiftright(lo, 1) <> shiftright(hi, 1)").select("key", "offer").distinct()
+    met = met.withColumns({"size": F.count("*").over(bucket), "sign": F.sum(F.xxhash64("offer").cast("decimal(38,0)")).over(bucket)})
+    met = stage(met, "buckets")
+    # buckets with the same members need one look
+    one = met.groupBy("size", "sign").agg(F.min("key").alias("key"))
+    offers = rows.filter("bits0 IS NOT NULL").select("node", "n", "bits0", "bits1").dropDuplicates(["node"])
+    members = met.join(one.select("key"), "key", "left_semi").select("key", "size", F.shiftleft(F.shiftright("offer", 1), 1).alias("node"), (F.col("offer").bitwiseAND(F.lit(1)) == 1).alias("up"))
+    members = members.join(offers, "node").select("key", "size", "node", "n", F.when(F.col("up"), F.col("bits1")).otherwise(F.col("bits0")).alias("bits"))
+    members = stage(members, "members")
+
+    most, links, shingles = 1, None, None
     while True:
-        labels = stage(components(links), "components")
-        open_ = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        found = stage(across(open_.join(mixed_keys, "key"), percent, most), "pairs")
-        fresh = stage(verified(found.select("a", "b").distinct(), shingles, percent), "links")
-        more = found.filter("more").limit(1).count()
-        if fresh.limit(1).count():
-            links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)
-            links = stage(links, "links")
-        if not more:
-            labels = stage(components(links), "components")
+        labels = None if links is None else stage(components(links), "components")
+        if labels is None:
+            open_ = members.withColumn("component", F.col("node"))
+        else:
+            open_ = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+            open_ = open_.join(mixed_keys, "key", "left_semi")
+        found = stage(across(open_, percent, most), "pairs")
+        if shingles is None:  # whoever may ever be verified has a partner in the first round
+            some = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+            holders = stage(rows.join(some, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "holders")
+            shingles = stage(shingle_table(texts_of(texts, holders, small).dropDuplicates(["node"]).select("node", "text"), words), "shingles")
+        fresh = verified(found.select("a", "b").distinct(), shingles, percent)
+        if labels is not None:
+            fresh = fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        links = stage(fresh, "links")
+        if found.filter("more").limit(1).count() == 0:
             break
-        most *= 4
-    named = rows.select("doc_id", "n", "same").join(classes, "same", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+        most = 8 * most
+    labels = stage(components(links), "components")
+    named = rows.select("doc_id", "n", "node").join(labels, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = named.filter("n > 0").join(least, "component").unionByName(named.filter("n = 0").withColumn("component_id", F.col("doc_id")))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
