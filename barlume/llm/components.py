@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import stage
+from barlume.llm.common import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node reachable.
 
     Every round sends each node's neighbours to their smallest one; minima are pre-aggregated before the shuffle and the
-    joins behind them may be split, so a hub does not land whole in one task. Rounds are written to the shared folder.
+    joins behind them may be split, so a hub does not land whole in one task. Rounds are written to the scratch folder.
     """
-    edges = stage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = scratch.stage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.unionByName(kept).filter("a > b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
-        edges = stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        edges = scratch.stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

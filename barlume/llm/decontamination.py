@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import ascii_lower, stage
+from barlume.llm.common import Scratch, ascii_lower, stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -76,6 +76,11 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     nothing, rows with one item id are one item, a null item id counts as ''. Repeated documents are judged each, empty
     tables on either side are fine, other columns are ignored.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return _mark(docs, benchmark, scratch, id_col, text_col, item_id_col, item_text_col, window, gram)
+
+
+def _mark(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int, gram: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = {"d": F.coalesce(F.col("id").cast("string"), F.lit("")), "t": F.coalesce(F.xxhash64("text"), F.lit(0))}
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), words(F.col(item_text_col)).alias("words")).filter(F.size("words") > 0).distinct()
@@ -87,10 +92,10 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     run = F.lit(None).cast("bigint")
     for n in lengths:
         run = F.when(F.size("words") == n, F.xxhash64(*[F.get(F.col("h"), F.lit(j)) for j in range(n)])).otherwise(run)
-    own = stage(own.select("item_id", "words", "seeds", "fps", run.alias("run")), "items")
+    own = scratch.stage(own.select("item_id", "words", "seeds", "fps", run.alias("run")), "items")
 
     texts = fingerprinted(rows.withColumns(key | {"words": words(F.col("text"))}), window, gram, lengths)
-    texts = stage(texts.select("id", "d", "t", "n_words", "fps", "runs"), "fingerprints")
+    texts = scratch.stage(texts.select("id", "d", "t", "n_words", "fps", "runs"), "fingerprints")
     prints = own.select(F.explode("fps").alias("p"), "item_id").distinct()
     found = texts.select("d", "t", F.explode("fps").alias("p")).join(prints, "p").select("d", "t", "item_id")
     if lengths:
@@ -110,7 +115,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
     out = texts.select("id", "d", "t", "n_words").join(hit, ["d", "t"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("names"), F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans",
     )
+    return stage(out, "contamination")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlume.llm.common import stage
+from barlume.llm.common import Scratch, stage
 from barlume.llm.components import components
 
 SMALL = 64  # sets below this size form one band in which every shingle is a part
@@ -224,45 +224,50 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     percent / 100. Null texts and texts without words have an empty set and link with nothing: their component is their own
     id. Repeated rows of a document are returned each; an empty table gives an empty one; other columns are ignored.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs, scratch, id_col, text_col, words, percent, small)
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int, small: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(sketch(texts, words, percent), "sketches")
+    rows = scratch.stage(sketch(texts, words, percent), "sketches")
     # the last bit of a node tells the band in which it offers a key
     keyed = rows.select(F.explode("keys0").alias("key"), F.col("node").alias("offer")).unionByName(rows.select(F.explode("keys1").alias("key"), (F.col("node") + 1).alias("offer")))
     bucket = Window.partitionBy("key")
     met = keyed.withColumns({"lo": F.min("offer").over(bucket), "hi": F.max("offer").over(bucket)}).filter("shiftright(lo, 1) <> shiftright(hi, 1)").select("key", "offer").distinct()
     met = met.withColumns({"size": F.count("*").over(bucket), "sign": F.sum(F.xxhash64("offer").cast("decimal(38,0)")).over(bucket)})
-    met = stage(met, "buckets")
+    met = scratch.stage(met, "buckets")
     # buckets with the same members need one look
     one = met.groupBy("size", "sign").agg(F.min("key").alias("key"))
     offers = rows.filter("bits0 IS NOT NULL").select("node", "n", "bits0", "bits1").dropDuplicates(["node"])
     members = met.join(one.select("key"), "key", "left_semi").select("key", "size", F.shiftleft(F.shiftright("offer", 1), 1).alias("node"), (F.col("offer").bitwiseAND(F.lit(1)) == 1).alias("up"))
     members = members.join(offers, "node").select("key", "size", "node", "n", F.when(F.col("up"), F.col("bits1")).otherwise(F.col("bits0")).alias("bits"))
-    members = stage(members, "members")
+    members = scratch.stage(members, "members")
 
     most, links, shingles = 1, None, None
     while True:
-        labels = None if links is None else stage(components(links), "components")
+        labels = None if links is None else scratch.stage(components(links, scratch), "components")
         if labels is None:
             open_ = members.withColumn("component", F.col("node"))
         else:
             open_ = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
             open_ = open_.join(mixed_keys, "key", "left_semi")
-        found = stage(across(open_, percent, most), "pairs")
+        found = scratch.stage(across(open_, percent, most), "pairs")
         if shingles is None:  # whoever may ever be verified has a partner in the first round
             some = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-            holders = stage(rows.join(some, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "holders")
-            shingles = stage(shingle_table(texts_of(texts, holders, small).dropDuplicates(["node"]).select("node", "text"), words), "shingles")
+            holders = scratch.stage(rows.join(some, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "holders")
+            shingles = scratch.stage(shingle_table(texts_of(texts, holders, small).dropDuplicates(["node"]).select("node", "text"), words), "shingles")
         fresh = verified(found.select("a", "b").distinct(), shingles, percent)
         if labels is not None:
             fresh = fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        links = stage(fresh, "links")
+        links = scratch.stage(fresh, "links")
         if found.filter("more").limit(1).count() == 0:
             break
         most = 8 * most
-    labels = stage(components(links), "components")
+    labels = scratch.stage(components(links, scratch), "components")
     named = rows.select("doc_id", "n", "node").join(labels, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.filter("n > 0").join(least, "component").unionByName(named.filter("n = 0").withColumn("component_id", F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return stage(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "components")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import stage
+from barlume.llm.common import Scratch
 
 UNKNOWN = "und"
 MARK = "▁"
@@ -170,34 +170,35 @@ def learn(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_col:
                     seen = {}
         yield rows(seen)
 
-    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = stage(labelled.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    documents = {r["lang"]: r["n"] for r in counted.filter("word = ''").collect()}
-    languages = sorted(documents)
-    words = counted.filter("word <> ''")
-    p: np.ndarray | None = None
-    for i in range(rounds + 1):
-        known = dict(zip(languages, p.T, strict=True)) if p is not None else {}
-
-        def expect(batches: Iterator[pa.RecordBatch], known: dict = known) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(pieces), {}
-            for b in batches:
-                lang, word, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()
-                for k in set(lang):
-                    own = np.array([j for j, x in enumerate(lang) if x == k])
-                    total[k] = total.get(k, 0) + expected_counts(lattice, [word[j] for j in own], n[own].astype(float), known.get(k))
-            for k, t in total.items():
-                at = np.flatnonzero(t)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(t[at])], ["lang", "piece", "n"])
-
-        sums = words.mapInArrow(expect, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
-        c = np.zeros((len(pieces) + 1, len(languages)))
-        column = {k: j for j, k in enumerate(languages)}
-        for r in sums:
-            c[r["piece"], column[r["lang"]]] = r["n"]
-        p = np.stack([normalised(x, smoothing) for x in c.T], axis=1) if languages else c
-    n = np.array([documents[k] for k in languages], float)
-    return LanguageModel(languages, pieces, p, np.log(n / n.sum()) if languages else n)
+    with Scratch(docs.sparkSession) as scratch:
+        labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+        counted = scratch.stage(labelled.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+        documents = {r["lang"]: r["n"] for r in counted.filter("word = ''").collect()}
+        languages = sorted(documents)
+        words = counted.filter("word <> ''")
+        p: np.ndarray | None = None
+        for i in range(rounds + 1):
+            known = dict(zip(languages, p.T, strict=True)) if p is not None else {}
+
+            def expect(batches: Iterator[pa.RecordBatch], known: dict = known) -> Iterator[pa.RecordBatch]:
+                lattice, total = Lattice(pieces), {}
+                for b in batches:
+                    lang, word, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()
+                    for k in set(lang):
+                        own = np.array([j for j, x in enumerate(lang) if x == k])
+                        total[k] = total.get(k, 0) + expected_counts(lattice, [word[j] for j in own], n[own].astype(float), known.get(k))
+                for k, t in total.items():
+                    at = np.flatnonzero(t)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(t[at])], ["lang", "piece", "n"])
+
+            sums = words.mapInArrow(expect, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+            c = np.zeros((len(pieces) + 1, len(languages)))
+            column = {k: j for j, k in enumerate(languages)}
+            for r in sums:
+                c[r["piece"], column[r["lang"]]] = r["n"]
+            p = np.stack([normalised(x, smoothing) for x in c.T], axis=1) if languages else c
+        n = np.array([documents[k] for k in languages], float)
+        return LanguageModel(languages, pieces, p, np.log(n / n.sum()) if languages else n)
 
 
 class Scorer:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlume.llm.common import stage
+from barlume.llm.common import Scratch
 from barlume.llm.language_id import Lattice, grids
 
 MARK = "▁"
@@ -298,8 +298,9 @@ def encode_documents(docs: DataFrame, model_path: str, *, kind: str = "bpe", id_
     """
     docs = docs.drop("n_tokens", "ids")
     v = Vocabulary.load(model_path, kind)
-    words = stage(frequent_words(docs, text_col, table_words), "words")
-    known = {r["word"]: r["ids"] for r in encode_words(words, v).collect()}  # at most table_words rows
+    with Scratch(docs.sparkSession) as scratch:
+        words = scratch.stage(frequent_words(docs, text_col, table_words), "words")
+        known = {r["word"]: r["ids"] for r in encode_words(words, v).collect()}  # at most table_words rows
     shared = docs.sparkSession.sparkContext.broadcast((v, known))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlume.llm import byte_bpe, rans
-from barlume.llm.common import shared_folder, stage, text_bytes
+from barlume.llm.common import Scratch, shared_folder, text_bytes
 
 DOCUMENT = "doc_id bigint, n_tokens bigint, ids binary"
 
@@ -89,26 +89,27 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, *, end_id:
     edges = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
     bucket = F.coalesce(F.size(F.filter(edges, lambda e: e < F.col("doc_id"))), F.lit(0))
     encoded = encode_documents(docs, tokenizer_path, end_id, id_col, text_col).withColumn("bucket", bucket)
-    encoded = stage(encoded.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "ids"), "token-ids")
-    shared_table(encoded, kind).write.parquet(f"{path}/table")
-    sizes = encoded.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).orderBy("bucket").collect()  # at most 100,000 rows
-    first = dict(zip([r["bucket"] for r in sizes], np.cumsum([0, *(r["n"] for r in sizes)]).tolist(), strict=False))
-    table = spark.sparkContext.broadcast(load_table(spark, path, size))
-
-    def code(keys: tuple, own: pa.Table) -> pa.Table:
-        order = pc.sort_indices(own, sort_keys=[("doc_id", "ascending"), ("ids", "ascending")], null_placement="at_start")
-        own, k = own.take(order), keys[0].as_py()
-        blocks = rans.encode_blocks(np.frombuffer(b"".join(own["ids"].to_pylist()), kind).astype(np.int64), first[k], table.value)
-        rest = [None] * (len(blocks) - 1)  # the index of a bucket goes with its first block
-        return pa.table({
-            "bucket": pa.array([k] * len(blocks), pa.int32()), "block": pa.array(range(len(blocks)), pa.int32()),
-            "doc_ids": pa.array([own["doc_id"].to_pylist(), *rest], pa.list_(pa.int64())),
-            "lengths": pa.array([own["n_tokens"].to_numpy().astype("<i8").tobytes(), *rest], pa.binary()),
-            "payload": pa.array(blocks, pa.binary()),
-        })
-
-    coded = encoded.groupBy("bucket").applyInArrow(code, "bucket int, block int, doc_ids array<bigint>, lengths binary, payload binary")
-    coded.write.option("compression", "none").parquet(f"{path}/blocks")
+    with Scratch(spark) as scratch:
+        encoded = scratch.stage(encoded.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "ids"), "token-ids")
+        shared_table(encoded, kind).write.parquet(f"{path}/table")
+        sizes = encoded.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).orderBy("bucket").collect()  # at most 100,000 rows
+        first = dict(zip([r["bucket"] for r in sizes], np.cumsum([0, *(r["n"] for r in sizes)]).tolist(), strict=False))
+        table = spark.sparkContext.broadcast(load_table(spark, path, size))
+
+        def code(keys: tuple, own: pa.Table) -> pa.Table:
+            order = pc.sort_indices(own, sort_keys=[("doc_id", "ascending"), ("ids", "ascending")], null_placement="at_start")
+            own, k = own.take(order), keys[0].as_py()
+            blocks = rans.encode_blocks(np.frombuffer(b"".join(own["ids"].to_pylist()), kind).astype(np.int64), first[k], table.value)
+            rest = [None] * (len(blocks) - 1)  # the index of a bucket goes with its first block
+            return pa.table({
+                "bucket": pa.array([k] * len(blocks), pa.int32()), "block": pa.array(range(len(blocks)), pa.int32()),
+                "doc_ids": pa.array([own["doc_id"].to_pylist(), *rest], pa.list_(pa.int64())),
+                "lengths": pa.array([own["n_tokens"].to_numpy().astype("<i8").tobytes(), *rest], pa.binary()),
+                "payload": pa.array(blocks, pa.binary()),
+            })
+
+        coded = encoded.groupBy("bucket").applyInArrow(code, "bucket int, block int, doc_ids array<bigint>, lengths binary, payload binary")
+        coded.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_file(spark: SparkSession, path: str, vocabulary: int, *, with_ids: bool = True) -> DataFrame:

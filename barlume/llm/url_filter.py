@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import UPPER, stage
+from barlume.llm.common import UPPER, Scratch
 
 
 @dataclass(frozen=True)
@@ -134,8 +134,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed_domains: DataFrame, *
     """
     keys = listed_domains.select(F.lower(F.col(listed_domains.columns[0])).alias("key")).filter(F.col("key").isNotNull()).distinct()
     rows = pages.select(F.col(id_col).alias(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    universe = stage(rows.select("host").distinct().select(F.explode(domains_of(F.col("host"))).alias("key")).distinct(), "url-keys")
-    levels = build_cascade(universe, keys, max_bits)
+    with Scratch(pages.sparkSession) as scratch:
+        universe = scratch.stage(rows.select("host").distinct().select(F.explode(domains_of(F.col("host"))).alias("key")).distinct(), "url-keys")
+        levels = build_cascade(universe, keys, max_bits)
     if levels is None:
         hosts = rows.select("host").distinct().withColumn("key", F.explode(domains_of(F.col("host"))))
         marked = hosts.join(keys, "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
