@@ -56,11 +56,15 @@ class ByteBpe:
         self.split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.remember = remember
-        self.forget()
+        self.index = Numbered()
+        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        self.index = Numbered()
-        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Drops the later half of the words: those met first are the frequent ones."""
+        half = self.remember // 2
+        self.index = Numbered(itertools.islice(self.index.items(), half))
+        self.sizes, self.starts = self.sizes[:half], self.starts[:half]
+        self.ids = self.ids[: int(self.starts[-1] + self.sizes[-1])]
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words, from the library's model: a word has been split already."""
@@ -69,7 +73,7 @@ class ByteBpe:
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.int64)])
+        self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.int32)])
 
     def plain(self, text: str) -> bool:
         return self.split and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
@@ -101,7 +105,7 @@ class ByteBpe:
                 out[i] = flat[a:b]
         rest = [i for i in range(len(texts)) if out[i] is None]
         for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
-            out[i] = np.array(e.ids, np.int64)
+            out[i] = np.array(e.ids, np.int32)
         return out
 
     def count(self, texts: list[str]) -> np.ndarray:
