@@ -28,11 +28,11 @@ GIVEN = {
 }
 TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sra"]
 
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join([*(n for names in GIVEN.values() for n in names), *(t + '[.]?' for t in TITLES)])}) \p{{Lu}}\p{{Ll}}{{2,}}(?![\p{{L}}\p{{N}}])"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:{'|'.join([*(n for names in GIVEN.values() for n in names), *(t + '[.]?' for t in TITLES)])}) \p{{Lu}}\p{{Ll}}{{2,}}(?![\p{{L}}\p{{N}}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}][\p{L}\p{N}-]*[.])+\p{L}{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}[.]){{3}}{OCTET}(?![0-9]|[.][0-9])"
-SECRET = r'(?<=(?:token|TOKEN|Token|secret|SECRET|key|KEY|password|PASSWORD) ?[=:] ?"?)[\p{L}\p{N}_-]{16,}'
+SECRET = r'(?<![\p{L}\p{N}_-])(?=[\p{L}\p{N}_-]{16})(?<=(?:token|TOKEN|Token|secret|SECRET|key|KEY|password|PASSWORD) ?[=:] ?"?)[\p{L}\p{N}_-]{16,}'
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
