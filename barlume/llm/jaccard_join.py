@@ -171,7 +171,7 @@ def partners(own: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np
 
 
 def across(members: DataFrame, percent: int, most: int, block: int = 512) -> DataFrame:
-    """(a, b, more): the pairs to verify next, see partners(). more tells that some were left for a later round.
+    """(key, a, b, more): the pairs to verify next, see partners(). more tells that the bucket has others, for a later round.
 
     members: key, node, n, bits, component, size of the bucket. A large bucket is cut into blocks that meet two by two, each
     meeting being dealt on its own, so that no task gets a whole bucket. Small buckets share a call.
@@ -185,11 +185,13 @@ def across(members: DataFrame, percent: int, most: int, block: int = 512) -> Dat
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1)] if len(k) else [0]
             if last:
                 cuts.append(len(own))
-            found = [partners(own.iloc[s:e], percent, most) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e - s > 1]
+            found = [(k[s, 0], *partners(own.iloc[s:e], percent, most)) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e - s > 1]
             rest = None if last else own.iloc[cuts[-1] :]
+            sizes = [0, *(len(f[1]) for f in found)]
             yield pd.DataFrame({
-                "a": np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)]), "b": np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)]),
-                "more": np.repeat([False, *(f[2] for f in found)], [0, *(len(f[0]) for f in found)]),
+                "key": np.repeat(np.array([0, *(f[0] for f in found)], np.int64), sizes),
+                "a": np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)]), "b": np.concatenate([np.zeros(0, np.int64), *(f[2] for f in found)]),
+                "more": np.repeat([False, *(f[3] for f in found)], sizes),
             })
 
     parts = F.ceil(F.col("size") / block).cast("int")
@@ -197,7 +199,7 @@ def across(members: DataFrame, percent: int, most: int, block: int = 512) -> Dat
     met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
     met = met.select("key", F.least("at", "o").alias("x"), F.greatest("at", "o").alias("y"), "node", "n", "component", "at", "bits")
     met = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
-    return met.mapInPandas(compare, "a bigint, b bigint, more boolean")
+    return met.mapInPandas(compare, "key bigint, a bigint, b bigint, more boolean")
 
 
 def ends(items: Iterator) -> Iterator[tuple[bool, pd.DataFrame]]:
@@ -244,15 +246,13 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: s
     members = members.join(offers, "node").select("key", "size", "node", "n", F.when(F.col("up"), F.col("bits1")).otherwise(F.col("bits0")).alias("bits"))
     members = scratch.stage(members, "members")
 
-    most, links, shingles = 1, None, None
+    most, links, shingles, pending = 1, None, None, members
     while True:
         labels = None if links is None else scratch.stage(components(links, scratch), "components")
         if labels is None:
-            open_ = members.withColumn("component", F.col("node"))
+            open_ = pending.withColumn("component", F.col("node"))
         else:
-            open_ = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-            open_ = open_.join(mixed_keys, "key", "left_semi")
+            open_ = pending.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         found = scratch.stage(across(open_, percent, most), "pairs")
         if shingles is None:  # whoever may ever be verified has a partner in the first round
             some = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
@@ -262,9 +262,10 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: s
         if labels is not None:
             fresh = fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         links = scratch.stage(fresh, "links")
-        if found.filter("more").limit(1).count() == 0:
+        again = found.filter("more").select("key").distinct()  # the other buckets have been looked through
+        if again.limit(1).count() == 0:
             break
-        most = 8 * most
+        pending, most = members.join(again, "key", "left_semi"), 8 * most
     labels = scratch.stage(components(links, scratch), "components")
     named = rows.select("doc_id", "n", "node").join(labels, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
