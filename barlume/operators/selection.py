@@ -108,21 +108,76 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252))
 
 
-def ksg(x: np.ndarray, y: np.ndarray, k: int, rng: np.random.Generator) -> float:
-    """The mutual information of two series, never below 0; distances are taken a block of rows at a time."""
-    n = len(x)
+def closer(nearest: np.ndarray, at: tuple, d: np.ndarray) -> None:
+    """Takes the distances d into the sorted smallest distances nearest[0], nearest[1], ... at some places."""
+    for row in nearest:
+        own = row[at]
+        row[at], d = np.minimum(own, d), np.maximum(own, d)
+
+
+def radii(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The distance, by the larger of the two differences, of each point to its k-th neighbour: for many series, rows of x in rising order.
+
+    Points meet in order of their ranks in x until the difference in x alone is no less than the k-th distance.
+    """
+    m, n = x.shape
+    near, d, few = np.full((k, m, n), np.inf), 1, False
+    while d < n and not few:
+        gap, left, right = x[:, d:] - x[:, :-d], np.s_[:, : n - d], np.s_[:, d:]
+        if d % 8 == 0:
+            few = np.count_nonzero((gap < near[-1][left]) | (gap < near[-1][right])) < 0.2 * gap.size
+        if not few:
+            both = np.maximum(gap, np.abs(y[:, d:] - y[:, :-d]))
+            closer(near, left, both)
+            closer(near, right, both)
+            d += 1
+    near, x, y = near.reshape(k, -1), x.ravel(), y.ravel()
+    for sign in (1, -1):
+        own, step = np.arange(m * n), d
+        while len(own) and step < n:
+            own = own[(own % n + step < n) if sign > 0 else (own % n >= step)]
+            gap = np.abs(x[own + sign * step] - x[own])
+            own, gap = own[gap < near[-1][own]], gap[gap < near[-1][own]]
+            closer(near, (own,), np.maximum(gap, np.abs(y[own + sign * step] - y[own])))
+            step += 1
+    return near[-1].reshape(m, n)
+
+
+def scaled(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The series at a spread of 1, with a little noise to part equal values."""
+    v = v / s if (s := v.std()) > 0 else v
+    return v + 1e-10 * max(1, np.abs(v).mean()) * rng.standard_normal(len(v))
+
+
+def within(v: np.ndarray, s: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many of the sorted s differ from v by r at most; the search is set right where v + r or v - r was rounded."""
+    end = np.append(s, np.inf)
+    hi = np.searchsorted(s, v + r, "right")
+    hi += (end[hi] - v <= r).astype(int) - (s[hi - 1] - v > r)
+    end = np.insert(s, 0, -np.inf)
+    lo = np.searchsorted(s, v - r, "left")
+    lo += (v - s[np.minimum(lo, len(s) - 1)] > r).astype(int) - (v - end[lo] <= r)
+    return hi - lo
+
+
+def ksg_many(series: list[tuple[np.ndarray, np.ndarray, np.random.Generator]], k: int) -> list[float]:
+    """ksg() of many pairs of series of one length."""
+    n = len(series[0][0])
     if n <= k:
-        return float("nan")
-    x, y = (v / s if (s := v.std()) > 0 else v for v in (x, y))
-    x, y = x + 1e-10 * max(1, np.abs(x).mean()) * rng.standard_normal(n), y + 1e-10 * max(1, np.abs(y).mean()) * rng.standard_normal(n)
-    sx, sy, nx, ny = np.sort(x), np.sort(y), np.empty(n), np.empty(n)
-    for s in range(0, n, 512):
-        d = np.maximum(np.abs(x[s : s + 512, None] - x), np.abs(y[s : s + 512, None] - y))
-        radius = np.nextafter(np.partition(d, k, axis=1)[:, k], 0)
-        for v, own, out in ((x, sx, nx), (y, sy, ny)):
-            c = v[s : s + 512]
-            out[s : s + 512] = np.searchsorted(own, c + radius, "right") - np.searchsorted(own, c - radius, "left")
-    return max(0.0, float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0] - digamma(nx).mean() - digamma(ny).mean()))
+        return [float("nan")] * len(series)
+    own = [(scaled(x, rng), scaled(y, rng)) for x, y, rng in series]
+    order = [np.argsort(x) for x, _ in own]
+    x, y = np.array([v[0][o] for v, o in zip(own, order, strict=True)]), np.array([v[1][o] for v, o in zip(own, order, strict=True)])
+    radius, psi, out = np.nextafter(radii(x, y, k), 0), digamma(np.arange(1, n + 1)), []
+    for a, b, r in zip(x, y, radius, strict=True):
+        counts = [within(a, a, r), within(b, np.sort(b), r)]
+        out.append(max(0.0, float(psi[n - 1] + psi[k - 1] - psi[counts[0] - 1].mean() - psi[counts[1] - 1].mean())))
+    return out
+
+
+def ksg(x: np.ndarray, y: np.ndarray, k: int, rng: np.random.Generator) -> float:
+    """The mutual information of two series, never below 0."""
+    return ksg_many([(x, y, rng)], k)[0]
 
 
 def grouped_scores(long: DataFrame, keys: list[str], score, schema: str) -> DataFrame:  # noqa: ANN001
@@ -130,43 +185,66 @@ def grouped_scores(long: DataFrame, keys: list[str], score, schema: str) -> Data
     return long.groupBy(*keys).applyInPandas(lambda key, pdf: score(key, pdf), schema)
 
 
-def with_target(df: DataFrame, row_id: str, features: list[str], target: str) -> DataFrame:
-    y = df.select(F.col(row_id).alias("row"), F.col(target).cast("double").alias("y")).filter(F.col("y").isNotNull() & ~F.isnan("y"))
-    return long_form(df, row_id, features).join(y, "row")
+def with_target(df: DataFrame, row_id: str, features: list[str], target: str, by: list[str]) -> DataFrame:
+    """(by, row, y, feature, value) without missing values."""
+    y = df.select(*by, F.col(row_id).alias("row"), F.col(target).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features])
+    long = y.unpivot([*by, "row", "y"], features, "feature", "value")
+    return long.filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("y").isNotNull() & ~F.isnan("y"))
+
 
+def key_schema(df: DataFrame, by: list[str]) -> str:
+    return "".join(f"`{c}` {dict(df.dtypes)[c]}, " for c in by)
 
-def mutual_information(df: DataFrame, row_id: str, features: list[str], target: str, neighbors: int = 3, seed: int = 42, least: int = 100) -> DataFrame:
-    """(feature, mi): one task a feature; null with fewer than least rows. Meant for samples that fit a task, as it compares all rows of a feature."""
+
+def mutual_information(df: DataFrame, row_id: str, features: list[str], target: str, neighbors: int = 3, seed: int = 42, least: int = 100, by: list[str] | None = None) -> DataFrame:
+    """(by, feature, mi): one task for each feature of each group by; null with fewer than least rows. Meant for groups that fit a task."""
+    by = by or []
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
         v = None if len(pdf) < least else ksg(pdf["value"].to_numpy(), pdf["y"].to_numpy(), neighbors, np.random.default_rng(seed))
-        return pd.DataFrame({"feature": [key[0]], "mi": [v]})
+        return pd.DataFrame([[*key, v]], columns=[*by, "feature", "mi"])
 
-    return grouped_scores(with_target(df, row_id, features, target), ["feature"], score, "feature string, mi double")
+    return grouped_scores(with_target(df, row_id, features, target, by), [*by, "feature"], score, key_schema(df, by) + "feature string, mi double")
 
 
-def resampled_information(df: DataFrame, row_id: str, features: list[str], target: str, kind: str, replicates: int = 100, neighbors: int = 3, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """(feature, observed, center, spread, low, high, p_value): bootstrap or permutation of the rows, one task a feature and block of replicates."""
+def resampled_information(df: DataFrame, row_id: str, features: list[str], target: str, kind: str, replicates: int = 100, neighbors: int = 3, seed: int = 42, confidence: float = 0.95, by: list[str] | None = None, block: int = 250) -> DataFrame:
+    """(by, feature, observed, center, spread, low, high, p_value): bootstrap or permutation of the rows of each group by.
+
+    One task has a feature of a group and a block of replicates. All but the names are null for groups without more rows than neighbors.
+    """
     if kind not in ("bootstrap", "permutation"):
         raise ValueError(f"unknown kind {kind}")
-    long = with_target(df, row_id, features, target).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 20))))
+    by, blocks = by or [], -(-replicates // block)
+    long = with_target(df, row_id, features, target, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    long = long.repartition(min(400, blocks * len(features)), *by, "feature", "block")  # small in bytes, so it would be one task
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *group, number = key
         pdf = pdf.sort_values("row")
         x, y = pdf["value"].to_numpy(), pdf["y"].to_numpy()
+        if len(x) <= neighbors:
+            return pd.DataFrame([[*group, None, None]], columns=[*by, "feature", "observed", "value"])
         observed = ksg(x, y, neighbors, np.random.default_rng(seed))
-        values = []
-        for r in range(key[1] * 20, min(replicates, key[1] * 20 + 20)):
+
+        def drawn(r: int) -> tuple[np.ndarray, np.ndarray, np.random.Generator]:
             rng = np.random.default_rng([seed, r])
+            if kind == "permutation":
+                return x, rng.permutation(y), rng
             at = rng.integers(0, len(x), len(x))
-            values.append(ksg(x[at], y[at], neighbors, rng) if kind == "bootstrap" else ksg(x, rng.permutation(y), neighbors, rng))
-        return pd.DataFrame({"feature": key[0], "observed": observed, "value": values})
+            return x[at], y[at], rng
+
+        values, own = [], range(number * block, min(replicates, number * block + block))
+        some = max(1, 20_000 // len(x))  # as many at once as the processor's cache holds
+        for i in range(0, len(own), some):
+            values += ksg_many([drawn(r) for r in own[i : i + some]], neighbors)
+        return pd.DataFrame([[*group, observed, v] for v in values], columns=[*by, "feature", "observed", "value"])
 
-    draws = grouped_scores(long, ["feature", "block"], score, "feature string, observed double, value double")
+    draws = grouped_scores(long, [*by, "feature", "block"], score, key_schema(df, by) + "feature string, observed double, value double")
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    out = draws.groupBy("feature").agg(F.first("observed").alias("observed"), F.avg("value").alias("center"), F.stddev_samp("value").alias("spread"), F.avg((F.col("value") >= F.col("observed")).cast("double")).alias("p_value"))
-    return out.withColumns({"low": F.greatest(F.lit(0.0), F.col("observed") - z * F.col("spread")), "high": F.col("observed") + z * F.col("spread")})
+    out = draws.groupBy(*by, "feature").agg(F.first("observed").alias("observed"), F.avg("value").alias("center"), F.stddev_samp("value").alias("spread"), F.avg((F.col("value") >= F.col("observed")).cast("double")).alias("p_value"))
+    low = F.when(F.col("observed").isNotNull(), F.greatest(F.lit(0.0), F.col("observed") - z * F.col("spread")))
+    return out.withColumns({"low": low, "high": F.col("observed") + z * F.col("spread")})
 
 
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -193,26 +271,29 @@ def cohens_d(df: DataFrame, group: str, value: str, first: object, second: objec
     return m.withColumn("interpretation", F.when(d < 0.2, "negligible").when(d < 0.5, "small").when(d < 0.8, "medium").when(d.isNotNull(), "large"))
 
 
-def rank_stability(scores: DataFrame, window: str, feature: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """(window, spearman, regime_change): the rank correlation of the scores with those of the window before."""
-    ranked = scores.withColumn("__r", average_rank(F.col(score), window))
-    before = ranked.select((F.col(window) + 1).alias(window), F.col(feature), F.col("__r").alias("__b"))
-    out = ranked.join(before, [window, feature]).groupBy(window).agg(F.corr("__r", "__b").alias("spearman"))
+def rank_stability(scores: DataFrame, window: str, feature: str, score: str, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """(by, window, spearman, regime_change): the rank correlation of the scores with those of the window before, in each group by; 1 where it is not defined."""
+    by = by or []
+    order = Window.partitionBy(*by, feature).orderBy(window)
+    ranked = scores.withColumn("__r", average_rank(F.col(score), *by, window))
+    ranked = ranked.withColumn("__b", F.when(F.lag(window).over(order) == F.col(window) - 1, F.lag("__r").over(order))).filter("__b IS NOT NULL")
+    rho = F.try_divide(F.covar_pop("__r", "__b"), F.stddev_pop("__r") * F.stddev_pop("__b"))  # corr() fails on ranks that are all equal
+    out = ranked.groupBy(*by, window).agg(F.coalesce(rho, F.lit(1.0)).alias("spearman"))
     return out.withColumn("regime_change", F.col("spearman") < threshold)
 
 
-def rolling_information(df: DataFrame, row: str, features: list[str], target: str, window_size: int, step: int, neighbors: int = 3, seed: int = 42) -> DataFrame:
-    """(window, feature, mi) over row windows of a size and step; the column row numbers the rows from 0."""
-    n = df.withColumn("__n", F.col(row))
-    total = (df.agg(F.max(row)).first()[0] or 0) + 1
-    starts = list(range(0, total - window_size + 1, step))
+def rolling_information(df: DataFrame, row: str, features: list[str], target: str, window_size: int, step: int, neighbors: int = 3, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """(by, window, feature, mi) over row windows of a size and step; the column row numbers the rows of each group by from 0."""
+    by = by or []
+    most = F.max(row).over(Window.partitionBy(*by)) if by else F.lit(df.agg(F.max(row)).first()[0] or 0)
+    n = df.withColumns({"__n": F.col(row), "__last": F.floor((most + 1 - window_size) / step)})
     first = F.greatest(F.lit(0), F.ceil((F.col("__n") - window_size + 1) / step)).cast("int")
-    lastw = F.least(F.lit(len(starts) - 1), F.floor(F.col("__n") / step)).cast("int")
+    lastw = F.least(F.col("__last"), F.floor(F.col("__n") / step)).cast("int")
     n = n.withColumn("window", F.explode(F.when(first <= lastw, F.sequence(first, lastw)).otherwise(F.array().cast("array<int>"))))
-    parts = n.select("window", F.col("__n").alias("row"), F.col(target).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["window", "row", "y"], features, "feature", "value")
+    parts = n.select(*by, "window", F.col("__n").alias("row"), F.col(target).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot([*by, "window", "row", "y"], features, "feature", "value")
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("row")
-        return pd.DataFrame({"window": [key[0]], "feature": [key[1]], "mi": [ksg(pdf["value"].to_numpy(), pdf["y"].to_numpy(), neighbors, np.random.default_rng(seed))]})
+        pdf = pdf.dropna(subset=["value", "y"]).sort_values("row")
+        return pd.DataFrame([[*key, ksg(pdf["value"].to_numpy(), pdf["y"].to_numpy(), neighbors, np.random.default_rng(seed))]], columns=[*by, "window", "feature", "mi"])
 
-    return grouped_scores(parts, ["window", "feature"], score, "window int, feature string, mi double")
+    return grouped_scores(parts, [*by, "window", "feature"], score, key_schema(df, by) + "window int, feature string, mi double")

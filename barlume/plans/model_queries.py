@@ -92,9 +92,9 @@ def mrmr_rank(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def numbered_bars(spark, sf_dir):  # noqa: ANN001, ANN201
-    """One symbol's bars with features and a target, numbered from 0."""
-    b = derived.derived_fields(market.bars(spark, sf_dir)).filter("symbol = 'click'").selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n")
-    return b.selectExpr("n", "open", "range", "true_range", "volume", "close AS target").filter("target IS NOT NULL")
+    """All bars with features and a target, numbered from 0 within their symbol."""
+    b = derived.derived_fields(market.bars(spark, sf_dir)).selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n")
+    return b.selectExpr("symbol", "n", "open", "range", "true_range", "volume", "close AS target").filter("target IS NOT NULL")
 
 
 BAR_FEATURES = ["open", "range", "true_range", "volume"]
@@ -102,23 +102,23 @@ BAR_FEATURES = ["open", "range", "true_range", "volume"]
 
 @query("mutual_information")
 def mutual_information(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.mutual_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target")
+    return selection.mutual_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", by=["symbol"])
 
 
 @query("mi_bootstrap")
 def mi_bootstrap(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "bootstrap", 40)
+    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "bootstrap", 40, by=["symbol"])
 
 
 @query("mi_permutation")
 def mi_permutation(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "permutation", 40)
+    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "permutation", 40, by=["symbol"])
 
 
 @query("rolling_mi")
 def rolling_mi(spark, sf_dir):  # noqa: ANN001, ANN201
-    found = selection.rolling_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", 120, 60)
-    return selection.rank_stability(found, "window", "feature", "mi")
+    found = selection.rolling_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", 120, 60, by=["symbol"])
+    return selection.rank_stability(found, "window", "feature", "mi", by=["symbol"])
 
 
 # ---- regimes, over the embeddings
@@ -169,7 +169,7 @@ def kmeans_regimes(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("gmm_regimes")
 def gmm_regimes(spark, sf_dir):  # noqa: ANN001, ANN201
-    return regime.gmm_regimes(numbered_bars(spark, sf_dir), ["range", "volume"], 3).select("n", "cluster_id", "probabilities")
+    return regime.gmm_regimes(numbered_bars(spark, sf_dir), ["range", "volume"], 3).select("symbol", "n", "cluster_id", "probabilities")
 
 
 @query("svm_regimes")

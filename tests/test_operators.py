@@ -308,3 +308,45 @@ def test_command_line(spark, frame, tmp_path, capsys):
     assert main(["compute", f"{tmp_path}/b.parquet", "--symbol", "A", "--timeframe", "1h", "--root", root]) == 0
     assert main(["list", "--root", root]) == main(["stats", "--root", root]) == 0 and main(["clean", "--root", root]) == 1
     assert main(["clean", "--root", root, "--all"]) == 0 and "1 entries" in capsys.readouterr().out
+
+
+def brute_information(x, y, k, rng):
+    n = len(x)
+    x, y = (v / s if (s := v.std()) > 0 else v for v in (x, y))
+    x, y = x + 1e-10 * max(1, np.abs(x).mean()) * rng.standard_normal(n), y + 1e-10 * max(1, np.abs(y).mean()) * rng.standard_normal(n)
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    radius = np.nextafter(np.sort(np.maximum(dx, dy), axis=1)[:, k], 0)[:, None]
+    psi = selection.digamma
+    return max(0.0, float(psi(np.array([n]))[0] + psi(np.array([k]))[0] - psi((dx <= radius).sum(axis=1)).mean() - psi((dy <= radius).sum(axis=1)).mean()))
+
+
+@pytest.mark.parametrize("n", [4, 5, 40, 300])
+@pytest.mark.parametrize("digits", [0, 6])
+def test_neighbours_equal_all_pairs(n, digits):
+    rng = np.random.default_rng(n)
+    own = [(np.round(x, digits), y) for x, y in rng.normal(size=(6, 2, n)).cumsum(axis=1)]
+    got = selection.ksg_many([(x, y, np.random.default_rng(i)) for i, (x, y) in enumerate(own)], 3)
+    np.testing.assert_allclose(got, [brute_information(x, y, 3, np.random.default_rng(i)) for i, (x, y) in enumerate(own)], atol=1e-9)
+
+
+def test_information_by_group_equals_each_group_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(a), float(b)) for g, n in ((None, 130), ("p", 150), ("q", 3)) for i, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+    df = spark.createDataFrame(rows, "g string, i long, x double, y double")
+    runs = {
+        "mi": lambda d, by: selection.mutual_information(d, "i", ["x"], "y", by=by),
+        "boot": lambda d, by: selection.resampled_information(d, "i", ["x"], "y", "bootstrap", 30, by=by, block=20),
+        "roll": lambda d, by: selection.rolling_information(d, "i", ["x"], "y", 60, 30, by=by),
+    }
+    for run in runs.values():
+        got = {(r["g"], r.asDict().get("window")): r for r in run(df, ["g"]).collect()}
+        alone = {(g, r.asDict().get("window")): r for g in (None, "p", "q") for r in run(df.filter(F.col("g").eqNullSafe(F.lit(g))), None).collect()}
+        assert set(got) == set(alone)
+        for k, r in alone.items():
+            assert {c: v if v is None else pytest.approx(v) for c, v in r.asDict().items()} == {c: got[k][c] for c in r.asDict()}
+
+
+def test_stability_of_equal_scores(frame):
+    rows = [(w, f, 0.0 if w == 1 else float(ord(f) * s)) for w, s in ((0, 1), (1, 1), (2, 1), (3, -1)) for f in "abc"]
+    got = {r["w"]: (r["spearman"], r["regime_change"]) for r in selection.rank_stability(frame(rows, "w int, f string, s double"), "w", "f", "s").collect()}
+    assert got == {1: (1.0, False), 2: (1.0, False), 3: (pytest.approx(-1.0), True)}

@@ -56,3 +56,10 @@ def test_query_without_sql_has_rows(spark, name):
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
     assert set(SQL) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
+@pytest.mark.parametrize("name", ["mutual_information", "gmm_regimes"])
+def test_information_and_mixture_take_every_symbol(spark, duck, name):
+    bars = dict(duck.sql("SELECT event_type, count(DISTINCT date_trunc('hour', ts)) FROM events GROUP BY 1").fetchall())
+    got = QUERIES[name](spark, SAMPLE).groupBy("symbol").count().collect()
+    assert {r["symbol"]: r["count"] for r in got} == (bars if name == "gmm_regimes" else dict.fromkeys(bars, 4))
