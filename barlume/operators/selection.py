@@ -208,7 +208,7 @@ def mutual_information(df: DataFrame, row_id: str, features: list[str], target:
     return grouped_scores(with_target(df, row_id, features, target, by), [*by, "feature"], score, key_schema(df, by) + "feature string, mi double")
 
 
-def resampled_information(df: DataFrame, row_id: str, features: list[str], target: str, kind: str, replicates: int = 100, neighbors: int = 3, seed: int = 42, confidence: float = 0.95, by: list[str] | None = None, block: int = 250) -> DataFrame:
+def resampled_information(df: DataFrame, row_id: str, features: list[str], target: str, kind: str, replicates: int = 10_000, neighbors: int = 3, seed: int = 42, confidence: float = 0.95, by: list[str] | None = None, block: int = 250) -> DataFrame:
     """(by, feature, observed, center, spread, low, high, p_value): bootstrap or permutation of the rows of each group by.
 
     One task has a feature of a group and a block of replicates. All but the names are null for groups without more rows than neighbors.

@@ -107,12 +107,12 @@ def mutual_information(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("mi_bootstrap")
 def mi_bootstrap(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "bootstrap", 40, by=["symbol"])
+    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "bootstrap", by=["symbol"])
 
 
 @query("mi_permutation")
 def mi_permutation(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "permutation", 40, by=["symbol"])
+    return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "permutation", by=["symbol"])
 
 
 @query("rolling_mi")

@@ -63,3 +63,16 @@ def test_information_and_mixture_take_every_symbol(spark, duck, name):
     bars = dict(duck.sql("SELECT event_type, count(DISTINCT date_trunc('hour', ts)) FROM events GROUP BY 1").fetchall())
     got = QUERIES[name](spark, SAMPLE).groupBy("symbol").count().collect()
     assert {r["symbol"]: r["count"] for r in got} == (bars if name == "gmm_regimes" else dict.fromkeys(bars, 4))
+
+
+@pytest.mark.parametrize("name", ["mi_bootstrap", "mi_permutation"])
+def test_resampling_takes_ten_thousand_replicates(spark, name, monkeypatch):
+    from barlume.operators import selection
+
+    real, drawn = selection.grouped_scores, []
+    monkeypatch.setattr(selection, "grouped_scores", lambda *a: drawn.append(real(*a).persist()) or drawn[-1])
+    got = QUERIES[name](spark, SAMPLE).collect()
+    counts = {(r["symbol"], r["feature"]): r["count"] for r in drawn[0].groupBy("symbol", "feature").count().collect()}
+    drawn[0].unpersist()
+    assert len(got) == 20 and set(counts.values()) == {10_000} and set(counts) == {(r["symbol"], r["feature"]) for r in got}
+    assert any(0 < r["p_value"] * 10_000 % 250 for r in got)  # finer than 40 replicates tell
