@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,20 +22,13 @@ from barlume.llm.common import Scratch
 UNKNOWN = "und"
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-CHUNK = 48  # characters of a word that are scored at once; a longer word is scored in several
+LEAST = 1e-60  # sums below it are scaled up; eight more characters, of 1e-9 at least each, cannot reach the end of a double's range
 FLOOR = 1e-6
 
 
 def words_of(text: str | None) -> list[str]:
     """The lower-case runs of letters, each after the vocabulary's mark of a word's beginning."""
-    out = []
-    for w in WORD.findall((text or "").lower()):
-        if len(w) < CHUNK:
-            out.append(MARK + w)
-        else:
-            w = MARK + w
-            out += [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)]
-    return out
+    return [MARK + w for w in WORD.findall((text or "").lower())]
 
 
 class Lattice:
@@ -58,15 +51,15 @@ class Lattice:
                 out[i] = h
         return out
 
-    def edges(self, grid: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(end, length, words, pieces) by rising end; the piece number self.size stands for an unknown character."""
-        out, width = [], grid.shape[1]
+    def edges(self, grid: np.ndarray, sizes: np.ndarray, back: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(end, length, words, pieces) by rising end, or falling if back; the piece number self.size stands for an unknown character."""
+        width = grid.shape[1]
         codes = grid.astype(np.uint64) + np.uint64(1)
         rolling = {1: codes}
         with np.errstate(over="ignore"):
             for n in range(2, min(width, max(self.tables)) + 1):
                 rolling[n] = rolling[n - 1][:, :-1] * self.BASE + codes[:, n - 1 :]
-        for end in range(1, width + 1):
+        for end in range(width, 0, -1) if back else range(1, width + 1):
             live = np.flatnonzero(sizes >= end)
             for n in range(1, min(end, max(self.tables)) + 1):
                 if n not in self.tables:
@@ -76,34 +69,62 @@ class Lattice:
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = keys[at] == h
                 if n == 1:
-                    out.append((end, 1, live, np.where(hit, ids[at], self.size)))
+                    yield end, 1, live, np.where(hit, ids[at], self.size)
                 elif hit.any():
-                    out.append((end, n, live[hit], ids[at[hit]]))
-        return out
+                    yield end, n, live[hit], ids[at[hit]]
 
 
-def grids(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def grids(words: list[str], most: int = 20_000, cells: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, code points, sizes) of words of like length, a bounded number at a time."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
-    for i in range(0, len(order), most):
+    i = 0
+    while i < len(order):
         at = order[i : i + most]
+        at = at[: max(1, np.searchsorted(np.arange(1, len(at) + 1) * sizes[at], cells, "right"))]
+        i += len(at)
         width = int(sizes[at[-1]])
         flat = "".join(words[j].ljust(width, "\0") for j in at)
         yield at, np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), width), sizes[at]
 
 
-def forward(edges: list, n: int, width: int, p: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language]: the summed probability of all segmentations up to a place."""
-    alpha = np.zeros((n, width + 1, p.shape[1]))
+def forward_scaled(edges: Iterable, n: int, width: int, p: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """alpha[word, place, language], the summed probability of all segmentations up to a place times exp(shift), and shift.
+
+    Where a sum gets small, it and those that a piece of up to reach characters can still start from are scaled up.
+    shift is None where that never happened.
+    """
+    alpha, shift, level, last = np.zeros((n, width + 1, p.shape[1])), None, np.zeros((n, p.shape[1])), 0
     alpha[:, 0] = 1
     for end, length, rows, pieces in edges:
+        if end != last:
+            small = (alpha[:, last] > 0) & (alpha[:, last] < LEAST) if last % 8 == 0 else None
+            if small is not None and small.any():
+                shift = np.zeros_like(alpha) if shift is None else shift
+                up = 1 / np.where(small, alpha[:, last], 1)
+                near = np.s_[:, max(0, last + 1 - reach) : last + 1]
+                alpha[near] *= up[:, None]
+                shift[near] += np.log(up)[:, None]
+                level += np.log(up)
+            last = end
+            if shift is not None:
+                shift[:, end] = level
         alpha[rows, end] += alpha[rows, end - length] * p[pieces]
-    return alpha
+    return alpha, shift
+
+
+def forward(edges: Iterable, n: int, width: int, p: np.ndarray) -> np.ndarray:
+    """alpha[word, place, language]: the summed probability of all segmentations up to a place."""
+    alpha, shift = forward_scaled(edges, n, width, p, width)
+    return alpha if shift is None else alpha * np.exp(-shift)
 
 
 def expected_counts(lattice: Lattice, words: list[str], weights: np.ndarray, p: np.ndarray | None) -> np.ndarray:
-    """How often each piece occurs in the words: over all segmentations by p, or as any substring where p is None."""
+    """How often each piece occurs in the words: over all segmentations by p, or as any substring where p is None.
+
+    passing is how often a segmentation passes a place; it is dealt over the edges that end there by their shares of alpha,
+    which are ratios of near places and so never too small.
+    """
     total = np.zeros(lattice.size + 1)
     for at, grid, sizes in grids(words):
         n, width, w = len(at), grid.shape[1], weights[at]
@@ -112,13 +133,17 @@ def expected_counts(lattice: Lattice, words: list[str], weights: np.ndarray, p:
             for _, _, rows, pieces in edges:
                 total += np.bincount(pieces, w[rows], len(total))
             continue
-        alpha = forward(edges, n, width, p[:, None])[:, :, 0]
-        beta = np.zeros((n, width + 1))
-        beta[np.arange(n), sizes] = w / alpha[np.arange(n), sizes]
-        for end, length, rows, pieces in reversed(edges):
-            flow = p[pieces] * beta[rows, end]
-            total += np.bincount(pieces, flow * alpha[rows, end - length], len(total))
-            beta[rows, end - length] += flow
+        kept = list(edges) if width <= 256 else None  # those of long words are found twice instead
+        alpha, shift = forward_scaled(lattice.edges(grid, sizes) if kept is None else kept, n, width, p[:, None], max(lattice.tables))
+        alpha = alpha[:, :, 0]
+        passing = np.zeros((n, width + 1))
+        passing[np.arange(n), sizes] = w
+        for end, length, rows, pieces in lattice.edges(grid, sizes, back=True) if kept is None else reversed(kept):
+            flow = passing[rows, end] * (alpha[rows, end - length] / alpha[rows, end]) * p[pieces]
+            if shift is not None:
+                flow *= np.exp(shift[rows, end, 0] - shift[rows, end - length, 0])
+            total += np.bincount(pieces, flow, len(total))
+            passing[rows, end - length] += flow
     return total
 
 
@@ -214,8 +239,9 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         logs = np.empty((len(words), len(self.model.languages)))
         for at, grid, sizes in grids(words):
-            alpha = forward(self.lattice.edges(grid, sizes), len(at), grid.shape[1], self.model.p)
-            logs[at] = np.log(alpha[np.arange(len(at)), sizes])
+            alpha, shift = forward_scaled(self.lattice.edges(grid, sizes), len(at), grid.shape[1], self.model.p, max(self.lattice.tables))
+            ends = np.arange(len(at)), sizes
+            logs[at] = np.log(alpha[ends]) - (0 if shift is None else shift[ends])
         self.index.update(zip(words, range(len(self.logs), len(self.logs) + len(words)), strict=True))
         self.logs = np.concatenate([self.logs, logs])
 

@@ -185,6 +185,45 @@ def test_languages(spark, frame):
     assert language_id.identify(frame([(1, "a b", None)], "doc_id bigint, text string, lang string"), PIECES).first()["lang_pred"] == "und"
 
 
+def test_long_words_are_scored_whole():
+    """Against sums in logarithms, over runs that would leave the range of a double."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "aab", "abababab"]
+    p = np.array([[3e-7, 1e-8], [2e-9, 1e-7], [1e-9, 3e-8], [1e-9, 1e-9], [1e-8, 1e-9], [2e-8, 1e-9], [1e-9, 1e-9], [1e-9, 1e-9]])
+    rng = random.Random(5)
+    words = ["▁ab", "▁" + "ab" * 20, *("▁" + "".join(rng.choice("aabbc") for _ in range(n)) for n in (30, 47, 48, 200, 700))]
+    scorer = language_id.Scorer(language_id.LanguageModel(["x", "y"], pieces, p, np.log([0.5, 0.5])))
+    scorer.learn(words)
+    lattice, log = language_id.Lattice(pieces), np.logaddexp
+    for k in (0, 1):
+        want, total = np.zeros(len(pieces) + 1), language_id.expected_counts(lattice, words, np.arange(1.0, len(words) + 1), p[:, k])
+        for i, w in enumerate(words):
+            steps = [(e, e - len(x), j) for e in range(1, len(w) + 1) for j, x in enumerate(pieces) if w[:e].endswith(x)] + [(e, e - 1, len(pieces)) for e in range(1, len(w) + 1) if w[e - 1] not in pieces]
+            steps.sort()
+            alpha, beta = np.full(len(w) + 1, -np.inf), np.full(len(w) + 1, -np.inf)
+            alpha[0] = beta[-1] = 0
+            for e, s, j in steps:
+                alpha[e] = log(alpha[e], alpha[s] + np.log(p[j, k]))
+            for e, s, j in reversed(steps):
+                beta[s] = log(beta[s], beta[e] + np.log(p[j, k]))
+            for e, s, j in steps:
+                want[j] += (i + 1) * np.exp(alpha[s] + np.log(p[j, k]) + beta[e] - alpha[-1])
+            assert scorer.logs[scorer.index[w], k] == pytest.approx(alpha[-1])
+        np.testing.assert_allclose(total, want, rtol=1e-7, atol=1e-12)
+
+
+def test_long_han_runs(spark, frame):
+    """A run without a space neither spoils a model in training nor a posterior in prediction."""
+    rng = random.Random(8)
+    run = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(400))
+    rows = [(i, "the house and the water " * 3, "en") for i in range(9)] + [(i + 10, "das haus und der wasser " * 3, "de") for i in range(9)] + [(20, run, "zh"), (21, "the water " + run, "de")]
+    docs = frame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.learn(docs, PIECES)
+    assert np.isfinite(model.p).all() and (model.p > 0).all()
+    out = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    assert all(0 < r["score"] <= 1 for r in out.values())
+    assert [out[i]["lang_pred"] for i in (0, 10, 20)] == ["en", "de", "zh"]
+
+
 # ---- 6
 
 
