@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlume.llm import decontamination, jaccard_join, language_id, pii, sentence_pieces
@@ -30,17 +30,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).select("kept.*")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds __text, by which verdicts on a text come back, and __null and __id, doc_id without a null. Ids may be missing or repeated."""
+    return docs.withColumns({"__text": F.xxhash64("text"), "__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0))})
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    first = jaccard_join.near_duplicates(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of linked documents one with the smallest id stays, null being the greatest; of its repeated rows any one.
+
+    Documents without words link with nothing, so all of them stay. Texts and not ids are compared and looked up.
+    """
+    row = ["__null", "__id", "__text"]
+    texts = keyed(docs)
+    judged = jaccard_join.near_duplicates(texts.select("__text", "text"), id_col="__text").distinct()
+    found = texts.select(row).distinct().join(judged, "__text")
+    best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(row)).alias("best")).select("best.*", F.lit(False).alias("__all"))
+    kept = best.unionByName(found.filter("n_shingles = 0").select(*row, F.lit(True).alias("__all")))
+    some = texts.join(kept, row).withColumn("__n", F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    return some.filter("__all OR __n = 1").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, whatever their id: the verdict is one on the text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = decontamination.mark_contamination(docs, benchmark)
-    return docs.join(marked.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    texts = keyed(docs)
+    marked = decontamination.mark_contamination(texts.select("__text", "text"), benchmark, id_col="__text")
+    return texts.join(marked.filter("contaminated").select("__text").distinct(), "__text", "left_anti").select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

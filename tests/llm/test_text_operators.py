@@ -413,3 +413,32 @@ def test_pipeline(spark, frame, tmp_path):
     assert all(s.decode(out[i]["ids"]) == texts[i] for i in range(12))
     private = s.decode(out[23]["ids"])
     assert "joe.b@site.org" not in private and private.startswith(rows[15][1].split(" reach")[0])
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    a, b, c, d, bench = (" ".join(rng.choices(words, k=n)) for n in (40, 40, 40, 40, 12))
+    bad = f"{c} {bench}"
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+    def kept(step, rows):
+        df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+        key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+        return sorted(((r["doc_id"], r["text"]) for r in step(spark, df, str(tmp_path)).collect()), key=key)
+
+    # null ids, one id with two texts, a whole row twice, a near copy with a smaller id, copies with null ids only, no words
+    rows = [(None, a), (7, b), (7, c), (7, b), (3, c + " zz"), (None, d), (None, d), (5, ""), (5, ""), (None, None)]
+    assert kept(corpus_pipeline.drop_near_duplicates, rows) == [(3, c + " zz"), (5, ""), (5, ""), (7, b), (None, None), (None, a), (None, d)]
+    rows = [(None, bad), (None, a), (7, bad), (7, b), (7, b), (None, None), (0, d)]
+    assert kept(corpus_pipeline.drop_contaminated, rows) == [(0, d), (7, b), (7, b), (None, None), (None, a)]
+    rows = [(None, "mail ann@site.org"), (7, "mail bob@site.org"), (7, "no mail"), (7, "mail bob@site.org"), (None, None)]
+    new = kept(corpus_pipeline.replace_personal_data, rows)
+    assert [r[0] for r in new] == [7, 7, 7, None, None] and new[0] == new[1] and new[2] == (7, "no mail") and not {r[1] for r in new} & {rows[0][1], rows[1][1]}
+    ids = corpus_pipeline.encode_pieces(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema), str(tmp_path)).collect()
+    assert sorted(((r["doc_id"] or 0), r["n_tokens"] > 0) for r in ids) == [(0, False), (0, True), (7, True), (7, True), (7, True)]
+    rows = [(i, "the house and the water " * 3) for i in range(9)] + [(None, "the house"), (None, "123"), (1, "the water"), (1, "12")]
+    assert kept(corpus_pipeline.identify_language, rows) == sorted(rows[:10] + [rows[11]], key=lambda r: (r[0] is None, r[0] or 0, r[1]))
