@@ -6,11 +6,15 @@ pigeonhole principle they agree in one of the first d + 1 parts that are not emp
 equality, per size band. A second sketch, one bit flipped for each shingle, has a Hamming distance that never exceeds the
 number of differing shingles and turns candidates away before their shingles are compared.
 
-A pair that qualifies always meets: parts are so few that many more than d + 1 hold a shingle. Documents with equal sets are one node
-from the start, named by the set's hash. Within a bucket of equal sketches every node is verified against its smallest
-partners that the bit sketches allow, and in later rounds, while components in a bucket differ, against more of them, until
-no allowed pair across components is left unverified. So a group of thousands of near copies is a star, not all its pairs,
-and no link between components is lost.
+A pair that qualifies always meets: parts are so few that many more than d + 1 hold a shingle. Each document offers some
+spare sketches beyond these, so that a qualifying pair agrees in more than one, and then takes back as many of its most
+frequent sketches: in one order of all sketches, the rarest that a pair shares stays with both. So a passage that many
+documents share makes no large bucket.
+
+Documents with equal sets are one node from the start, told apart by 128 bits of a hash. Within a bucket of equal sketches
+every node is compared with the smallest one first. Only where a bucket then still holds several components are members of
+different ones compared with each other, in rounds, until no pair that the bit sketches allow is left unverified. So a
+group of thousands of near copies is a star, not all its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlume.llm.common import Scratch, stage
@@ -71,83 +75,130 @@ def band_of(n: int) -> int:
     return 0 if n < SMALL else n.bit_length() - 1
 
 
-def keys_and_sketch(s: np.ndarray, band: int, allowed: int) -> tuple[np.ndarray, bytes]:
-    """The sketches of the first allowed + 1 parts that hold a shingle, as join keys, and the bit sketch of the whole set."""
-    top = SMALL if band == 0 else 2 << band
+def allowed(n: int, percent: int) -> int:
+    """By how many shingles a partner of a set of n may differ at most."""
+    return (100 - percent) * n // percent
+
+
+def spare(n: int, percent: int) -> int:
+    """How many sketches a set of n offers beyond those that the pigeonhole principle needs."""
+    return allowed(n, percent) // 8 + 2
+
+
+def part_keys(s: np.ndarray, band: int, most: int) -> np.ndarray:
+    """The parity sketches of the first parts that hold a shingle, up to most, as join keys of a band."""
     order = mixed(s ^ np.uint64(band + 1))
+    if band == 0:
+        return np.sort(order)[:most]
+    top = np.uint64(2 << band)
+    part = (order >> np.uint64(32)) % (top // np.uint64(4))
+    at = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.diff(part[at], prepend=top))
+    first, ends = starts[:most], np.append(starts[1:], len(at))[:most]
+    xors = np.bitwise_xor.reduceat(s[at][: ends[-1]], first)
     with np.errstate(over="ignore"):
-        if band == 0:
-            keys = np.sort(order)[: allowed + 1]
-        else:
-            part = (order >> np.uint64(32)) % np.uint64(top // 4)
-            at = np.argsort(part, kind="stable")
-            first = np.flatnonzero(np.diff(part[at], prepend=np.uint64(top)))[: allowed + 1]
-            ends = np.append(np.flatnonzero(np.diff(part[at], prepend=np.uint64(top)))[1:], len(at))[: allowed + 1]
-            xors = np.bitwise_xor.reduceat(s[at][: ends[-1]], first)
-            keys = mixed(mixed(xors) + part[at][first] * M1 + np.uint64(band))
-    bits = np.bincount((order & np.uint64(2 * top - 1)).astype(np.int64), minlength=2 * top) & 1
-    return keys, np.packbits(bits.astype(np.uint8)).tobytes()
+        return mixed(mixed(xors) + part[at][first] * M1 + np.uint64(band))
+
+
+def bit_sketch(s: np.ndarray, band: int) -> np.ndarray:
+    """One bit flipped for each shingle. That of a band, its halves combined by XOR, is that of the band before it."""
+    width = 2 * SMALL if band == 0 else 4 << band
+    bits = np.bincount((mixed(s ^ M2) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-SKETCHED = "doc_id bigint, n bigint, node bigint, keys0 array<bigint>, keys1 array<bigint>, bits0 binary, bits1 binary"
+SKETCHED = "doc_id bigint, t bigint, u bigint, n bigint, node bigint, check bigint, spare int, keys0 array<bigint>, keys1 array<bigint>, bits array<bigint>"
 
 
 def sketch(docs: DataFrame, words: int, percent: int, remember: int = 200_000) -> DataFrame:
-    """One row a document: set size, node, and keys and bits for its own band (0) and the next (1) if a partner may be there.
+    """One row for each of docs (doc_id, t, u, text): set size, node, and keys for its own band (0) and the next (1) if a partner may be there.
 
-    Nodes are multiples of 2. A task gives keys and bits for a set once (as far back as it remembers), whatever the number
-    of copies.
+    node and check are 127 bits of a hash of the set; nodes are multiples of 2. A task gives keys and bits for a set once (as
+    far back as it remembers), whatever the number of copies.
     """
+    names, kinds = [], []
+    for f in SKETCHED.split(", "):
+        name, kind = f.split(" ")
+        names.append(name)
+        kinds.append({"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[kind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(words), set()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for i in range(0, len(ids), 500):
-                rows = []
-                for key, text in zip(ids[i : i + 500], texts.slice(i, 500).to_pylist(), strict=True):
+            for i in range(0, b.num_rows, 500):
+                rows, part = [], b.slice(i, 500)
+                for key, t, u, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     s = shingles.of(text)
                     n = len(s)
                     if n == 0:
-                        rows.append((key, 0, None, None, None, None, None))
+                        rows.append((key, t, u, 0, None, None, None, None, None, None))
                         continue
-                    node = (xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 << 1) - 2**63
-                    if node in seen:
-                        rows.append((key, n, node, None, None, None, None))
+                    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                    name = ((digest & (2**64 - 2)) - 2**63, (digest >> 64) - 2**63)
+                    extra = spare(-(-percent * n // 100), percent)
+                    if digest in seen:
+                        rows.append((key, t, u, n, *name, extra, None, None, None))
                         continue
                     if len(seen) >= remember:
                         seen.clear()
-                    seen.add(node)
-                    allowed, band = (100 - percent) * n // percent, band_of(n)
-                    own = keys_and_sketch(s, band, allowed)
-                    up = keys_and_sketch(s, max(band + 1, band_of(SMALL)), allowed) if band_of(100 * n // percent) > band else (None, None)
-                    rows.append((key, n, node, own[0].view(np.int64), None if up[0] is None else up[0].view(np.int64), own[1], up[1]))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n", "node", "keys0", "keys1", "bits0", "bits1"])
+                    seen.add(digest)
+                    if allowed(n, percent) == 0:  # it links with equal sets only, and these are one node
+                        rows.append((key, t, u, n, *name, extra, None, None, None))
+                        continue
+                    most, band = allowed(n, percent) + 1 + spare(n, percent), band_of(n)
+                    own = part_keys(s, band, most).view(np.int64)
+                    up = part_keys(s, max(band + 1, band_of(SMALL)), most).view(np.int64) if band_of(100 * n // percent) > band else None
+                    rows.append((key, t, u, n, *name, extra, own, up, bit_sketch(s, band)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.mapInArrow(run, SKETCHED)
 
 
-def shingle_table(docs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the hashes themselves, for docs (node, text)."""
+def one_node_a_set(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with another node for sets whose 63 bits meet those of another set, as their other 64 bits show."""
+    met = rows.filter("n > 0").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi")
+    met = scratch.stage(met.select("node", "lo"), "met-nodes")
+    if met.limit(1).count() == 0:
+        return rows
+    other = F.shiftleft(F.shiftright(F.xxhash64("node", "check"), 1), 1)
+    return rows.join(met, "node", "left").withColumn("node", F.when(F.col("lo") != F.col("check"), other).otherwise(F.col("node"))).drop("lo")
+
+
+def possible(n: Column, m: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and bit sketches (of the same or neighbouring bands) leave a chance that two sets are similar enough."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
+    x = F.when(F.size(a) > F.size(b), half(a)).otherwise(a)
+    y = F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    distance = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * distance <= (100 - percent) * (n + m))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                own = [shingles.of(t).view(np.int64) for t in b.column(1).slice(i, 200).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 200), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node bigint, shingles array<bigint>")
+def node_texts(texts: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, small: int) -> DataFrame:
+    """(node, text) for nodes: a text with each node's set. Texts are found by 128 bits of a hash, and only these are shuffled while nodes are up to small."""
+    holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("t", "u")).alias("h")).select("node", "h.t", "h.u")
+    holders = scratch.stage(holders, "holders")
+    held = texts.select("t", "u", "text").join(F.broadcast(holders) if holders.count() <= small else holders, ["t", "u"])
+    return held.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Rows come in order of b, whose set is made once."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, last, held = Shingles(words), None, None
+        for x in batches:
+            keep = []
+            for b, ta, tb in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
+                if held is None or b != last:
+                    last, held = b, shingles.of(tb)
+                own = shingles.of(ta)
+                every = np.sort(np.concatenate([own, held]), kind="stable")
+                both = int((every[1:] == every[:-1]).sum())
+                keep.append(100 * both >= percent * (len(every) - both))
+            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
 
 def partners(own: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -157,7 +208,8 @@ def partners(own: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np
         return np.zeros(0, np.int64), np.zeros(0, np.int64), False
     node, n, comp, side = (own[c].to_numpy() for c in ("node", "n", "component", "at"))
     within = own["x"].iloc[0] == own["y"].iloc[0]
-    bits = np.frombuffer(b"".join(own["bits"]), np.uint64).reshape(len(own), -1)
+    width = own["bits"].map(len).min()  # the sketches of the band after are twice as long
+    bits = np.stack([b if len(b) == width else b[:width] ^ b[width:] for b in own["bits"]]).view(np.uint64)
     left, right, more = [], [], False
     for i in range(len(own)):
         j = np.flatnonzero((comp != comp[i]) & (within | (side != side[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
@@ -170,7 +222,7 @@ def partners(own: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np
     return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64), more
 
 
-def across(members: DataFrame, percent: int, most: int, block: int = 512) -> DataFrame:
+def across(members: DataFrame, percent: int, most: int, block: int = 2048) -> DataFrame:
     """(key, a, b, more): the pairs to verify next, see partners(). more tells that the bucket has others, for a later round.
 
     members: key, node, n, bits, component, size of the bucket. A large bucket is cut into blocks that meet two by two, each
@@ -213,62 +265,73 @@ def ends(items: Iterator) -> Iterator[tuple[bool, pd.DataFrame]]:
         yield True, held
 
 
-def texts_of(texts: DataFrame, ids: DataFrame, small: int) -> DataFrame:
-    """The rows (doc_id, text) of some ids (doc_id, node): a broadcast join for up to small ids, else one that shuffles."""
-    return texts.join(F.broadcast(ids) if ids.count() <= small else ids, "doc_id")
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, small: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id) for every row: set size, and the smallest id reachable over links.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a set holds the distinct runs of ``words``
     words, or the whole sequence if it is shorter. Two documents link if the sets' Jaccard similarity is at least
     percent / 100. Null texts and texts without words have an empty set and link with nothing: their component is their own
-    id. Repeated rows of a document are returned each; an empty table gives an empty one; other columns are ignored.
+    id. Texts of any length are taken whole. Repeated rows of a document are returned each, rows of one id with different
+    texts are judged by their own texts, a null id is none to name a component by (null if all ids there are); an empty
+    table gives an empty one; other columns are ignored.
     """
     with Scratch(docs.sparkSession) as scratch:
         return _near_duplicates(docs, scratch, id_col, text_col, words, percent, small)
 
 
-def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int, small: int) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.stage(sketch(texts, words, percent), "sketches")
+def offered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, size): the buckets of at least two nodes after each node has taken back its most frequent keys, see above."""
     # the last bit of a node tells the band in which it offers a key
-    keyed = rows.select(F.explode("keys0").alias("key"), F.col("node").alias("offer")).unionByName(rows.select(F.explode("keys1").alias("key"), (F.col("node") + 1).alias("offer")))
+    keyed = rows.select(F.explode("keys0").alias("key"), F.col("node").alias("offer"), "spare").unionByName(rows.select(F.explode("keys1").alias("key"), (F.col("node") + 1).alias("offer"), "spare"))
     bucket = Window.partitionBy("key")
-    met = keyed.withColumns({"lo": F.min("offer").over(bucket), "hi": F.max("offer").over(bucket)}).filter("shiftright(lo, 1) <> shiftright(hi, 1)").select("key", "offer").distinct()
-    met = met.withColumns({"size": F.count("*").over(bucket), "sign": F.sum(F.xxhash64("offer").cast("decimal(38,0)")).over(bucket)})
+    several = lambda df, c: df.withColumns({"lo": F.min(c).over(bucket), "hi": F.max(c).over(bucket)}).filter("shiftright(lo, 1) <> shiftright(hi, 1)").drop("lo", "hi")
+    met = several(keyed, "offer").distinct().withColumn("size", F.count("*").over(bucket))
     met = scratch.stage(met, "buckets")
-    # buckets with the same members need one look
-    one = met.groupBy("size", "sign").agg(F.min("key").alias("key"))
-    offers = rows.filter("bits0 IS NOT NULL").select("node", "n", "bits0", "bits1").dropDuplicates(["node"])
-    members = met.join(one.select("key"), "key", "left_semi").select("key", "size", F.shiftleft(F.shiftright("offer", 1), 1).alias("node"), (F.col("offer").bitwiseAND(F.lit(1)) == 1).alias("up"))
-    members = members.join(offers, "node").select("key", "size", "node", "n", F.when(F.col("up"), F.col("bits1")).otherwise(F.col("bits0")).alias("bits"))
-    members = scratch.stage(members, "members")
-
-    most, links, shingles, pending = 1, None, None, members
+    popular = Window.partitionBy("offer").orderBy(F.desc("size"), "key")
+    left = met.withColumn("place", F.row_number().over(popular)).filter("place > spare").select("key", "offer")
+    left = several(left, "offer").select("key", F.shiftleft(F.shiftright("offer", 1), 1).alias("node"))
+    return left.withColumn("size", F.count("*").over(bucket))
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int, small: int) -> DataFrame:
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"), text.alias("text"))
+    rows = one_node_a_set(scratch.stage(sketch(texts, words, percent), "sketches"), scratch)
+    bits = rows.filter("bits IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"])
+    members = scratch.stage(offered(rows, scratch), "members")
+
+    def judged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """pairs, written, and the links among them."""
+        pairs = scratch.stage(pairs, "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return pairs, scratch.stage(verified(pairs, node_texts(texts, rows, nodes, scratch, small), words, percent), "links")
+
+    star = members.withColumn("b", F.min("node").over(Window.partitionBy("key"))).select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+    star = star.join(bits.toDF("a", "n", "x"), "a").join(bits.toDF("b", "m", "y"), "b").filter(possible(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
+    tested, links = judged(star)
+
+    # buckets of two have been looked through, and of those with the same members one is enough
+    sign = Window.partitionBy("key")
+    rest = members.filter("size > 2").withColumn("sign", F.sum(F.xxhash64("node").cast("decimal(38,0)")).over(sign))
+    one = rest.groupBy("size", "sign").agg(F.min("key").alias("key"))
+    rest, most = scratch.stage(rest.join(one.select("key"), "key", "left_semi").select("key", "node"), "rest"), 8
+    labels = scratch.stage(components(links, scratch), "components")
     while True:
-        labels = None if links is None else scratch.stage(components(links, scratch), "components")
-        if labels is None:
-            open_ = pending.withColumn("component", F.col("node"))
-        else:
-            open_ = pending.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = scratch.stage(across(open_, percent, most), "pairs")
-        if shingles is None:  # whoever may ever be verified has a partner in the first round
-            some = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-            holders = scratch.stage(rows.join(some, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "holders")
-            shingles = scratch.stage(shingle_table(texts_of(texts, holders, small).dropDuplicates(["node"]).select("node", "text"), words), "shingles")
-        fresh = verified(found.select("a", "b").distinct(), shingles, percent)
-        if labels is not None:
-            fresh = fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        links = scratch.stage(fresh, "links")
-        again = found.filter("more").select("key").distinct()  # the other buckets have been looked through
-        if again.limit(1).count() == 0:
+        open_ = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = open_.withColumns({"lo": F.min("component").over(sign), "hi": F.max("component").over(sign)}).filter("lo <> hi").withColumn("size", F.count("*").over(sign))
+        found = scratch.stage(across(open_.select("key", "node", "component", "size").join(bits, "node"), percent, most), "found")
+        again, fresh = judged(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        tested, links = tested.unionByName(again), links.unionByName(fresh)
+        labels = scratch.stage(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), scratch), "components")
+        open_keys = found.filter("more").select("key").distinct()  # the other buckets have been looked through
+        if open_keys.limit(1).count() == 0:
             break
-        pending, most = members.join(again, "key", "left_semi"), 8 * most
-    labels = scratch.stage(components(links, scratch), "components")
-    named = rows.select("doc_id", "n", "node").join(labels, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.filter("n > 0").join(least, "component").unionByName(named.filter("n = 0").withColumn("component_id", F.col("doc_id")))
-    return stage(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "components")
+        rest, most = rest.join(open_keys, "key", "left_semi"), 8 * most
+
+    # tables that are joined on a key which many rows may share are written first: Spark can then split such a key
+    nodes = scratch.stage(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left"), "nodes")
+    least = scratch.stage(nodes.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = nodes.filter("component IS NOT NULL").join(least, "component").select("node", "component_id").unionByName(nodes.filter("component IS NULL").select("node", F.col("least").alias("component_id")))
+    named = scratch.stage(named, "named")
+    out = rows.filter("n > 0").join(named, "node").select("doc_id", "n", "component_id").unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return stage(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "near-duplicates")

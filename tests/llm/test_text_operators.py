@@ -275,12 +275,65 @@ def test_jaccard_join_of_nothing(spark, frame):
 
 def test_bits_never_exceed_the_difference():
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        a = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.integers(0, 30) :], rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)]))
-        band = jaccard_join.band_of(200)
-        x, y = (np.frombuffer(jaccard_join.keys_and_sketch(s, band, 35)[1], np.uint64) for s in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    for band, n in [(7, 200), (8, 258)]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.integers(0, 30) :], rng.integers(0, 2**63, n - 200 + rng.integers(0, 20)).astype(np.uint64)]))
+            x, y = jaccard_join.bit_sketch(a, 7).view(np.uint64), jaccard_join.bit_sketch(b, band).view(np.uint64)
+            if band == 8:  # halves combined
+                assert np.array_equal(jaccard_join.bit_sketch(b, 7).view(np.uint64), y[: len(x)] ^ y[len(x) :])
+                y = y[: len(x)] ^ y[len(x) :]
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_pairs_that_qualify_share_a_key_after_any_take_back():
+    """Whatever the order of frequency: the keys that each side takes back leave a common one."""
+    rng = np.random.default_rng(1)
+    for n in [6, 7, 12, 40, 62, 64, 70, 119, 126, 300, 510, 900]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            d = int(rng.integers(0, jaccard_join.allowed(n, 85) + 1))
+            cut = int(rng.integers(0, d + 1))
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, d - cut).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 85 * (len(a) + len(b) - both):
+                continue
+            rank, kept = {}, []
+            for s in (a, b):
+                m, own = len(s), jaccard_join.band_of(len(s))
+                most = jaccard_join.allowed(m, 85) + 1 + jaccard_join.spare(m, 85)
+                bands = [own] + ([max(own + 1, 6)] if jaccard_join.band_of(100 * m // 85) > own else [])
+                keys = set()
+                for band in bands:
+                    of_band = sorted(jaccard_join.part_keys(s, band, most).tolist(), key=lambda k: rank.setdefault(k, rng.random()))
+                    keys |= set(of_band[jaccard_join.spare(-(-85 * m // 100), 85) :])
+                kept.append(keys)
+            assert kept[0] & kept[1], (n, d)
+
+
+def test_jaccard_join_with_groups_and_passages(spark, frame):
+    """Many near copies of one text, and a passage that many short documents share, against brute force by words."""
+    rng = random.Random(12)
+    base, passage = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(w))
+    for i in range(150):
+        own = [f"o{i}_{j}" for j in range(rng.choice([4, 6, 20, 60]))]
+        texts.append(" ".join(own[:3] + passage + own[3:]))
+    texts += texts[:20]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(documents(frame, texts)).collect()}
+    assert got == linked(list(enumerate(texts)))
+
+
+def test_jaccard_join_with_null_and_repeated_ids(spark, frame):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(None, a), (7, b), (7, a + " z"), (5, b + " y"), (None, "lone words"), (7, None)]
+    out = jaccard_join.near_duplicates(frame([(i, t, 1, "x") for i, t in rows], DOCS)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=key) == [(5, 48, 5), (7, 0, 7), (7, 47, 5), (7, 48, 7), (None, 1, None), (None, 47, 7)]
 
 
 # ---- 7
