@@ -12,9 +12,9 @@ frequent sketches: in one order of all sketches, the rarest that a pair shares s
 documents share makes no large bucket.
 
 Documents with equal sets are one node from the start, told apart by 128 bits of a hash. Within a bucket of equal sketches
-every node is compared with the smallest one first. Only where a bucket then still holds several components are members of
-different ones compared with each other, in rounds, until no pair that the bit sketches allow is left unverified. So a
-group of thousands of near copies is a star, not all its pairs, and no link between components is lost.
+every node is compared with the smallest one first. Only where the bucket then still holds several components are members
+outside the largest one compared with those of other ones, in rounds, until no pair that the bit sketches allow is left
+unverified. So a group of thousands of near copies is a star, not all its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -202,7 +202,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def partners(own: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The pairs (a, b) of one block pair of a bucket: for each node its most smallest allowed partners in other components, and whether there are more."""
+    """The pairs (a, b) of one block pair of a bucket: for each node outside the largest component its most smallest allowed partners in others, and whether there are more."""
     own = own.drop_duplicates("node")
     if len(own) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), False
@@ -211,7 +211,8 @@ def partners(own: pd.DataFrame, percent: int, most: int) -> tuple[np.ndarray, np
     width = own["bits"].map(len).min()  # the sketches of the band after are twice as long
     bits = np.stack([b if len(b) == width else b[:width] ^ b[width:] for b in own["bits"]]).view(np.uint64)
     left, right, more = [], [], False
-    for i in range(len(own)):
+    kinds, counts = np.unique(comp, return_counts=True)
+    for i in np.flatnonzero(comp != kinds[counts.argmax()]):
         j = np.flatnonzero((comp != comp[i]) & (within | (side != side[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
         if len(j):
             h = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -306,20 +307,28 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: s
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         return pairs, scratch.stage(verified(pairs, node_texts(texts, rows, nodes, scratch, small), words, percent), "links")
 
-    star = members.withColumn("b", F.min("node").over(Window.partitionBy("key"))).select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
-    star = star.join(bits.toDF("a", "n", "x"), "a").join(bits.toDF("b", "m", "y"), "b").filter(possible(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
-    tested, links = judged(star)
+    def unfinished(found: DataFrame) -> DataFrame:
+        """The buckets that still hold several components, with their members' components."""
+        found = found.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = found.withColumns({"lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).filter("lo <> hi")
+        return found.select("key", "node", "component").withColumn("size", F.count("*").over(bucket))
+
+    bucket = Window.partitionBy("key")
+    star = members.withColumn("b", F.min("node").over(bucket)).select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+    star = star.join(bits.toDF("a", "n", "x"), "a").join(bits.toDF("b", "m", "y"), "b")
+    tested, links = judged(star.filter(possible(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b"))
+    labels = scratch.stage(components(links, scratch), "components")
 
     # buckets of two have been looked through, and of those with the same members one is enough
-    sign = Window.partitionBy("key")
-    rest = members.filter("size > 2").withColumn("sign", F.sum(F.xxhash64("node").cast("decimal(38,0)")).over(sign))
+    rest = members.filter("size > 2").withColumn("sign", F.sum(F.xxhash64("node").cast("decimal(38,0)")).over(bucket))
     one = rest.groupBy("size", "sign").agg(F.min("key").alias("key"))
-    rest, most = scratch.stage(rest.join(one.select("key"), "key", "left_semi").select("key", "node"), "rest"), 8
-    labels = scratch.stage(components(links, scratch), "components")
+    rest = scratch.stage(rest.join(one.select("key"), "key", "left_semi").select("key", "node"), "rest")
+
+    most = 4
     while True:
-        open_ = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = open_.withColumns({"lo": F.min("component").over(sign), "hi": F.max("component").over(sign)}).filter("lo <> hi").withColumn("size", F.count("*").over(sign))
-        found = scratch.stage(across(open_.select("key", "node", "component", "size").join(bits, "node"), percent, most), "found")
+        found = scratch.stage(across(unfinished(rest).join(bits, "node"), percent, most), "found")
+        if found.limit(1).count() == 0:
+            break
         again, fresh = judged(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         tested, links = tested.unionByName(again), links.unionByName(fresh)
         labels = scratch.stage(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), scratch), "components")
