@@ -67,20 +67,26 @@ def covered(item: Column, dw: Column, h: Column, g: Column, window: int) -> Colu
     return F.array_distinct(F.when(size >= window, long).otherwise(short))
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
+def spans(hits: str) -> Column:
+    """The runs of consecutive places in a sorted array of them, as (first, last)."""
+    bounds = lambda step: F.filter(hits, lambda p, i: F.coalesce(F.get(F.col(hits), i + step) != p + step, F.lit(True)))
+    return F.arrays_zip(bounds(-1).alias("first"), bounds(1).alias("last"))
+
+
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, small: int = 500_000) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs.
 
     n_hit counts the document's words inside any occurrence of a window of an item, n_items the items with such windows,
     items_sha256 is the lowercase hex digest of their ids, sorted as strings and joined by commas, spans lists the hit
-    words as (first, last) places. Null texts and texts without words have no words and no hits, items without words match
+    words as (first, last) places. Texts of any length are taken whole. Null texts and texts without words have no words and no hits, items without words match
     nothing, rows with one item id are one item, a null item id counts as ''. Repeated documents are judged each, empty
     tables on either side are fine, other columns are ignored.
     """
     with Scratch(docs.sparkSession) as scratch:
-        return _mark(docs, benchmark, scratch, id_col, text_col, item_id_col, item_text_col, window, gram)
+        return _mark(docs, benchmark, scratch, id_col, text_col, item_id_col, item_text_col, window, gram, small)
 
 
-def _mark(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int, gram: int) -> DataFrame:
+def _mark(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int, gram: int, small: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = {"d": F.coalesce(F.col("id").cast("string"), F.lit("")), "t": F.coalesce(F.xxhash64("text"), F.lit(0))}
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), words(F.col(item_text_col)).alias("words")).filter(F.size("words") > 0).distinct()
@@ -101,17 +107,19 @@ def _mark(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str,
     if lengths:
         short = own.filter("run IS NOT NULL").select(F.col("run").alias("p"), "item_id").distinct()
         found = found.unionByName(texts.select("d", "t", F.explode("runs").alias("p")).join(short, "p").select("d", "t", "item_id"))
-    found = found.distinct().join(own.select("item_id", "words", "seeds"), "item_id")
-    found = found.groupBy("d", "t").agg(F.collect_list(F.struct("item_id", "words", "seeds")).alias("items"))  # as many as the benchmark has at most
-
-    hit = rows.withColumns(key).dropDuplicates(["d", "t"]).join(found, ["d", "t"]).withColumn("dw", words(F.col("text"))).drop("text")
-    hit = hit.withColumn("h", F.transform("dw", lambda w: F.xxhash64(w)))
-    hit = hit.withColumn("g", gram_hashes(F.col("h"), gram))
-    judged = F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), covered(x, F.col("dw"), F.col("h"), F.col("g"), window).alias("hits")))
-    hit = hit.select("d", "t", F.filter(judged, lambda x: F.size(x["hits"]) > 0).alias("items"))
-    hit = hit.select("d", "t", F.array_sort(F.array_distinct(F.transform("items", lambda x: x["item_id"]))).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.transform("items", lambda x: x["hits"])))).alias("hits"))
-    bounds = lambda step: F.filter("hits", lambda p, i: F.coalesce(F.get(F.col("hits"), i + step) != p + step, F.lit(True)))
-    hit = hit.select("d", "t", "names", F.size("hits").cast("bigint").alias("n_hit"), F.arrays_zip(bounds(-1).alias("first"), bounds(1).alias("last")).alias("spans"))
+    found = scratch.stage(found.distinct(), "candidates")
+    some = found.select("d", "t").distinct()
+    # only the candidates' texts are shuffled, once each; while their keys are few, these go to all tasks
+    some = F.broadcast(some) if some.count() <= small else some
+    texts_hit = rows.withColumns(key).join(some, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]).select("d", "t", "text")
+
+    hit = found.join(own.select("item_id", F.struct("words", "seeds").alias("item")), "item_id").join(texts_hit, ["d", "t"])
+    hit = hit.withColumn("dw", words(F.col("text"))).withColumn("h", F.transform("dw", lambda w: F.xxhash64(w))).withColumn("g", gram_hashes(F.col("h"), gram))
+    hit = hit.select("d", "t", "item_id", F.array_sort(covered(F.col("item"), F.col("dw"), F.col("h"), F.col("g"), window)).alias("hits"))
+    hit = scratch.stage(hit, "hits").filter(F.size("hits") > 0)  # written, as a filter would otherwise do all of the above for each word
+    hit = hit.groupBy("d", "t").agg(F.array_sort(F.collect_set("item_id")).alias("names"), F.flatten(F.collect_set(spans("hits"))).alias("spans"))
+    hit = hit.withColumn("hits", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["first"], x["last"]))))))
+    hit = hit.select("d", "t", "names", F.size("hits").cast("bigint").alias("n_hit"), spans("hits").alias("spans"))
 
     out = texts.select("id", "d", "t", "n_words").join(hit, ["d", "t"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
