@@ -12,23 +12,40 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
+    """The folder that driver and executors share. A local one of our own only where the session names none and all runs in one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     kept = spark.sparkContext.getCheckpointDir()
     if kept is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barlume-"))
         kept = spark.sparkContext.getCheckpointDir()
     return kept
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs nothing but its own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs nothing but its own tasks.
+
+    The files are deleted when the application ends, as a result may be read until then.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    out = written(df, path)
+    at_the_end(df.sparkSession, path)
+    return out
+
+
+def at_the_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 class Scratch:
@@ -39,9 +56,7 @@ class Scratch:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
-        path = f"{self.folder}/{name}-{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, f"{self.folder}/{name}-{self.n}")
 
     def __enter__(self) -> Scratch:
         return self
