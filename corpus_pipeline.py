@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlume.llm import decontamination, jaccard_join, language_id, pii, sentence_pieces
@@ -19,12 +19,18 @@ from barlume.llm.common import stage
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Posterior below which a language counts as not identified.
 LEAST_POSTERIOR = 0.5
+#: Keys of rows up to this number are sent to all tasks, some 30 bytes each.
+FEW = 1_000_000
 #: The key of the surrogates; a deployment sets its own.
 PII_KEY = "corpus-pipeline"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose likeliest language is not likely enough, go."""
+    """Documents without a letter (null and empty texts too), or whose likeliest language is not likely enough, go.
+
+    Ids, null or repeated, decide only which rows are learned from. Each row is judged by its own whole text; an empty
+    table stays empty, further columns come through.
+    """
     model = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"))), PIECES)
     judged = language_id.predict(docs, model, keep=F.struct(*docs.columns))
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).select("kept.*")
@@ -35,37 +41,53 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__text": F.xxhash64("text"), "__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0))})
 
 
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose key is not among keys. While these are few, they go to all tasks and no text is shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, "left_anti")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one with the smallest id stays, null being the greatest; of its repeated rows any one.
 
-    Documents without words link with nothing, so all of them stay. Texts and not ids are compared and looked up.
+    Documents without words (null, empty or blank texts) link with nothing, so all of them stay. Texts and not ids are
+    compared and looked up, so repeated and null ids do no harm. An empty table stays empty, texts are compared whole,
+    further columns come through.
     """
     row = ["__null", "__id", "__text"]
     texts = keyed(docs)
     judged = jaccard_join.near_duplicates(texts.select("__text", "text"), id_col="__text").distinct()
-    found = texts.select(row).distinct().join(judged, "__text")
-    best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(row)).alias("best")).select("best.*", F.lit(False).alias("__all"))
-    kept = best.unionByName(found.filter("n_shingles = 0").select(*row, F.lit(True).alias("__all")))
-    some = texts.join(kept, row).withColumn("__n", F.row_number().over(Window.partitionBy(row).orderBy(row)))
-    return some.filter("__all OR __n = 1").select(docs.columns)
+    found = texts.groupBy(row).agg(F.count("*").alias("copies")).join(judged.filter("n_shingles > 0"), "__text")
+    best = found.groupBy("component_id").agg(F.min(F.struct(row)).alias("best")).select("best.*", F.lit(True).alias("stays"))
+    found = found.select(*row, "copies").join(best, row, "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+    touched = stage(found.filter("copies > 1 OR NOT stays").select(*row, "stays"), "touched")
+    once = texts.join(F.broadcast(repeated) if (repeated := touched.filter("stays").drop("stays")).count() <= FEW else repeated, row, "left_semi").dropDuplicates(row)
+    return without(texts, touched.drop("stays"), row).unionByName(once).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go, whatever their id: the verdict is one on the text."""
+    """Documents that hold a window of a benchmark item go, whatever their id: the verdict is one on the text.
+
+    Texts without words, null ones among them, stay; repeated rows go or stay together; an empty table stays empty, texts
+    are looked through whole, further columns come through.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = keyed(docs)
     marked = decontamination.mark_contamination(texts.select("__text", "text"), benchmark, id_col="__text")
-    return texts.join(marked.filter("contaminated").select("__text").distinct(), "__text", "left_anti").select(docs.columns)
+    return without(texts, marked.filter("contaminated").select("__text").distinct(), ["__text"]).select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get surrogates; n_chars follows the new text."""
+    """Entities get surrogates; n_chars follows the new text.
+
+    Null texts stay null, with a null n_chars; each row of a repeated id is replaced by its own text; an empty table stays
+    empty, texts are taken whole, further columns come through.
+    """
     clean = pii.replace_pii(docs, PII_KEY)
     return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of every document."""
+    """(doc_id, lang, source, n_tokens, ids) of every row: no ids for null and empty texts, nothing for an empty table."""
     return sentence_pieces.encode_documents(docs, PIECES).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
