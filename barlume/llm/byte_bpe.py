@@ -171,13 +171,14 @@ def load(path: str) -> ByteBpe | Pieces:
 
 
 def by_bytes(texts: Iterable[str], most: int) -> Iterable[list[str]]:
-    """Runs of texts of about equal size; a text over most stands alone."""
+    """Runs of texts of about equal size in UTF-8; a text over most stands alone."""
     run, size = [], 0
     for t in texts:
-        if run and size + len(t) > most:
+        n = len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
+        if run and size + n > most:
             yield run
             run, size = [], 0
         run.append(t)
-        size += len(t)
+        size += n
     if run:
         yield run

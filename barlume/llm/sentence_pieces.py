@@ -3,8 +3,8 @@
 The words of the corpus are counted. The most frequent ones, a bounded number, are encoded relationally: their substrings
 of bounded length are exploded, joined by equality to the piece table and grouped by word to lattices, and a higher-order
 aggregate folds each lattice to the best segmentation. This word table is then broadcast (its size is a parameter) and
-documents are encoded where they lie, so that no text is shuffled. Words outside the table go through the same lattice,
-laid out in arrays, in the task that meets them.
+documents are encoded where they lie, so that no text is shuffled: a task numbers the words and gathers their ids. Words
+outside the table go through the same lattice, laid out in arrays, once in the task that meets them.
 
 The fold depends on the kind of the vocabulary file. For unigram vocabularies it is Viterbi, the greatest sum of scores.
 Vocabularies of byte-pair encoding have ranks for scores, whose sums mean nothing; there it merges the best-ranked pair of
@@ -14,6 +14,7 @@ neighbours until none is left, which gives the ids of the library. Characters wi
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlume.llm.byte_bpe import Numbered, by_bytes
 from barlume.llm.common import Scratch
 from barlume.llm.language_id import Lattice, grids
 
 MARK = "▁"
-UNITS = re.compile(r" *[^ \n]+|\n| +")
+UNITS = rf"{MARK}*[^{MARK}\n]+|\n|{MARK}+"
 WIDE = 48  # longer words are merged one by one
 UNKNOWN_PENALTY = 10.0  # a fixed value of the format
 
@@ -43,6 +45,7 @@ class Vocabulary:
     scores: list[float]
     bytes_: list[int]
     longest: int = field(default=0)
+    pattern: str = UNITS
 
     @staticmethod
     def load(path: str, kind: str = "bpe") -> Vocabulary:
@@ -53,12 +56,29 @@ class Vocabulary:
         pieces = [s.id_to_piece(i) for i in ids]
         if any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in pieces):
             raise ValueError("pieces that span words are not supported")
-        return Vocabulary(kind, pieces, ids, [s.get_score(i) for i in ids], [s.piece_to_id(f"<0x{b:02X}>") for b in range(256)], max(map(len, pieces)))
+        return Vocabulary(kind, pieces, ids, [s.get_score(i) for i in ids], [s.piece_to_id(f"<0x{b:02X}>") for b in range(256)], max(map(len, pieces)), unit_pattern(pieces))
 
 
-def units(text: str | None) -> list[str]:
-    """The independent stretches of a text: words with the spaces before them, line ends, runs of spaces."""
-    return [u.replace(" ", MARK) for u in UNITS.findall(" " + text)] if text else []
+def unit_pattern(pieces: list[str]) -> str:
+    """How a text, with marks for spaces, falls into units that no piece crosses.
+
+    These are words with the marks before them, line ends and runs of marks. Where the vocabulary has no piece with a letter
+    beside a digit or another character, nor with a digit beside anything, runs of letters, single digits and runs of others
+    are units of their own, so that there are far fewer different ones.
+    """
+    pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+    letter = lambda c: re.fullmatch(r"[^\W\d_]", c) is not None
+    mixed = [p for p in pairs if MARK not in p and letter(p[0]) != letter(p[1])]
+    odd = {c for p in mixed for c in p if letter(c)}  # these count as others
+    if any(re.search("[0-9]", p) for p in pairs) or any(letter(c) and c not in odd for p in pairs if odd & set(p) for c in p):
+        return UNITS
+    extra = re.escape("".join(sorted(odd)))
+    return rf"{MARK}*(?:[^\W\d_{extra}]+|(?:(?![0-9\n{MARK}])[\W\d_{extra}])+)|[0-9\n]|{MARK}+"
+
+
+def units(text: str | None, pattern: str = UNITS) -> list[str]:
+    """The independent stretches of a text."""
+    return re.findall(pattern, MARK + text.replace(" ", MARK)) if text else []
 
 
 # ---- the relational lattice, for the word table
@@ -127,7 +147,9 @@ def segment_ids(word: Column, edges: Column, bounds: Column, bytes_: list[int])
 
 def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
     """(word, ids) for distinct non-empty words."""
-    laid = lattices(words, piece_table(words.sparkSession, v), v.longest)
+    spark = words.sparkSession
+    words = words.repartition(2 * spark.sparkContext.defaultParallelism, "word")  # few bytes, but much work
+    laid = lattices(words, piece_table(spark, v), v.longest)
     word, edges = F.col("word"), F.col("edges")
     unknown = min(v.scores) - UNKNOWN_PENALTY
     bounds = fold_merges(word, edges) if v.kind == "bpe" else fold_viterbi(word, edges, unknown)
@@ -146,18 +168,33 @@ class ArrayLattice:
         self.at = {p: i for i, p in enumerate(v.pieces)}
         self.pairs = {p[i : i + 2] for p in v.pieces for i in range(len(p) - 1)}
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        wide = [i for i, w in enumerate(words) if len(w) > WIDE]
-        for i in wide:
-            out[i] = self.encode_wide(words[i])
-        rest = [i for i, w in enumerate(words) if len(w) <= WIDE]
-        for at, grid, sizes in grids([words[i] for i in rest], 8192):
-            bounds = self.merge(grid, sizes) if self.v.kind == "bpe" else self.viterbi(grid, sizes)
-            for row, b in zip(at, bounds, strict=True):
-                w = words[rest[row]]
-                out[rest[row]] = self.spell(w, b)
-        return out
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' ids one after the other in some order, with each word's place there and number of ids."""
+        starts, sizes, parts, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], 0
+
+        def add(rows: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal total
+            starts[rows], sizes[rows] = total + np.cumsum(counts) - counts, counts
+            parts.append(ids.astype(np.int32))
+            total += len(ids)
+
+        def alone(row: int, ids: list[int]) -> None:
+            add(np.array([row]), np.array([len(ids)]), np.array(ids))
+
+        short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= WIDE)
+        for at, grid, lengths in grids([words[i] for i in short], 8192):
+            rows = short[at]
+            score, piece = self.table(grid, lengths)
+            bounds, count = self.merge(score, lengths) if self.v.kind == "bpe" else self.viterbi(grid, lengths)
+            used = np.arange(bounds.shape[1] - 1)[None, :] < count[:, None]
+            ids = piece[np.arange(len(rows))[:, None], bounds[:, :-1], bounds[:, 1:]]
+            odd = ((ids < 0) & used).any(axis=1)
+            add(rows[~odd], count[~odd], ids[used & ~odd[:, None]])
+            for i in np.flatnonzero(odd):
+                alone(rows[i], self.spell(words[rows[i]], bounds[i, : count[i] + 1].tolist()))
+        for i in np.setdiff1d(np.arange(len(words)), short):
+            alone(i, self.encode_wide(words[i]))
+        return np.concatenate(parts), starts, sizes
 
     def spell(self, w: str, bounds: list[int]) -> list[int]:
         ids: list[int] = []
@@ -169,20 +206,20 @@ class ArrayLattice:
                 ids.append(self.v.ids[k])
         return ids
 
-    def table(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """score[word, start, end], -inf where there is no piece."""
+    def table(self, grid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """score[word, start, end] and id, -inf and -1 where there is no piece."""
         n, width = grid.shape
-        score = np.full((n, width + 1, width + 1), -np.inf, np.float32)
+        score, piece = np.full((n, width + 1, width + 1), -np.inf, np.float32), np.full((n, width + 1, width + 1), -1, np.int32)
         for end, length, rows, pieces in self.lattice.edges(grid, sizes):
             ok = pieces < len(self.v.pieces)
-            score[rows[ok], end - length, end] = self.scores[pieces[ok]]
-        return score
+            score[rows[ok], end - length, end], piece[rows[ok], end - length, end] = self.scores[pieces[ok]], self.ids[pieces[ok]]
+        return score, piece
 
-    def merge(self, grid: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
-        n, width = grid.shape
-        score = self.table(grid, sizes)
+    def merge(self, score: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds of the segments after all merges, and their number."""
+        width = score.shape[1] - 1
         b = np.minimum(np.arange(width + 1)[None, :], sizes[:, None])
-        rows, count = np.arange(n), sizes.copy()  # segments
+        count = sizes.copy()
         live = np.flatnonzero(count > 1)
         while len(live):
             top = int(count[live].max())
@@ -199,9 +236,10 @@ class ArrayLattice:
             b[live, :-1] = np.where(move, old[:, 1:], old[:, :-1])
             count[live] -= 1
             live = live[count[live] > 1]
-        return [b[i, : count[i] + 1].tolist() for i in rows]
+        return b, count
 
-    def viterbi(self, grid: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    def viterbi(self, grid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds of the segments of the best path, and their number."""
         n, width = grid.shape
         best, back = np.full((n, width + 1), -np.inf), np.zeros((n, width + 1), np.int64)
         best[:, 0] = 0
@@ -209,13 +247,14 @@ class ArrayLattice:
             value = best[rows, end - length] + self.scores[pieces]
             better = value > best[rows, end]
             best[rows[better], end], back[rows[better], end] = value[better], end - length
-        out = []
+        bounds, count = np.repeat(sizes[:, None], width + 1, axis=1), np.zeros(n, np.int64)
         for i in range(n):
-            b = [int(sizes[i])]
-            while b[-1] > 0:
-                b.append(int(back[i, b[-1]]))
-            out.append(b[::-1])
-        return out
+            path = [int(sizes[i])]
+            while path[-1] > 0:
+                path.append(int(back[i, path[-1]]))
+            count[i] = len(path) - 1
+            bounds[i, : len(path)] = path[::-1]
+        return bounds, count
 
     def encode_wide(self, w: str) -> list[int]:
         """A long word: cut where no piece has the two characters side by side, then merged by a queue or walked by Viterbi."""
@@ -268,7 +307,7 @@ class ArrayLattice:
 # ---- documents
 
 
-def frequent_words(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+def frequent_words(docs: DataFrame, text_col: str, size: int, pattern: str = UNITS) -> DataFrame:
     """(word): the size most frequent words. A task names the words that it meets twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +319,7 @@ def frequent_words(docs: DataFrame, text_col: str, size: int) -> DataFrame:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(units(t))
+                seen.update(units(t, pattern))
                 if len(seen) > 500_000:
                     yield rows()
                     seen.clear()
@@ -290,34 +329,61 @@ def frequent_words(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     return counted.orderBy(F.desc("n"), "word").limit(size).select("word")
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", table_words: int = 50_000) -> DataFrame:
+class WordIds:
+    """The ids of words by number: those of the word table first, then those that a task has met, a bounded number of them."""
+
+    def __init__(self, v: Vocabulary, words: list[str], sizes: np.ndarray, ids: np.ndarray, remember: int = 300_000):
+        self.lattice, self.remember, self.table, self.pattern = ArrayLattice(v), remember, len(words), v.pattern
+        self.index = Numbered(zip(words, range(len(words)), strict=True))
+        self.sizes, self.starts, self.ids = sizes, np.cumsum(sizes) - sizes, ids
+
+    def forget(self) -> None:
+        """Drops all but the table."""
+        self.index = Numbered(itertools.islice(self.index.items(), self.table))
+        self.sizes, self.starts = self.sizes[: self.table], self.starts[: self.table]
+        self.ids = self.ids[: int(self.sizes.sum())]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other, and the number of ids of each."""
+        if len(self.index) > self.table + self.remember:
+            self.forget()
+        words, known = [units(t, self.pattern) for t in texts], len(self.index)
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if len(self.index) > known:
+            ids, starts, sizes = self.lattice.encode(list(itertools.islice(self.index, known, None)))
+            self.starts, self.sizes = np.concatenate([self.starts, len(self.ids) + starts]), np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def encode_documents(docs: DataFrame, model_path: str, *, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", table_words: int = 150_000, batch_bytes: int = 1 << 20) -> DataFrame:
     """docs with n_tokens and ids (array of int) added: the ids of each whole text.
 
-    Null and empty texts have no ids, repeated rows are encoded each, an empty table gives an empty one. All columns of
-    docs are kept; columns of it named n_tokens or ids are overwritten.
+    Null and empty texts have no ids, texts of any length are encoded whole, repeated rows are encoded each, an empty table
+    gives an empty one. All columns of docs are kept; columns of it named n_tokens or ids are overwritten.
     """
     docs = docs.drop("n_tokens", "ids")
     v = Vocabulary.load(model_path, kind)
     with Scratch(docs.sparkSession) as scratch:
-        words = scratch.stage(frequent_words(docs, text_col, table_words), "words")
-        known = {r["word"]: r["ids"] for r in encode_words(words, v).collect()}  # at most table_words rows
-    shared = docs.sparkSession.sparkContext.broadcast((v, known))
+        words = scratch.stage(frequent_words(docs, text_col, table_words, v.pattern), "words")
+        known = encode_words(words, v).toArrow()  # at most table_words rows
+    ids = known["ids"].combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast((v, known["word"].to_pylist(), np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy().astype(np.int32)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_v, table = shared.value
-        lattice, more = ArrayLattice(own_v), {}
+        encoder = WordIds(*shared.value)
         for b in batches:
-            texts = b.column(b.schema.names.index(text_col)).to_pylist()
-            for i in range(0, len(texts), 250):
-                found = [units(t) for t in texts[i : i + 250]]
-                fresh = list({w for ws in found for w in ws if w not in table and w not in more})
-                if len(more) + len(fresh) > 300_000:
-                    more = {}
-                    fresh = list({w for ws in found for w in ws if w not in table})
-                more.update(zip(fresh, lattice.encode(fresh), strict=True))
-                ids = [np.array([k for w in ws for k in (table.get(w) or more[w])], np.int32) for ws in found]
-                part = b.slice(i, 250)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "n_tokens", "ids"])
+            done = 0
+            for run in by_bytes([t or "" for t in b.column(b.schema.names.index(text_col)).to_pylist()], batch_bytes):
+                flat, sizes = encoder.encode(run)
+                part = b.slice(done, len(run))
+                done += len(run)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64()), lists], [*part.schema.names, "n_tokens", "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(encode, f"{fields}, n_tokens bigint, ids array<int>")

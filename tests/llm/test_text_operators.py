@@ -39,10 +39,24 @@ def test_pieces_equal_the_library_and_decode(spark, frame):
 
 def test_relational_lattice_equals_arrays(spark, frame):
     v = sentence_pieces.Vocabulary.load(PIECES)
-    words = sorted({u for t in ODD for u in sentence_pieces.units(t) if len(u) < 40})
+    words = sorted({u for t in ODD for p in (v.pattern, sentence_pieces.UNITS) for u in sentence_pieces.units(t, p) if len(u) < 40})
     own = sentence_pieces.ArrayLattice(v)
+    arrays = by_arrays(own, words)
     for r in sentence_pieces.encode_words(frame([(w,) for w in words], "word string"), v).collect():
-        assert r["ids"] == own.encode([r["word"]])[0] == own.spell(r["word"], own.queue(r["word"]))
+        assert r["ids"] == arrays[r["word"]] == own.spell(r["word"], own.queue(r["word"]))
+
+
+def by_arrays(lattice, words):
+    ids, starts, sizes = lattice.encode(words)
+    return {w: ids[s : s + n].tolist() for w, s, n in zip(words, starts, sizes, strict=True)}
+
+
+def test_units_are_what_no_piece_crosses():
+    v = sentence_pieces.Vocabulary.load(PIECES)
+    text = "Ab,c 12  x²y\n(z) ü_1"
+    assert sentence_pieces.units(text, v.pattern) == ["▁Ab", ",", "c", "▁", "1", "2", "▁▁x", "²", "y", "\n", "(", "z", ")", "▁ü", "_", "1"]
+    assert sentence_pieces.unit_pattern(["a1", "b"]) == sentence_pieces.unit_pattern(["a,", "ab"] + ["12"]) == sentence_pieces.UNITS
+    assert "".join(sentence_pieces.units(text, v.pattern)) == "▁" + text.replace(" ", "▁")
 
 
 def test_viterbi_equals_brute_force(spark, frame):
@@ -71,9 +85,10 @@ def test_viterbi_equals_brute_force(spark, frame):
     rng = random.Random(3)
     words = sorted({"▁" + "".join(rng.choice("aabbcz") for _ in range(rng.randrange(1, 8))) for _ in range(60)})
     own = sentence_pieces.ArrayLattice(v)
+    arrays = by_arrays(own, words)
     relational = {r["word"]: r["ids"] for r in sentence_pieces.encode_words(frame([(w,) for w in words], "word string"), v).collect()}
     for w in words:
-        assert own.encode([w])[0] == relational[w] == own.spell(w, own.long_viterbi(w)) and relational[w] in best(w), w
+        assert arrays[w] == relational[w] == own.spell(w, own.long_viterbi(w)) and relational[w] in best(w), w
 
 
 # ---- 2
