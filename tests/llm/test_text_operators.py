@@ -157,6 +157,25 @@ def test_token_file(spark, frame):
     assert token_files.round_trip(documents(frame, []), BPE).count() == 0
 
 
+def test_token_file_of_many_buckets_and_repeated_ids(spark, frame, tmp_path):
+    """A third of the rows has one id, one text is longer than the coder takes at once, ids may be null."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "42", "é"], k=rng.randrange(60))), 7, "x") for i in range(200)]
+    rows += [(77, f"copy {i % 50}", 7, "x") for i in range(120)] + [(None, "none", 7, "x"), (90, "long 1 " * 800_000, 7, "x")]
+    path = f"{tmp_path}/file"
+    token_files.write_token_file(frame(rows, DOCS).repartition(3), path, BPE, bucket_bytes=1 << 20)
+    assert spark.read.parquet(f"{path}/blocks").select("bucket").distinct().count() > 2
+    out = token_files.read_token_file(spark, path, 50257).orderBy("start").collect()
+    assert sorted((r["doc_id"] or -1, bytes(r["ids"])) for r in out) == sorted((i or -1, np.array([*x, 2], "<u4").tobytes()) for (i, *_), x in zip(rows, library_ids([r[1] for r in rows]), strict=True))
+    ids = [r["doc_id"] for r in out]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    assert [r["start"] for r in out] == np.cumsum([0, *(r["n_tokens"] for r in out)])[:-1].tolist()
+    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in out)
+    keys, texts = np.array([5, 7, 7, 7, 9]), list("abcde")
+    got = token_files.bucket_of(keys, texts, np.array([5, 7, 7, 7, 8]))
+    assert got[0] == 0 and set(got[1:4]) <= {1, 2, 3} and len(set(got[1:4])) > 1 and got[4] == 5
+
+
 @pytest.mark.parametrize("path", [BPE, PIECES])
 def test_token_counts(spark, frame, path):
     import sentencepiece
