@@ -18,6 +18,18 @@ def safe_text(c: Column) -> Column:
     return F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("<\\|"))
 
 
+#: How characters that would break a head are written, and the name of a participant without one; no two roles meet.
+ESCAPES = {"%": "%25", " ": "%20", "\t": "%09", "\n": "%0A", "\r": "%0D", "<": "%3C", ">": "%3E", "|": "%7C"}
+NOBODY = "%unknown"
+
+
+def name_of(role: Column) -> Column:
+    """The role as it stands in heads, another for every role."""
+    for character, code in ESCAPES.items():
+        role = F.replace(role, F.lit(character), F.lit(code))
+    return F.coalesce(role, F.lit(NOBODY))
+
+
 def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = 1024) -> DataFrame:
     """(conv, perspective, part, n_turns, rendered, mask) with one row per participant and part of a conversation.
 
@@ -25,13 +37,13 @@ def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
     ``<|im_start|>user name=ROLE``. mask is an array of (start, end) character ranges of rendered, end excluded, over the
     perspective's texts and their end marks: what a loss should count. Parts in order, joined, are the whole dialogue.
 
-    Turns are ordered by turn, then role, then text; repeated rows are rendered each. A null role is the participant
-    ``unknown``, a null text is empty, null turns come first and belong to part 0, a null conv is a conversation of its
-    own. A conversation of system turns only has no participant and thus no row. Other columns are ignored.
+    Turns are ordered by turn, then role, then text; repeated rows are rendered each. White space, <, >, | and % in a role
+    are written as % and their code, so that no two roles become one; a null role is the participant ``%unknown``, a null text is empty, null turns come first and belong to part 0, a null conv is a conversation of its
+    own. A conversation of system turns only has no participant and thus no row; an empty table gives none. Texts of any
+    length are rendered whole. Other columns are ignored.
     """
-    role = F.regexp_replace(F.coalesce(F.col(role_col), F.lit("unknown")), r"[\s<>|]+", "_")
     t = turns.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), safe_text(F.col(text_col)).alias("text"),
+        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), name_of(F.col(role_col)).alias("role"), safe_text(F.col(text_col)).alias("text"),
         F.coalesce(F.floor(F.col(turn_col) / part_turns), F.lit(0)).cast("bigint").alias("part"),
     )
     people = t.filter(F.col("role") != SYSTEM).select("conv", "role").distinct().groupBy("conv").agg(F.sort_array(F.collect_set("role")).alias("people"))

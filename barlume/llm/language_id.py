@@ -27,8 +27,11 @@ FLOOR = 1e-6
 
 
 def words_of(text: str | None) -> list[str]:
-    """The lower-case runs of letters, each after the vocabulary's mark of a word's beginning."""
-    return [MARK + w for w in WORD.findall((text or "").lower())]
+    """The lower-case runs of letters, each after the vocabulary's mark of a word's beginning. Numerals such as ½ and Ⅷ are no letters."""
+    found = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return [MARK + w for w in found]
+    return [MARK + w for f in found for w in ([f] if f.isalpha() else "".join(c if c.isalpha() else " " for c in f).split())]
 
 
 class Lattice:
@@ -271,7 +274,7 @@ class Scorer:
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
     """(id, [kept,] lang_pred, score) for every row: the likeliest language of the whole text and its posterior (0 to 1).
 
-    Null texts and those without a letter are ``und`` with score 0, as is every text where nothing was learned. Ties go
+    Texts of any length are judged whole. Null texts and those without a letter are ``und`` with score 0, as is every text where nothing was learned. Ties go
     to the first language in order. Repeated rows are judged each, other columns are ignored; keep is passed through as
     kept and is no input of the prediction.
     """

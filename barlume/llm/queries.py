@@ -129,9 +129,13 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
+ROLE = "role"
+for _character, _code in (("%", "%25"), (" ", "%20"), (chr(9), "%09"), (chr(10), "%0A"), (chr(13), "%0D"), ("<", "%3C"), (">", "%3E"), ("|", "%7C")):
+    ROLE = f"replace({ROLE}, chr({ord(_character)}), '{_code}')"
+
 SQL["op9_chat_perspectives"] = """
 WITH t AS (
-  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[\\s<>|]+', '_', 'g') AS role,
+  SELECT conv_id, turn, coalesce(""" + ROLE + """, '%unknown') AS role,
          replace(coalesce(text, ''), '<|', '<\\|') AS text, CAST(coalesce(turn // 1024, 0) AS BIGINT) AS part FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 x AS (

@@ -1,21 +1,27 @@
-"""Exact top-k search by inner product: a ball tree per shard, walked best bound first.
+"""Exact top-k search by inner product: a ball tree per shard, descended by branch and bound.
 
-Vectors are dealt over shards of bounded size, query vectors over blocks, and each (shard, block) task builds the tree of
-its shard once and walks it for its queries. Before the walk, a first pass over one shard gives every query a k-th score
-to beat; it goes along with the query to all shards, where it only rises.
+Vectors are dealt over shards of bounded size, query vectors over blocks of bounded size, and each (shard, block) task
+builds the tree of its shard once and lets its queries down together: a query enters a ball only if the ball's upper bound
+reaches the query's k-th score so far, and the child with the higher bound first. Shards come in rounds, the first of one
+shard, later ones of ever more; after a round every query's k-th score over all shards so far is the one to beat in the
+next.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlume.llm.common import at_the_end, shared_folder, written
+
 LEAF = 64
+LEAST = -(2**62)  # below any score
 
 
 def scaled(c: Column, scale: float) -> Column:
@@ -25,87 +31,102 @@ def scaled(c: Column, scale: float) -> Column:
     return F.when(~bad, F.transform(d, lambda x: F.floor(x * F.lit(scale))))
 
 
-def tree(x: np.ndarray) -> list[tuple[np.ndarray, float, np.ndarray]]:
-    """The leaves of a ball tree as (centre, radius, rows): each ball is split at the median of its widest axis."""
-    out, todo = [], [np.arange(len(x))]
-    while todo:
-        rows = todo.pop()
-        part = x[rows]
-        if len(rows) <= LEAF:
-            centre = part.mean(axis=0)
-            out.append((centre, float(np.sqrt(((part - centre) ** 2).sum(axis=1).max())), rows))
-            continue
-        axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-        order = np.argsort(part[:, axis], kind="stable")
-        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-    return out
-
-
-def best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best (score, id) here that are no worse than its floor; the leaves are visited by falling bound."""
+@dataclass(frozen=True)
+class Ball:
+    """A node: all its rows lie within radius of centre. Leaves have rows, others two children."""
+
+    centre: np.ndarray
+    radius: float
+    rows: np.ndarray | None
+    children: tuple[Ball, ...] = ()
+
+
+def tree(x: np.ndarray, rows: np.ndarray | None = None) -> Ball:
+    """The ball tree of the rows of x, split at the median of the widest axis."""
+    rows = np.arange(len(x)) if rows is None else rows
+    part = x[rows]
+    centre = part.mean(axis=0)
+    radius = float(np.sqrt(((part - centre) ** 2).sum(axis=1).max()))
+    if len(rows) <= LEAF:
+        return Ball(centre, radius, rows)
+    order = np.argsort(part[:, int(np.argmax(part.max(axis=0) - part.min(axis=0)))], kind="stable")
+    return Ball(centre, radius, None, (tree(x, rows[order[: len(rows) // 2]]), tree(x, rows[order[len(rows) // 2 :]])))
+
+
+def best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of each query's k best here, best first, LEAST where there are fewer that reach its floor."""
     wide = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) >= 2**52
     xs, qs = (x, q) if wide else (x.astype(np.float64), q.astype(np.float64))  # below 2**52 doubles add whole numbers without error
-    xf = x.astype(np.float64)
-    leaves = tree(xf)
-    centres, radii = np.stack([c for c, _, _ in leaves]), np.array([r for _, r, _ in leaves])
     qf = q.astype(np.float64)
-    bounds = qf @ centres.T + np.linalg.norm(qf, axis=1)[:, None] * radii
-    bounds += np.abs(bounds) * 1e-9 + 1e-6
-    for i in range(len(q)):
-        worst, s_best, i_best = floor[i], np.empty(0, np.int64), np.empty(0, np.int64)
-        for leaf in np.argsort(-bounds[i]):
-            if bounds[i, leaf] < worst:
-                break
-            rows = leaves[leaf][2]
-            s = (xs[rows] @ qs[i]).astype(np.int64)
-            keep = (s >= worst) & (ids[rows] != q_ids[i])
-            s_best, i_best = np.concatenate([s_best, s[keep]]), np.concatenate([i_best, ids[rows][keep]])
-            if len(s_best) >= k:
-                order = np.lexsort((i_best, -s_best))[:k]
-                s_best, i_best = s_best[order], i_best[order]
-                if len(order) == k:
-                    worst = max(worst, float(s_best[-1]))
-        order = np.lexsort((i_best, -s_best))[:k]
-        yield int(q_ids[i]), s_best[order], i_best[order]
-
-
-def exact_top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
+    length = np.linalg.norm(qf, axis=1)
+    scores, found = np.full((len(q), k), LEAST), np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def bound(ball: Ball, a: np.ndarray) -> np.ndarray:
+        top = qf[a] @ ball.centre + length[a] * ball.radius
+        return top + np.abs(top) * 1e-9 + 1e-6
+
+    def descend(ball: Ball, a: np.ndarray) -> None:
+        a = a[bound(ball, a) >= np.maximum(floor[a], scores[a, -1])]
+        if not len(a):
+            return
+        if ball.rows is None:
+            left, right = ball.children
+            first = bound(left, a) >= bound(right, a)
+            descend(left, a[first])
+            descend(right, a)
+            descend(left, a[~first])
+            return
+        s = (qs[a] @ xs[ball.rows].T).astype(np.int64)
+        i = np.broadcast_to(ids[ball.rows], s.shape)
+        s = np.where((i != q_ids[a, None]) & (s >= floor[a, None]), s, LEAST)
+        s, i = np.concatenate([scores[a], s], axis=1), np.concatenate([found[a], i], axis=1)
+        order = np.lexsort((i, -s), axis=-1)[:, :k]
+        scores[a], found[a] = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+
+    descend(tree(x.astype(np.float64)), np.arange(len(q)))
+    return scores, found
+
+
+def exact_top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by the inner product of floor(scale * x), ties to the smaller id.
 
-    Queries are the rows for which is_query holds; candidates are all rows with another id. Null vectors and those with
-    null or non-finite components take no part, nor do null ids; an empty vector scores 0 with others like it. Vectors of
-    different lengths do not meet. Of rows that repeat an id, the one with the smallest vector stands. With fewer than k
-    candidates all are returned. Scores beyond 64 bits are not defined. Other columns are ignored.
+    Queries are the rows for which is_query holds; candidates are all rows with another id, each row of a repeated id for
+    itself. A query id with several different vectors is answered for each of them, with ranks from 1. Null vectors and
+    those with null or non-finite components take no part, nor do null ids; an empty vector scores 0 with others like it.
+    Vectors of different lengths do not meet. With fewer than k candidates all are returned; an empty table gives an empty
+    one. Scores beyond 62 bits are not defined. Other columns are ignored.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), scaled(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
-    rows = rows.withColumn("dim", F.size("v"))
-    n = vectors.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n / block_rows / 50))
-    held = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
-    asked = rows.filter("asks").select("dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    rows = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull()).withColumn("dim", F.size("v"))
+    n, queries = (vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()[c] for c in ("n", "q"))
+    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(queries / block_rows))
+    held = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
+    asked = rows.filter("asks").select("dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", F.xxhash64("v").alias("of"), "v").distinct()
 
     def walk(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if own.empty or ask.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "query_of": [], "vec_id": [], "score": []}).astype("int64")
         x, q = np.stack(own["v"].to_numpy()).reshape(len(own), -1), np.stack(ask["q_v"].to_numpy()).reshape(len(ask), -1)
-        got = list(best(own["id"].to_numpy(), x, ask["q_id"].to_numpy(), q, ask["q_floor"].to_numpy(), k))
-        return pd.DataFrame({
-            "query_id": np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype("int64"),
-            "vec_id": np.concatenate([g[2] for g in got]), "score": np.concatenate([g[1] for g in got]),
-        })
-
-    def search(over: DataFrame, ask: DataFrame, meet: Column) -> DataFrame:
-        """Each block of queries meets the shards that meet lists."""
-        own = over.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        ask = ask.withColumn("shard", F.explode(meet))
-        ask = ask.toDF(*[f"q_{c}" for c in ask.columns])
-        return own.groupBy("dim", "shard", "block").cogroup(ask.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(walk, "query_id bigint, vec_id bigint, score bigint")
-
-    first = search(held.filter("shard = 0"), asked.withColumn("floor", F.lit(float("-inf"))), F.array(F.lit(0)))
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor")).withColumnRenamed("query_id", "id")
-    asked = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).select("dim", "block", "id", "v", "floor")
-    found = search(held, asked, F.sequence(F.lit(0), F.lit(shards - 1)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        scores, found = best(own["id"].to_numpy(), x, ask["q_id"].to_numpy(), q, ask["q_floor"].to_numpy(), k)
+        there = scores > LEAST
+        return pd.DataFrame({"query_id": np.repeat(ask["q_id"].to_numpy(), there.sum(axis=1)), "query_of": np.repeat(ask["q_of"].to_numpy(), there.sum(axis=1)), "vec_id": found[there], "score": scores[there]})
+
+    def search(first: int, last: int, floors: DataFrame | None) -> DataFrame:
+        """What the shards from first to last - 1 have for all queries, given the scores to beat."""
+        ask = asked.withColumn("floor", F.lit(float(LEAST))) if floors is None else asked.join(floors, ["id", "of"], "left").withColumn("floor", F.coalesce("floor", F.lit(float(LEAST))))
+        ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "shard", "block", "id", "of", "v", "floor")])
+        own = held.filter(F.col("shard").between(first, last - 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return own.groupBy("dim", "shard", "block").cogroup(ask.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(walk, "query_id bigint, query_of bigint, vec_id bigint, score bigint")
+
+    order = Window.partitionBy("query_id", "query_of").orderBy(F.desc("score"), "vec_id")
+    path, first, size, top = f"{shared_folder(spark)}/top-k-{uuid.uuid4().hex}", 0, 1, None
+    while first < shards:
+        last = min(shards, first + size)
+        floors = None if top is None else top.groupBy(F.col("query_id").alias("id"), F.col("query_of").alias("of")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
+        found = search(first, last, floors)
+        found = found if top is None else found.unionByName(top.drop("rank"))
+        top = written(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"{path}/{last}")
+        first, size = last, 8 * size
+    at_the_end(spark, path)
+    return top.select("query_id", "rank", "vec_id", "score")

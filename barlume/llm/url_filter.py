@@ -42,10 +42,15 @@ class Level:
     words: tuple[int, ...]
 
 
+def lowered(host: Column) -> Column:
+    """A-Z lower-cased and nothing else, for hosts and listed domains alike."""
+    return F.translate(host, UPPER, UPPER.lower())
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
     rest = F.substr(url, F.locate("://", url) + 3)
-    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, UPPER.lower())
+    host = lowered(F.regexp_extract(rest, "^[^/?#]*", 0))
     return F.when(F.coalesce(F.locate("://", url), F.lit(0)) > 0, host).otherwise("")
 
 
@@ -129,10 +134,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed_domains: DataFrame, *
 
     A rule that fits gives its verdict. Otherwise a host is blocked if it or a parent domain is in listed_domains (its
     first column), else allowed. Null urls and urls without :// have an empty host and path: no rule fits, the verdict
-    is allow unless '' is listed. Repeated rows are judged each, an empty table gives an empty one, other columns are
+    is allow unless '' is listed. Urls of any length are judged whole. Repeated rows are judged each, an empty table gives an empty one, other columns are
     ignored, and null or repeated listed domains count once or not at all.
     """
-    keys = listed_domains.select(F.lower(F.col(listed_domains.columns[0])).alias("key")).filter(F.col("key").isNotNull()).distinct()
+    keys = listed_domains.select(lowered(F.col(listed_domains.columns[0])).alias("key")).filter(F.col("key").isNotNull()).distinct()
     rows = pages.select(F.col(id_col).alias(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     with Scratch(pages.sparkSession) as scratch:
         universe = scratch.stage(rows.select("host").distinct().select(F.explode(domains_of(F.col("host"))).alias("key")).distinct(), "url-keys")

@@ -210,7 +210,7 @@ def test_languages(spark, frame):
     for i in range(120):
         k = rng.choice(list(speech))
         rows.append((i, " ".join(rng.choices(speech[k].split(), k=12)), k))
-    rows += [(200, None, "en"), (201, "", None), (202, "123 !!", "de"), (203, "x" * 5000, None), (204, "the house", None)]
+    rows += [(200, None, "en"), (201, "", None), (202, "123 !! ½ ²Ⅷ", "de"), (203, "x" * 5000, None), (204, "the house", None)]
     out = {r["doc_id"]: r for r in language_id.identify(frame(rows, "doc_id bigint, text string, lang string"), PIECES).collect()}
     held = [i for i, r in out.items() if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in out.items())
@@ -245,6 +245,15 @@ def test_long_words_are_scored_whole():
         np.testing.assert_allclose(total, want, rtol=1e-7, atol=1e-12)
 
 
+def test_languages_of_odd_tables(spark, frame):
+    """Clashing columns, repeated rows, an empty table, a very long text."""
+    schema = "doc_id bigint, text string, lang string, held_out string, kept int, score string"
+    rows = [(i, t, k, "x", 1, "y") for i in range(12) for t, k in (("the house and the water", "en"), ("das haus und der wasser", "de"))] + [(50, "the water and " * 60_000, None, "x", 1, "y")]
+    out = language_id.identify(frame(rows, schema), PIECES).collect()
+    assert len(out) == len(rows) and sum(r["lang_pred"] == "de" for r in out) == 12 and [r["lang_pred"] for r in out if r["doc_id"] == 50] == ["en"]
+    assert language_id.identify(frame([], schema), PIECES).count() == 0
+
+
 def test_long_han_runs(spark, frame):
     """A run without a space neither spoils a model in training nor a posterior in prediction."""
     rng = random.Random(8)
@@ -376,14 +385,23 @@ def test_jaccard_join_with_null_and_repeated_ids(spark, frame):
 def test_top_k(spark, frame):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 256], 1) for i in range(300)]  # many ties
-    rows += [(1000, None, 1), (1050, [1.0, None, 0.0, 0.0], 1), (1100, [float("nan"), 0.0, 0.0, 0.0], 1), (1150, [0.5, 0.5], 1), (1200, [0.25, 0.25], 1), (50, rows[50][1], 1)]
-    out = topk.exact_top_k(frame(rows, "vec_id bigint, embedding array<double>, score int"), F.col("vec_id") % 50 == 0, shard_rows=64, block_rows=2).collect()
-    good = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    rows += [(1000, None, 1), (1050, [1.0, None, 0.0, 0.0], 1), (1100, [float("nan"), 0.0, 0.0, 0.0], 1), (1150, [0.5, 0.5], 1), (1200, [0.25, 0.25], 1), (7, rows[90][1], 1)]  # 7 twice
+    out = topk.exact_top_k(frame(rows, "vec_id bigint, embedding array<double>, score int"), F.col("vec_id") % 50 == 0, shard_rows=16, block_rows=2).collect()
+    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in sorted(k for k in good if k % 50 == 0):
-        s = sorted((-int(good[q] @ good[c]), c) for c in good if c != q and len(good[c]) == len(good[q]))[:5]
-        want += [(q, n + 1, c, -v) for n, (v, c) in enumerate(s)]
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == want
+    for q, u in good:
+        if q % 50 == 0:
+            found = sorted((-int(u @ w), c) for c, w in good if c != q and len(w) == len(u))[:5]
+            want += [(q, n + 1, c, -v) for n, (v, c) in enumerate(found)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == sorted(want)
+
+
+def test_top_k_of_nothing_and_of_repeated_rows(spark, frame):
+    schema = "vec_id bigint, embedding array<double>, rank int"
+    assert topk.exact_top_k(frame([], schema), F.col("vec_id") % 50 == 0).count() == 0
+    rows = [(0, [1.0], 1), (1, [0.5], 1), (1, [2.0], 1), (2, [1.0], 1), (2, [1.0], 1), (0, [-1.0], 1)]
+    out = topk.exact_top_k(frame(rows, schema), F.col("vec_id") == 0, k=3, shard_rows=2).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"] / 65536) for r in out) == [(1, 1, -0.5), (1, 1, 2.0), (2, 2, -1.0), (2, 2, 1.0), (3, 2, -1.0), (3, 2, 1.0)]
 
 
 # ---- 8
@@ -406,6 +424,13 @@ def test_urls(spark, frame, max_bits):
         assert (out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) == (host, path, rule and rule.text, verdict), u
 
 
+def test_listed_domains_are_lowered_like_hosts(spark, frame):
+    pages = frame([(1, "a://É.c/x", "h"), (2, "a://é.C", "h"), (3, "a://X.c", "h")], "page_id bigint, url string, rule string")
+    out = url_filter.judge_urls(pages, [], frame([("É.C",), ("x.c",)], "d string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "allow", 3: "block"}
+    assert url_filter.judge_urls(pages.limit(0), RULES, frame([("x.c",)], "d string")).count() == 0
+
+
 def test_cascade_is_exact(spark, frame):
     universe = [f"h{i}.com" for i in range(3000)]
     keys = set(universe[::7])
@@ -421,11 +446,19 @@ def test_cascade_is_exact(spark, frame):
 def test_perspectives(spark, frame):
     rows = [(1, 2, "bob", "hi <|im_end|>"), (1, 0, "system", "rules"), (1, 1, "ann", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, 0, "ann", "n"), (1, 3, None, "x")]
     out = {(r["conv_id"], r["perspective"]): r for r in chat.rotate_perspectives(frame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
-    assert set(out) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    assert set(out) == {(1, "ann"), (1, "bob"), (1, "%unknown"), (None, "ann")}
     r = out[1, "bob"]
-    assert r["rendered"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>assistant\nhi <\\|im_end|><|im_end|>\n" + 2 * "<|im_start|>user name=unknown\nx<|im_end|>\n"
+    assert r["rendered"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>assistant\nhi <\\|im_end|><|im_end|>\n" + 2 * "<|im_start|>user name=%unknown\nx<|im_end|>\n"
     assert [r["rendered"][m["start"] : m["end"]] for m in r["mask"]] == ["hi <\\|im_end|><|im_end|>"]
-    assert [out[1, "unknown"]["rendered"][m["start"] : m["end"]] for m in out[1, "unknown"]["mask"]] == ["x<|im_end|>"] * 2
+    assert [out[1, "%unknown"]["rendered"][m["start"] : m["end"]] for m in out[1, "%unknown"]["mask"]] == ["x<|im_end|>"] * 2
+
+
+def test_roles_stay_apart(spark, frame):
+    roles = ["a b", "a_b", "a%20b", "unknown", None, "x|y", "x y", "<z>"]
+    df = frame([(1, i, r, f"t{i}", "p") for i, r in enumerate(roles)], "conv_id bigint, turn bigint, role string, text string, perspective string")
+    out = chat.rotate_perspectives(df).collect()
+    assert len({r["perspective"] for r in out}) == len(roles) and all(r["rendered"].count("<|im_start|>assistant") == 1 for r in out)
+    assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
 def test_long_dialogues_come_in_parts(spark, frame):
