@@ -5,6 +5,10 @@ a keyed hash: letters become letters of their script (vowels vowels, consonants
 given names of their gender. A corpus-wide check sends entities whose surrogates meet each other, or another entity, to
 further attempts until all differ. The surrogates are then fitted into each mention's own case and separators.
 
+Names are found where a title or a known given name stands before capitals: initials, particles, hyphens, apostrophes and
+further names may follow, and the whole may be written in capitals. Their surnames are then replaced wherever else they
+stand in the same document.
+
 Only documents with an entity are shuffled; all others pass through.
 """
 
@@ -15,28 +19,51 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import stage
+from barlume.llm.common import Scratch, stage
 
 #: Given names by script and gender, and titles: fixed values of the detector and the pool of its surrogates.
 GIVEN = {
-    ("latin", "f"): ["Alice", "Barbara", "Caroline", "Charlotte", "Christine", "Deborah", "Elizabeth", "Emily", "Fiona", "Hannah", "Isabella", "Jennifer", "Jessica", "Katherine", "Margaret", "Michelle", "Patricia", "Rebecca", "Samantha", "Victoria"],
-    ("latin", "m"): ["Alexander", "Andrew", "Benjamin", "Charles", "Christopher", "Daniel", "Edward", "Frederick", "Gregory", "Jonathan", "Joseph", "Lawrence", "Matthew", "Michael", "Nicholas", "Richard", "Robert", "Stephen", "Timothy", "William"],
+    ("latin", "f"): [
+        "Alice", "Amanda", "Angela", "Anna", "Barbara", "Caroline", "Charlotte", "Christine", "Claire", "Deborah", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Fiona", "Hannah", "Helen",
+        "Isabella", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Katherine", "Laura", "Linda", "Lisa", "Lucy", "Margaret", "Maria", "Mary", "Michelle", "Monika", "Nancy", "Natalie", "Olivia",
+        "Patricia", "Priya", "Rachel", "Rebecca", "Samantha", "Sandra", "Sarah", "Sophie", "Susan", "Victoria",
+    ],
+    ("latin", "m"): [
+        "Alexander", "Andrew", "Anthony", "Benjamin", "Brian", "Bob", "Carlos", "Charles", "Christopher", "Daniel", "David", "Edward", "Eric", "Frederick", "George", "Gregory", "Hans", "Henry", "Jack",
+        "James", "Jason", "Jean", "John", "Jonathan", "Joseph", "Juan", "Kevin", "Lawrence", "Lukas", "Mark", "Martin", "Matthew", "Michael", "Nicholas", "Patrick", "Paul", "Peter", "Pierre", "Richard",
+        "Robert", "Samuel", "Simon", "Stephen", "Steven", "Thomas", "Timothy", "William",
+    ],
     ("cyrillic", "f"): ["Анастасия", "Виктория", "Екатерина", "Марина", "Наталья", "Светлана"],
     ("cyrillic", "m"): ["Александр", "Дмитрий", "Константин", "Михаил", "Николай", "Сергей"],
     ("greek", "f"): ["Αικατερίνη", "Βασιλική", "Δήμητρα", "Ελένη"],
     ("greek", "m"): ["Αλέξανδρος", "Γεώργιος", "Δημήτριος", "Κωνσταντίνος"],
-}
+}
 TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sra"]
-
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:{'|'.join([*(n for names in GIVEN.values() for n in names), *(t + '[.]?' for t in TITLES)])}) \p{{Lu}}\p{{Ll}}{{2,}}(?![\p{{L}}\p{{N}}])"
+PARTICLES = ["van der", "von der", "de la", "van", "von", "de", "da", "del", "di", "bin", "al"]
+
+NAMES = "|".join(n for names in GIVEN.values() for n in names)
+SURNAME = r"(?:\p{Lu}['’]|Mc|Mac)?\p{Lu}\p{Ll}{2,}(?:-\p{Lu}\p{Ll}+)*"
+LOUD = r"(?:\p{Lu}['’])?\p{Lu}{3,}(?:-\p{Lu}{2,})*"
+MORE = rf"(?: (?:\p{{Lu}}[.]|{'|'.join(PARTICLES)}))*"
+HEAD = rf"(?:(?:{'|'.join(TITLES)})[.]?(?: (?:{NAMES})(?:-\p{{Lu}}\p{{Ll}}+)?)?|(?:{NAMES})(?:-\p{{Lu}}\p{{Ll}}+)?)"
+NAME = (
+    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}){HEAD}(?: \p{{Lu}}\p{{Ll}}+)?{MORE} {SURNAME}(?![\p{{L}}\p{{N}}])"
+    rf"|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}{{3}})(?:{NAMES.upper()}){MORE} {LOUD}(?![\p{{L}}\p{{N}}])"
+)
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}][\p{L}\p{N}-]*[.])+\p{L}{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}[.]){{3}}{OCTET}(?![0-9]|[.][0-9])"
-SECRET = r'(?<![\p{L}\p{N}_-])(?=[\p{L}\p{N}_-]{16})(?<=(?:token|TOKEN|Token|secret|SECRET|key|KEY|password|PASSWORD) ?[=:] ?"?)[\p{L}\p{N}_-]{16,}'
+SECRET = r"""(?<![\p{L}\p{N}_-])(?=[\p{L}\p{N}_-]{16})(?<=(?i:token|secret|key|password)["']? ?[=:] ?["']?)[\p{L}\p{N}_-]{16,}"""
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PHONE = r"(?<![0-9\p{L}])(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{2,4}[)] ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9\p{L}])[+][0-9]{8,15}(?![0-9])"
+PHONE = "|".join([
+    r"(?<![0-9\p{L}])(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{2,4}[)] ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    r"(?<![0-9\p{L}])[+][0-9]{8,15}(?![0-9])",
+    r"(?<![0-9\p{L}])[+][0-9]{1,3}(?:[ .-][0-9]{1,8}){2,5}(?![0-9])",
+    r"(?<![0-9\p{L}.,-])0[0-9](?: [0-9]{2}){4}(?! ?[0-9])",
+    r"(?<![0-9\p{L}.,-])01[5-7][0-9][ /-]?[0-9]{7,8}(?![0-9])",
+])
 ENTITY = "|".join([EMAIL, SECRET, IBAN, IP, SSN, CARD, PHONE, NAME])
 SEPARATORS = " .-()"
 
@@ -55,16 +82,21 @@ def kind_of(surface: Column) -> Column:
         .when(surface.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
         .when(surface.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(surface.rlike("^[0-9 -]+$") & digits.between(13, 19), "card")
-        .when(surface.rlike("^[0-9+() .-]+$"), "phone")
+        .when(surface.rlike("^[0-9+() ./-]+$"), "phone")
         .when(surface.contains(" "), "name")
         .otherwise("secret")
     )
 
 
 def normal(surface: Column, kind: Column) -> Column:
-    """What all mentions of an entity share: no case, and no separators where they carry nothing."""
+    """What all mentions of an entity share: no case, no separators where they carry nothing, of a name the last word.
+
+    A phone number is known by its last nine digits, so that it is one with and without its country code.
+    """
     bare = F.translate(surface, SEPARATORS, "")
-    return F.lower(F.when(kind.isin("iban", "ssn", "card", "phone"), bare).when(kind == "name", F.substring_index(surface, " ", -1)).otherwise(surface))
+    digits = F.regexp_replace(surface, "[^0-9]", "")
+    phone = F.when(F.char_length(digits) > 9, F.substr(digits, F.char_length(digits) - 8)).otherwise(digits)
+    return F.lower(F.when(kind == "phone", phone).when(kind.isin("iban", "ssn", "card"), bare).when(kind == "name", F.substring_index(surface, " ", -1)).otherwise(surface))
 
 
 def hashed(key: str, *parts: Column) -> Column:
@@ -101,7 +133,7 @@ def luhn(digits: Column) -> Column:
 
 
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form at an attempt. Attempts beyond 16 add a character, so that one is free in the end."""
+    """The surrogate of a normal form at an attempt. Of attempts beyond 16, every further 16 add a character, so that one is free in the end."""
     stream = hashed(key, kind, entity, attempt.cast("string"))
     octet = lambda i: F.conv(F.substr(stream, F.lit(2 * i + 1), F.lit(2)), 16, 10)
     private = F.regexp_extract(entity, r"^(?:10|127|192[.]168|172[.](?:1[6-9]|2[0-9]|3[01]))[.]", 0)
@@ -114,14 +146,17 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     body = scrambled(F.substr(entity, F.lit(1), F.char_length(entity) - 1), stream, F.lit(1))
     # the last digit keeps the card as valid, or as invalid, as it was
     card = F.concat(body, F.pmod(luhn(entity) - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    keep = F.when((kind == "phone") & entity.startswith("+"), 2).when(kind == "iban", 2).otherwise(0)
+    keep = F.when(kind == "iban", 2).otherwise(0)
     hexadecimal = F.substr(F.repeat(stream, F.ceil(F.char_length(entity) / 128).cast("int")), F.lit(1), F.char_length(entity))
     out = F.when((kind == "secret") & entity.rlike("^[0-9a-f]+$"), hexadecimal).when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).otherwise(scrambled(entity, stream, keep))
-    longer = F.when(kind.isin("name", "email", "secret"), pick("aeiou", F.conv(F.substr(stream, F.lit(1), F.lit(2)), 16, 10).cast("int"))).otherwise(pick("0123456789", attempt))
-    return F.when(attempt <= 16, out).otherwise(F.concat(out, longer))
+    more = F.substr(hashed(key, F.lit("more"), entity, attempt.cast("string")), F.lit(1), F.floor((attempt - 1) / 16).cast("int"))
+    more = F.when(kind.isin("name", "email", "secret"), F.translate(more, "0123456789", "ghijklmnop")).otherwise(F.translate(more, "abcdef", "012345"))
+    # before the @, so that the domain stays
+    longer = F.when(kind == "email", F.concat(F.substring_index(out, "@", 1), more, F.lit("@"), F.substring_index(out, "@", -1))).otherwise(F.concat(out, more))
+    return F.when(attempt <= 16, out).otherwise(longer)
 
 
-def assign(entities: DataFrame, key: str) -> DataFrame:
+def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(kind, entity, surrogate) for distinct (kind, entity): no surrogate twice within a kind, and none that is an entity.
 
     Of the entities that meet in a surrogate, the first in order keeps it and the others try again; usually one round is
@@ -132,12 +167,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     while True:
         tried = waiting.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(attempt), key))
         winners = tried.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
-        winners = winners.join(known, ["kind", "surrogate"], "left_anti") if attempt < 64 else winners.filter("entity <> surrogate")
+        winners = winners.join(known, ["kind", "surrogate"], "left_anti")
         if decided is not None:
             winners = winners.join(decided.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = stage(winners.select("kind", "entity", "surrogate"), "surrogates")
+        won = scratch.stage(winners.select("kind", "entity", "surrogate"), "surrogates")
         decided = won if decided is None else decided.unionByName(won)
-        waiting = stage(waiting.join(won, ["kind", "entity"], "left_anti"), "waiting")
+        waiting = scratch.stage(waiting.join(won, ["kind", "entity"], "left_anti"), "waiting")
         if waiting.limit(1).count() == 0:
             return decided
         attempt += 1
@@ -155,27 +190,48 @@ def given_names(key: str) -> dict[str, str]:
 def fitted(surface: Column, kind: Column, replacement: Column, key: str) -> Column:
     """The surrogate in the mention's own case and separators."""
     separate = kind.isin("iban", "ssn", "card", "phone")
+    country = F.when(kind == "phone", F.greatest(F.lit(0), F.char_length(F.regexp_replace(surface, "[^0-9]", "")) - 9)).otherwise(0)
 
     def one(c: Column, i: Column) -> Column:
         before = F.substr(surface, F.lit(1), i)
-        place = F.when(separate, F.char_length(F.translate(before, SEPARATORS, ""))).otherwise(i)
+        place = F.when(kind == "phone", F.char_length(F.regexp_replace(before, "[^0-9]", "")) - country).when(separate, F.char_length(F.translate(before, SEPARATORS, ""))).otherwise(i)
         p = F.substr(replacement, place + 1, F.lit(1))
-        return F.when(separate & (F.instr(F.lit(SEPARATORS), c) > 0), c).when(c.rlike(r"\p{Lu}"), F.upper(p)).otherwise(p)
+        same = (separate & (F.instr(F.lit(SEPARATORS), c) > 0)) | ((kind == "phone") & (~c.between("0", "9") | (place < 0)))
+        return F.when(same, c).when(c.rlike(r"\p{Lu}"), F.upper(p)).otherwise(p)
 
-    used = F.when(separate, F.char_length(F.translate(surface, SEPARATORS, ""))).otherwise(F.char_length(surface))
+    used = F.when(kind == "phone", F.char_length(F.regexp_replace(surface, "[^0-9]", "")) - country).when(separate, F.char_length(F.translate(surface, SEPARATORS, ""))).otherwise(F.char_length(surface))
     plain = F.concat(F.array_join(F.transform(F.split(surface, ""), one), ""), F.substr(replacement, used + 1))
-    first = F.substring_index(surface, " ", 1)
-    swap = F.create_map(*[F.lit(x) for pair in given_names(key).items() for x in pair])
-    name = F.concat(F.coalesce(F.try_element_at(swap, first), first), F.lit(" "), F.initcap(replacement))
-    return F.when(kind == "name", name).when(kind == "ip", replacement).when(surface == F.upper(surface), F.upper(plain)).otherwise(plain)
+    loud = surface == F.upper(surface)
+    pairs = [x for a, b in given_names(key).items() for x in (a, b)]
+    swap = F.create_map(*[F.lit(x) for x in [*pairs, *(x.upper() for x in pairs)]])
+    words = F.split(surface, " ")
+    other = lambda w: F.array_join(F.transform(F.split(w, "-"), lambda x: F.coalesce(F.try_element_at(swap, x), x)), "-")
+    first = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), other)
+    name = F.concat(F.array_join(first, " "), F.lit(" "), F.when(loud, F.upper(replacement)).otherwise(F.initcap(replacement)))
+    return F.when(kind == "name", name).when(kind == "ip", replacement).when(loud, F.upper(plain)).otherwise(plain)
+
+
+def surnames(names: Column, swap: Column) -> Column:
+    """The (old, new) last words of names as they and their loud forms are written."""
+    last = lambda x: F.substring_index(x, " ", -1)
+    plain = F.transform(names, lambda n: F.struct(last(n).alias("old"), last(F.try_element_at(swap, n)).alias("new")))
+    forms = lambda f: F.transform(plain, lambda p: F.struct(f(p["old"]).alias("old"), f(p["new"]).alias("new")))
+    return F.array_distinct(F.concat(plain, forms(F.upper), forms(F.initcap)))
+
+
+def replaced_words(text: Column, pairs: Column) -> Column:
+    """The text with each old word that stands alone made the new one."""
+    pattern = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), w, F.lit(r"\E(?![\p{L}\p{N}])"))
+    return F.aggregate(pairs, text, lambda t, p: F.when(F.contains(t, p["old"]), F.regexp_replace(t, pattern(p["old"]), p["new"])).otherwise(t))
 
 
 def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text replaced, and n_entities and kinds (distinct types, sorted, joined by commas) added.
 
     All columns of docs are kept. Texts without entities stay as they are; null texts stay null with 0 entities. Mentions
-    of one entity get one surrogate in all documents, repeated rows are replaced each, an empty table gives an empty one.
-    A column of docs named n_entities or kinds is overwritten.
+    of one entity get one surrogate in all documents, repeated rows are replaced each, an empty table gives an empty one,
+    texts of any length are taken whole. n_entities counts what the pattern finds, without the further mentions of a
+    surname. A column of docs named n_entities or kinds is overwritten; names that begin with two underscores are not for docs.
     """
     docs = docs.drop("n_entities", "kinds")
     text = F.col(text_col)
@@ -185,14 +241,17 @@ def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     clean = marked.filter(~some).drop("__found").withColumns({"n_entities": F.lit(0).cast("bigint"), "kinds": F.lit("")})
     hit = stage(marked.filter(some).withColumn("__row", F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("d"), F.xxhash64(text).alias("t"))), "entities")
 
-    mentions = hit.select("__row", F.explode(F.array_distinct("__found")).alias("surface")).distinct()
-    mentions = mentions.withColumn("kind", kind_of(F.col("surface"))).withColumn("entity", normal(F.col("surface"), F.col("kind")))
-    decided = assign(stage(mentions.select("kind", "entity").distinct(), "entities"), key)
-    fits = mentions.join(decided, ["kind", "entity"]).withColumn("new", fitted(F.col("surface"), F.col("kind"), F.col("surrogate"), key))
-    of_row = fits.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("swap"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-
-    joined = hit.join(of_row, "__row")
-    gaps = F.split(text, ENTITY, -1)
-    new = F.array_join(F.zip_with(gaps, F.transform("__found", lambda e: F.element_at("swap", e)), lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
-    replaced = joined.withColumn("n_entities", F.size("__found").cast("bigint")).withColumn(text_col, new)
+    with Scratch(docs.sparkSession) as scratch:
+        mentions = hit.select("__row", F.explode(F.array_distinct("__found")).alias("surface")).distinct()
+        mentions = mentions.withColumn("kind", kind_of(F.col("surface"))).withColumn("entity", normal(F.col("surface"), F.col("kind")))
+        mentions = scratch.stage(mentions, "mentions")  # written, as one entity may be named in a great many rows: Spark can split these
+        decided = assign(scratch.stage(mentions.select("kind", "entity").distinct(), "entities"), key, scratch)
+        fits = mentions.join(decided, ["kind", "entity"]).withColumn("new", fitted(F.col("surface"), F.col("kind"), F.col("surrogate"), key))
+        of_row = fits.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("__swap"), F.array_sort(F.collect_set("kind")).alias("__kinds"), F.array_sort(F.collect_set(F.when(F.col("kind") == "name", F.col("surface")))).alias("__names"))
+        of_row = stage(of_row.withColumn("__bare", surnames(F.col("__names"), F.col("__swap"))).drop("__names"), "swaps")
+
+    joined = hit.join(of_row, "__row").drop("__row")
+    gaps = F.transform(F.split(text, ENTITY, -1), lambda g: replaced_words(g, F.col("__bare")))
+    new = F.array_join(F.zip_with(gaps, F.transform("__found", lambda e: F.element_at(F.col("__swap"), e)), lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
+    replaced = joined.withColumns({"n_entities": F.size("__found").cast("bigint"), "kinds": F.array_join("__kinds", ","), text_col: new})
     return replaced.select(clean.columns).unionByName(clean)

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from barlume.llm.common import Scratch
 from barlume.llm import byte_bpe, chat, decontamination, jaccard_join, language_id, pii, rans, sentence_pieces, token_counts, token_files, topk, url_filter
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -118,11 +119,61 @@ def test_surrogates(spark, frame):
 def test_surrogates_never_meet(spark, frame):
     """Two-letter names have few surrogates, so many collide at first."""
     names = [a + b for a in "bcdfgh" for b in "aeiou"]
-    got = pii.assign(frame([("name", n) for n in names], "kind string, entity string"), "k").collect()
+    with Scratch(spark) as scratch:
+        got = pii.assign(frame([("name", n) for n in names], "kind string, entity string"), "k", scratch).collect()
     assert len(got) == len(names) == len({r["surrogate"] for r in got})
     assert all(r["entity"] != r["surrogate"] for r in got)
 
 
+def test_names_and_phones_in_all_forms(spark, frame):
+    texts = [
+        "Alice Smith met Bob Jones. Later Smith left. Priya Sharma and John O'Neil came; Anna-Maria Lopez too. JOHN SMITH, Mary Ann Evans.",
+        "Mr. J. van der Berg wrote; Berg signed. Smithson and Jonestown stay.", "+1 (017) 555-7713 or (017) 555-7713", "Smith stays here, where nobody is named", "the Paul street",
+        *(f"call {p} now" for p in PHONES), *(f"call {p} now" for p in NO_PHONES), "password: 'abcdefgh12345678' and \"token\": \"ABCDEFGH12345678\"",
+    ]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(frame([(i, t, {"a": 1}, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, swap map<string,int>, surface string"), "key").collect()}
+    for name in ("Alice Smith", "Smith", "Jones", "Priya Sharma", "Sharma", "John", "Neil", "Anna-Maria", "Lopez", "JOHN", "SMITH", "Mary", "Evans"):
+        assert not re.search(rf"\b{name}\b", out[0]), (name, out[0])
+    first, later, loud = re.fullmatch(r"\w+ (\w+) met .*Later (\w+) left.*[A-Z]{3,} ([A-Z]+), .*", out[0]).groups()
+    assert first == later == loud.title()
+    assert "Berg" not in out[1] and out[1].endswith("Smithson and Jonestown stay.") and len(set(re.findall(r"Mr. J. van der (\w+) wrote; (\w+) signed", out[1])[0])) == 1
+    with_code, without = re.fullmatch(r"\+1 (.{14}) or (.{14})", out[2]).groups()
+    assert with_code == without != "(017) 555-7713"
+    assert out[3] == texts[3] and out[4] == texts[4]
+    n = 5
+    for i, p in enumerate(PHONES):
+        assert p not in out[n + i] and re.sub(r"[0-9]", "#", out[n + i]) == re.sub(r"[0-9]", "#", texts[n + i]), out[n + i]
+    n += len(PHONES)
+    assert [out[n + i] for i in range(len(NO_PHONES))] == texts[n : n + len(NO_PHONES)]
+    assert "abcdefgh12345678" not in out[len(texts) - 1] and "ABCDEFGH12345678" not in out[len(texts) - 1]
+    assert pii.replace_pii(documents(frame, []), "key").count() == 0
+
+
+PHONES = ["+49 30 1234567", "+33 1 23 45 67 89", "01 23 45 67 89", "+34 91 123 45 67", "0176 12345678", "017612345678", "+14155552671", "555-123-4567"]
+NO_PHONES = ["1 234 567", "2024-01-02", "12.50", "10:30", "3 of 45"]
+
+
+def test_surrogates_over_a_corpus_are_distinct_and_coherent(spark, frame):
+    """Against what was generated: every mention of an entity has one surrogate, no two entities share one, none is an entity."""
+    rng = random.Random(21)
+    mails = [f"{a}.{b}{i}@{c}.org" for i, (a, b, c) in enumerate((rng.choice(["ann", "joe", "mia"]), rng.choice(["lee", "roe"]), rng.choice(["site", "mail"])) for _ in range(40))]
+    phones = [f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}" for _ in range(40)]
+    rows, order = [], []
+    for i in range(150):
+        own = [rng.choice(mails), rng.choice(phones), rng.choice(mails)]
+        order.append(own)
+        rows.append((i, f"write {own[0]} or call {own[1]} and copy {own[2].upper()}", 1, "x"))
+    out = [r["text"] for r in pii.replace_pii(frame(rows + rows[:5], DOCS), "key").orderBy("doc_id").collect()]
+    out = out[: 10 : 2] + out[10:]
+    given: dict[str, set] = defaultdict(set)
+    for own, text in zip(order, out, strict=True):
+        for old, new in zip(own, re.fullmatch(r"write (\S+) or call (\S+ \S+) and copy (\S+)", text).groups(), strict=True):
+            given[old].add(new.lower())
+    assert all(len(v) == 1 for v in given.values())
+    new = [next(iter(v)) for v in given.values()]
+    assert len(set(new)) == len(new) and not set(new) & set(given)
+
+
 # ---- 3 and 4
 
 
