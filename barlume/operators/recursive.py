@@ -71,20 +71,88 @@ def natr(period: int = 14) -> Kernel:
     return lambda b: (period, {"value": divided(100 * atr(period)(b)[1]["value"], b["close"].to_numpy())})
 
 
+def directions(b: pd.DataFrame, period: int, midrange: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """+DI, -DI and DX."""
+    up, down = np.diff(b["high"].to_numpy(), prepend=np.nan), -np.diff(b["low"].to_numpy(), prepend=np.nan)
+    plus = np.where((up > down) & (up > 0), up, 0.0)
+    minus = np.where((down > up) & (down > 0), down, 0.0)
+    width = mean(ranges(b, middle(b) if midrange else b["close"].to_numpy()), 1 / period)
+    p = np.nan_to_num(divided(100 * mean(plus, 1 / period), width))
+    m = np.nan_to_num(divided(100 * mean(minus, 1 / period), width))
+    return p, m, np.nan_to_num(divided(100 * np.abs(p - m), p + m))
+
+
 def adx(period: int = 14, midrange: bool = False) -> Kernel:
     def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
-        up, down = np.diff(b["high"].to_numpy(), prepend=np.nan), -np.diff(b["low"].to_numpy(), prepend=np.nan)
-        plus = np.where((up > down) & (up > 0), up, 0.0)
-        minus = np.where((down > up) & (down > 0), down, 0.0)
-        width = mean(ranges(b, middle(b) if midrange else b["close"].to_numpy()), 1 / period)
-        p = np.nan_to_num(divided(100 * mean(plus, 1 / period), width))
-        m = np.nan_to_num(divided(100 * mean(minus, 1 / period), width))
-        dx = np.nan_to_num(divided(100 * np.abs(p - m), p + m))
+        p, m, dx = directions(b, period, midrange)
         return 2 * period, {"adx": mean(dx, 1 / period), "plus_di": p, "minus_di": m}
 
     return f
 
 
+def direction(which: int) -> Callable[..., Kernel]:
+    """One of +DI, -DI and DX alone."""
+
+    def make(period: int = 14, midrange: bool = False) -> Kernel:
+        return lambda b: (period, {"value": directions(b, period, midrange)[which]})
+
+    return make
+
+
+def stacked(order: int) -> Callable[..., Kernel]:
+    """The exponential mean less its lag, from as many means of means: two for dema, three for tema."""
+
+    def make(period: int = 30, column: str = "close") -> Kernel:
+        def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
+            e = [mean(b[column].to_numpy(), span(period))]
+            for _ in range(order - 1):
+                e.append(mean(e[-1], span(period)))
+            return order * (period - 1) + 1, {"value": 2 * e[0] - e[1] if order == 2 else 3 * e[0] - 3 * e[1] + e[2]}
+
+        return f
+
+    return make
+
+
+def kama(period: int = 30, fast: int = 2, slow: int = 30, column: str = "close") -> Kernel:
+    """An exponential mean that is as fast as the last move was straight."""
+
+    def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
+        x = b[column].to_numpy()
+        out = np.full(len(x), np.nan)
+        if len(x) <= period:
+            return period, {"value": out}
+        path = pd.Series(np.abs(np.diff(x, prepend=x[0]))).rolling(period).sum().to_numpy()
+        way = np.abs(x - np.concatenate([np.full(period, np.nan), x[:-period]]))
+        speed = (np.where(path > 0, way / np.where(path > 0, path, 1), 0.0) * (span(fast) - span(slow)) + span(slow)) ** 2
+        out[period - 1] = x[period - 1]
+        for i in range(period, len(x)):
+            out[i] = out[i - 1] + speed[i] * (x[i] - out[i - 1])
+        return period, {"value": out}
+
+    return f
+
+
+def apo(fast: int = 12, slow: int = 26) -> Kernel:
+    def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
+        c = b["close"].to_numpy()
+        return slow, {"value": mean(c, span(fast)) - mean(c, span(slow))}
+
+    return f
+
+
+def cmo(period: int = 14) -> Kernel:
+    """Gains less losses over both, by Wilder's means."""
+
+    def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
+        c = b["close"].to_numpy()
+        d = np.diff(c, prepend=c[0])
+        gain, loss = mean(np.maximum(d, 0), 1 / period), mean(np.maximum(-d, 0), 1 / period)
+        return period, {"value": np.nan_to_num(divided(100 * (gain - loss), gain + loss))}
+
+    return f
+
+
 def ppo(fast: int = 12, slow: int = 26) -> Kernel:
     def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
         c = b["close"].to_numpy()
@@ -149,14 +217,18 @@ def sar(step: float = 0.02, most: float = 0.2) -> Kernel:
     return f
 
 
-def compute(df: DataFrame, kernels: dict[str, Kernel], outputs: dict[str, list[str]], spec: BarSpec = BARS) -> DataFrame:
-    """(symbol, ts, name or name_output columns): all kernels in one pass over each symbol; a kernel's warm-up is null."""
+def compute(df: DataFrame, kernels: dict[str, Kernel], outputs: dict[str, list[str]], spec: BarSpec = BARS, keep: list[str] | None = None) -> DataFrame:
+    """(symbol, ts, keep, name or name_output columns): all kernels in one pass over each symbol; a kernel's warm-up is null.
+
+    The columns keep come through as they are.
+    """
+    keep = keep or []
     names = [n if o == "value" else f"{n}_{o}" for n in kernels for o in outputs[n]]
     types = dict(df.dtypes)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(spec.ts, kind="stable").reset_index(drop=True)
-        out = {spec.symbol: b[spec.symbol], spec.ts: b[spec.ts]}
+        out = {c: b[c] for c in (spec.symbol, spec.ts, *keep)}
         for n, kernel in kernels.items():
             skipped, values = kernel(b)
             for o in outputs[n]:
@@ -165,7 +237,7 @@ def compute(df: DataFrame, kernels: dict[str, Kernel], outputs: dict[str, list[s
                 out[n if o == "value" else f"{n}_{o}"] = pd.Series(v).replace({np.nan: None})
         return pd.DataFrame(out)
 
-    schema = f"{spec.symbol} {types[spec.symbol]}, {spec.ts} {types[spec.ts]}, " + ", ".join(f"{n} double" for n in names)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in (spec.symbol, spec.ts, *keep)), *(f"`{n}` double" for n in names)])
     return df.groupBy(spec.symbol).applyInPandas(run, schema)
 
 

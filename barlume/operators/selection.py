@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,33 @@ def pairs(features: list[str]) -> list[tuple[str, str]]:
 
 
 def correlation_pairs(df: DataFrame, features: list[str], listwise: bool = True) -> DataFrame:
-    """(f1, f2, corr) of the upper triangle and diagonal, from one aggregation. Null where a feature does not vary."""
+    """(f1, f2, corr) of the upper triangle and diagonal. Null where a feature does not vary.
+
+    Each task adds up the products of its rows, as matrices, around one value a feature, and gives a row for each pair; Spark
+    sums these. Without listwise every pair takes the rows that have both of it.
+    """
     if listwise:
         df = df.dropna(subset=features)
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    out = df.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"{i}") for i, (a, b) in enumerate(pairs(features))])
-    rows = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs(features))])
-    out = out.select(F.inline(rows))
-    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+    wide = df.select(*[F.col(f).cast("double").alias(f"{i}") for i, f in enumerate(features)])
+    near = wide.agg(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(c) for c in wide.columns]).first()
+    around, (first, second) = np.array(list(near)), np.triu_indices(len(features))
+    schema = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(features), len(features)))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) - around
+            there = np.isfinite(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            sums, squares = x.T @ there, (x * x).T @ there
+            total += np.stack([there.T @ there, sums, sums.T, squares, squares.T, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), *[pa.array(t[first, second]) for t in total]], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    m = wide.mapInArrow(moments, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    both, own = F.expr("xy - x * y / n"), F.expr("(xx - x * x / n) * (yy - y * y / n)")
+    spread = F.expr("n > 1 AND xx - x * x / n > 1e-12 * xx AND yy - y * y / n > 1e-12 * yy")
+    name = F.array(*[F.lit(f) for f in features])
+    return m.select(name[F.col("i")].alias("f1"), name[F.col("j")].alias("f2"), F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), both / F.sqrt(own)))).alias("corr"))
 
 
 def long_form(df: DataFrame, row_id: str, features: list[str]) -> DataFrame:
@@ -38,16 +59,33 @@ def average_rank(value: Column, *by: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def spearman_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """(f1, f2, corr): Pearson of the average ranks among the rows without a missing feature.
+def distributed_ranks(long: DataFrame, parts: int = 64) -> DataFrame:
+    """(feature, value, rank): the average rank of each distinct value of a feature.
 
-    Features are ranked in the long form, so each is sorted in a partition of its own; a sketch of ranks would be the way
-    beyond what one sort can hold.
+    Values are counted first. A feature is cut at about equal shares into parts; a value's rank is the count of the parts
+    before, a small table, and a running sum within its part, so that no task sorts a whole feature.
     """
-    df = df.dropna(subset=features).withColumn("__row", F.monotonically_increasing_id())
-    ranked = long_form(df, "__row", features).withColumn("value", average_rank(F.col("value"), "feature"))
-    wide = ranked.groupBy("row").pivot("feature", features).agg(F.first("value"))
-    return correlation_pairs(wide, features)
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    edges = long.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts)).alias("edges"))
+    cut = counts.join(F.broadcast(edges), "feature").withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = cut.groupBy("feature", "part").agg(F.sum("n").alias("m")).withColumn("shift", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    running = F.sum("n").over(Window.partitionBy("feature", "part").orderBy("value"))
+    ranked = cut.withColumn("upto", running).join(F.broadcast(shift), ["feature", "part"])  # rows for parts of features
+    return ranked.select("feature", "value", (F.col("shift") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def spearman_pairs(df: DataFrame, features: list[str], listwise: bool = True, min_periods: int = 2) -> DataFrame:
+    """(f1, f2, corr): Pearson of the average ranks among the rows without a missing feature, or among those that have a value, then by pair; null for features with fewer than min_periods values."""
+    df = df.dropna(subset=features) if listwise else df
+    df = df.withColumns({f: F.col(f).cast("double") for f in features})
+    rank = distributed_ranks(long_form(df.withColumn("__row", F.lit(0)), "__row", features))
+    out = df.select(features)
+    for f in features:
+        own = rank.filter(F.col("feature") == f).select(F.col("value").alias(f), F.col("rank").alias(f"__{f}"))
+        out = out.join(own, f, "left").drop(f).withColumnRenamed(f"__{f}", f)
+    enough = out.agg(*[F.count(f).alias(f) for f in features]).first()
+    return correlation_pairs(out.select(*[(F.col(f) if enough[f] >= min_periods else F.lit(None).cast("double")).alias(f) for f in features]), features, listwise=False)
 
 
 def highly_correlated_pairs(correlations: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -271,6 +309,107 @@ def cohens_d(df: DataFrame, group: str, value: str, first: object, second: objec
     return m.withColumn("interpretation", F.when(d < 0.2, "negligible").when(d < 0.5, "small").when(d < 0.8, "medium").when(d.isNotNull(), "large"))
 
 
+def cohens_d_batch(df: DataFrame, group: str, values: list[str], first: object, second: object, confidence: float = 0.95) -> DataFrame:
+    """(feature, cohens_d, low, high, mean_diff, interpretation) of many columns from one aggregation, with the normal interval of the effect."""
+    named = [F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("v")) for v in values]
+    long = df.filter(F.col(group).isin(first, second)).select((F.col(group) == first).alias("__one"), F.inline(F.array(*named)))
+    one, two = F.when(F.col("__one"), F.col("v")), F.when(~F.col("__one"), F.col("v"))
+    m = long.groupBy("feature").agg(*[f(x).alias(f"{k}{i}") for i, x in ((1, one), (2, two)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    pooled = F.when((F.col("n1") > 1) & (F.col("n2") > 1), F.sqrt(F.expr("((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)")))
+    m = m.withColumn("mean_diff", F.col("m1") - F.col("m2")).withColumn("cohens_d", F.try_divide("mean_diff", pooled))
+    half = NormalDist().inv_cdf(0.5 + confidence / 2) * F.sqrt(F.expr("(n1 + n2) / (n1 * n2) + cohens_d * cohens_d / (2 * (n1 + n2))"))
+    d = F.abs("cohens_d")
+    word = F.when(d < 0.2, "negligible").when(d < 0.5, "small").when(d < 0.8, "medium").when(d.isNotNull(), "large")
+    return m.select("feature", "cohens_d", (F.col("cohens_d") - half).alias("low"), (F.col("cohens_d") + half).alias("high"), "mean_diff", word.alias("interpretation"))
+
+
+def information_matrix(df: DataFrame, row_id: str, features: list[str], neighbors: int = 3, seed: int = 42, least: int = 100, by: list[str] | None = None) -> DataFrame:
+    """(by, f1, f2, mi) for each pair of different features, f1 before f2 in the list: one task a pair and group."""
+    by = by or []
+    cols = [F.col(f).cast("double") for f in features]
+    two = [F.struct(F.lit(features[i]).alias("f1"), F.lit(features[j]).alias("f2"), cols[i].alias("value"), cols[j].alias("y")) for i in range(len(features)) for j in range(i + 1, len(features))]
+    long = df.select(*by, F.col(row_id).alias("row"), F.inline(F.array(*two))).filter("value IS NOT NULL AND y IS NOT NULL AND NOT isnan(value) AND NOT isnan(y)")
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        v = None if len(pdf) < least else ksg(pdf["value"].to_numpy(), pdf["y"].to_numpy(), neighbors, np.random.default_rng(seed))
+        return pd.DataFrame([[*key, v]], columns=[*by, "f1", "f2", "mi"])
+
+    return grouped_scores(long, [*by, "f1", "f2"], score, key_schema(df, by) + "f1 string, f2 string, mi double")
+
+
+def paired_difference(df: DataFrame, row_id: str, pairs_: list[tuple[str, str]], target: str, replicates: int = 10_000, neighbors: int = 3, seed: int = 42, confidence: float = 0.95, by: list[str] | None = None, block: int = 250) -> DataFrame:
+    """(by, first, second, difference, spread, low, high, p_value): how much more the first feature tells of the target than the second.
+
+    Both are scored over the same bootstrap rows. low and high are percentiles of the differences, p_value is twice the
+    smaller share of them on one side of 0. All but the names are null without more rows than neighbors.
+    """
+    by, blocks = by or [], -(-replicates // block)
+    cols = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs_]
+    long = df.select(*by, F.col(row_id).alias("row"), F.col(target).cast("double").alias("y"), F.inline(F.array(*cols))).dropna(subset=["y", "a", "b"])
+    long = long.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(min(400, blocks * len(pairs_)), *by, "first", "second", "block")
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *group, number = key
+        pdf = pdf.sort_values("row")
+        a, b, y = (pdf[c].to_numpy() for c in ("a", "b", "y"))
+        if len(y) <= neighbors:
+            return pd.DataFrame([[*group, None, None]], columns=[*by, "first", "second", "observed", "value"])
+
+        def gaps(draws: list[tuple[np.ndarray, int]]) -> list[float]:
+            both = [ksg_many([(v[at], y[at], np.random.default_rng([seed, r])) for at, r in draws], neighbors) for v in (a, b)]
+            return [one - two for one, two in zip(*both, strict=True)]
+
+        observed, values = gaps([(np.arange(len(y)), replicates)])[0], []
+        own = [(np.random.default_rng([seed, r]).integers(0, len(y), len(y)), r) for r in range(number * block, min(replicates, number * block + block))]
+        some = max(1, 20_000 // len(y))
+        for i in range(0, len(own), some):
+            values += gaps(own[i : i + some])
+        return pd.DataFrame([[*group, observed, v] for v in values], columns=[*by, "first", "second", "observed", "value"])
+
+    draws = grouped_scores(long, [*by, "first", "second", "block"], score, key_schema(df, by) + "first string, second string, observed double, value double")
+    share = lambda c: F.avg(F.when(F.col("value").isNotNull(), c.cast("double")))
+    tail = (1 - confidence) / 2
+    return draws.groupBy(*by, "first", "second").agg(
+        F.first("observed").alias("difference"), F.stddev_samp("value").alias("spread"), F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"),
+        F.least(F.lit(1.0), 2 * F.least(share(F.col("value") <= 0), share(F.col("value") >= 0))).alias("p_value"),
+    )
+
+
+def significance_report(df: DataFrame, row_id: str, features: list[str], target: str, alpha: float = 0.05, replicates: int = 10_000, by: list[str] | None = None, **options) -> DataFrame:
+    """(by, feature, mi, low, high, p_value, q_value, significant): bootstrap intervals, permutation tests and their false discovery rate within each group by."""
+    by = by or []
+    names = [*by, "feature"]
+    boot = resampled_information(df, row_id, features, target, "bootstrap", replicates, by=by, **options).select(*names, F.col("observed").alias("mi"), "low", "high")
+    test = resampled_information(df, row_id, features, target, "permutation", replicates, by=by, **options).select(*names, "p_value")
+    return benjamini_hochberg(boot.join(test, names), "p_value", alpha, by)
+
+
+def validate_out_of_sample(df: DataFrame, row: str, features: list[str], target: str, train: float = 0.7, by: list[str] | None = None, **options) -> DataFrame:
+    """(by, feature, mi_in, mi_out, degradation, rank_in, rank_out): scores over the first part of each group's rows and over the rest.
+
+    row numbers a group's rows in time; degradation is the share of the score that is lost, null where there was none.
+    """
+    by = by or []
+    last = df.groupBy(*by).agg(((F.max(row) + 1) * train).alias("__cut")) if by else df.agg(((F.max(row) + 1) * train).alias("__cut"))
+    parts = (df.join(F.broadcast(last), by) if by else df.crossJoin(F.broadcast(last))).withColumn("__in", F.col(row) < F.col("__cut"))
+    found = mutual_information(parts, row, features, target, by=[*by, "__in"], **options)
+    both = found.groupBy(*by, "feature").agg(F.max(F.when(F.col("__in"), F.col("mi"))).alias("mi_in"), F.max(F.when(~F.col("__in"), F.col("mi"))).alias("mi_out"))
+    place = lambda c: F.rank().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc_nulls_last(c)))  # noqa: E731  a row a feature
+    return both.withColumns({"degradation": F.try_divide(F.col("mi_in") - F.col("mi_out"), F.col("mi_in")), "rank_in": place("mi_in"), "rank_out": place("mi_out")})
+
+
+def sensitivity(df: DataFrame, row_id: str, features: list[str], target: str, neighbors: tuple[int, ...] = (3, 5, 7, 10), by: list[str] | None = None, **options) -> DataFrame:
+    """(by, feature, mean, spread, variation, low, high, robust): how a score depends on the number of neighbours; robust below a variation of 0.2."""
+    by = by or []
+    found = None
+    for k in neighbors:
+        own = mutual_information(df, row_id, features, target, k, by=by, **options).withColumn("k", F.lit(k))
+        found = own if found is None else found.unionByName(own)
+    m = found.groupBy(*by, "feature").agg(F.avg("mi").alias("mean"), F.stddev_samp("mi").alias("spread"), F.min("mi").alias("low"), F.max("mi").alias("high"))
+    return m.withColumn("variation", F.try_divide("spread", "mean")).withColumn("robust", F.col("variation") < 0.2)
+
+
 def rank_stability(scores: DataFrame, window: str, feature: str, score: str, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """(by, window, spearman, regime_change): the rank correlation of the scores with those of the window before, in each group by; 1 where it is not defined."""
     by = by or []

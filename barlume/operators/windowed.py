@@ -11,9 +11,12 @@ from barlume.operators.derived import midrange, true_range
 from barlume.plans.spec import BARS, BarSpec, ratio, require
 
 
-def finish(df: DataFrame, spec: BarSpec, values: dict[str, Column]) -> DataFrame:
-    """(symbol, ts, values) without rows in which a value is missing: the warm-up goes."""
-    return df.select(spec.symbol, spec.ts, *[v.alias(k) for k, v in values.items()]).dropna(subset=list(values))
+def finish(df: DataFrame, spec: BarSpec, values: dict[str, Column], full: bool = True) -> DataFrame:
+    """(symbol, ts, values), if full without rows in which a value is missing: the warm-up goes. See BarSpec for keep."""
+    if spec.keep:
+        return df.withColumns(values)
+    out = df.select(spec.symbol, spec.ts, *[v.alias(k) for k, v in values.items()])
+    return out.dropna(subset=list(values)) if full else out
 
 
 def sma(df: DataFrame, period: int = 20, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
@@ -77,15 +80,15 @@ def normalized_volume(df: DataFrame, window: int = 55, spec: BarSpec = BARS) ->
 
 def roll_extreme_midrange(df: DataFrame, lookback: int = 20, spec: BarSpec = BARS) -> DataFrame:
     """Half the sum of the highest high and the lowest low; kept with nulls until the frame is full."""
-    return df.select(spec.symbol, spec.ts, ((spec.roll(F.max, "high", lookback) + spec.roll(F.min, "low", lookback)) / 2).alias("value"))
+    return finish(df, spec, {"value": (spec.roll(F.max, "high", lookback) + spec.roll(F.min, "low", lookback)) / 2}, full=False)
 
 
 def roll_mean_midrange(df: DataFrame, lookback: int = 20, spec: BarSpec = BARS) -> DataFrame:
-    return df.select(spec.symbol, spec.ts, spec.roll(F.avg, midrange(), lookback).alias("value"))
+    return finish(df, spec, {"value": spec.roll(F.avg, midrange(), lookback)}, full=False)
 
 
 def trailing_range_vol(df: DataFrame, lookback: int = 20, spec: BarSpec = BARS) -> DataFrame:
-    return df.select(spec.symbol, spec.ts, spec.roll(F.avg, F.col("high") - F.col("low"), lookback).alias("value"))
+    return finish(df, spec, {"value": spec.roll(F.avg, F.col("high") - F.col("low"), lookback)}, full=False)
 
 
 def willr(df: DataFrame, period: int = 14, spec: BarSpec = BARS) -> DataFrame:
@@ -128,9 +131,8 @@ def ad(df: DataFrame, spec: BarSpec = BARS) -> DataFrame:
 
 def arg_extreme(x: str, n: int, spec: BarSpec, highest: bool) -> Column:
     """Bars since the extreme of the last n values, the latest of equal ones."""
-    place = F.row_number().over(spec.order)
-    frame = F.collect_list(F.struct((F.col(x) if highest else -F.col(x)).alias("v"), F.col("__rn").alias("i"))).over(spec.last(n))
-    return place - F.array_max(frame)["i"]
+    place = F.struct((F.col(x) if highest else -F.col(x)).alias("v"), F.col("__rn").alias("i"))
+    return F.row_number().over(spec.order) - F.max(F.when(F.col(x).isNotNull(), place)).over(spec.last(n))["i"]
 
 
 def aroon(df: DataFrame, period: int = 14, spec: BarSpec = BARS) -> DataFrame:
@@ -223,3 +225,67 @@ def candle(df: DataFrame, pattern: str, spec: BarSpec = BARS) -> DataFrame:
     else:
         raise ValueError(f"unknown pattern {pattern}")
     return finish(df, spec, {"value": value})
+
+
+def extreme(highest: bool) -> Callable[..., DataFrame]:
+    def f(df: DataFrame, period: int = 30, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+        return finish(df, spec, {"value": spec.roll(F.max if highest else F.min, column, period)})
+
+    return f
+
+
+def extreme_index(highest: bool) -> Callable[..., DataFrame]:
+    def f(df: DataFrame, period: int = 30, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+        """Bars since the extreme."""
+        df = df.withColumn("__rn", F.row_number().over(spec.order))
+        return finish(df, spec, {"value": F.when(F.count(column).over(spec.last(period)) == period, arg_extreme(column, period, spec, highest))})
+
+    return f
+
+
+def min_max(df: DataFrame, period: int = 30, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    return finish(df, spec, {"min": spec.roll(F.min, column, period), "max": spec.roll(F.max, column, period)})
+
+
+def midpoint(df: DataFrame, period: int = 14, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    return finish(df, spec, {"value": (spec.roll(F.max, column, period) + spec.roll(F.min, column, period)) / 2})
+
+
+def midprice(df: DataFrame, period: int = 14, spec: BarSpec = BARS) -> DataFrame:
+    return finish(df, spec, {"value": (spec.roll(F.max, "high", period) + spec.roll(F.min, "low", period)) / 2})
+
+
+def rolling_sum(df: DataFrame, period: int = 30, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    return finish(df, spec, {"value": spec.roll(F.sum, column, period)})
+
+
+def stddev(df: DataFrame, period: int = 5, deviations: float = 1.0, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    """Population deviations of the last values."""
+    return finish(df, spec, {"value": deviations * spec.roll(F.stddev_pop, column, period)})
+
+
+def variance(df: DataFrame, period: int = 5, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    return finish(df, spec, {"value": spec.roll(F.var_pop, column, period)})
+
+
+def rocp(df: DataFrame, period: int = 10, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    return finish(df, spec, {"value": ratio(F.col(column), spec.lag(column, period)) - 1})
+
+
+def rocr(df: DataFrame, period: int = 10, factor: float = 1.0, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    return finish(df, spec, {"value": factor * ratio(F.col(column), spec.lag(column, period))})
+
+
+def trima(df: DataFrame, period: int = 30, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    """The mean of means, over half the period each."""
+    df = df.withColumn("__s", spec.roll(F.avg, column, (period + 1) // 2))
+    return finish(df, spec, {"value": spec.roll(F.avg, "__s", period // 2 + 1)})
+
+
+def linear_regression(df: DataFrame, period: int = 14, column: str = "close", spec: BarSpec = BARS) -> DataFrame:
+    """The line through the last values: its value at the last bar and at the next, at the first, and its angle in degrees."""
+    df = df.withColumn("__rn", F.row_number().over(spec.order).cast("double"))
+    fit = lambda f: pair_frame(f, F.col(column), F.col("__rn"), period, spec)
+    df = df.withColumns({"__a": fit(F.regr_intercept), "__b": fit(F.regr_slope)})
+    at = lambda n: F.col("__a") + F.col("__b") * (F.col("__rn") + n)
+    return finish(df, spec, {"value": at(0), "forecast": at(1), "intercept": at(1 - period), "angle": F.degrees(F.atan("__b"))})

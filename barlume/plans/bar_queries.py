@@ -144,9 +144,9 @@ on_bars("forex_features", with_bars(
 
 
 @query("indicator_batch", with_bars(f"""SELECT symbol, ts, {r(roll('avg', 'close', 20), 'sma')}, {r(f'close / nullif({lag("close", 10)}, 0) * 100 - 100', 'roc')},
-    {r(roll('stddev_samp', 'close', 20), 'dev')} FROM prev"""))
+    {r(roll('stddev_pop', 'close', 20), 'dev')} FROM prev"""))
 def indicator_batch(spark, sf_dir):  # noqa: ANN001, ANN201
     """Several indicators in one projection over one sort, instead of a join for each."""
     from barlume.operators.batch import compute_indicators
 
-    return rounded(compute_indicators(market.bars(spark, sf_dir), {"sma": ("avg", 20), "dev": ("stddev_samp", 20), "roc": ("roc", 10)})).select("symbol", "ts", F.col("sma"), F.col("roc"), F.col("dev"))
+    return rounded(compute_indicators(market.bars(spark, sf_dir), {"sma": ("sma", {"period": 20}), "roc": ("roc", {"timeperiod": 10}), "dev": ("stddev", {"period": 20})}))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlume.operators import asof, labels, microstructure, recursive, resample
-from barlume.plans.bar_queries import MID, TR, P, on_bars
+from barlume.operators.batch import compute_indicators
+from barlume.plans.bar_queries import CANDLES, MID, TR, P, ago, on_bars, pair
 from barlume.plans.catalogue import query
-from barlume.plans.oracle import BOOK_SQL, TRADES_SQL, W, bars_sql, frame, lag, last, r, rounded, values, with_bars
+from barlume.plans.oracle import BOOK_SQL, TRADES_SQL, W, bars_sql, frame, lag, last, r, roll, rounded, values, with_bars
 from barlume.sources import market
 
 # ---- resampling and alignment
@@ -185,8 +186,51 @@ on_kernel("trix", recursion("close AS c", ewm("e1", "x", {"y": ("c", 2 / 16)}),
           f"k AS (SELECT symbol, rn, t, lag(t) OVER (PARTITION BY symbol ORDER BY rn) AS q FROM e3)", final=joined("k", {"value": "100 * (t - q) / nullif(q, 0)"}, 15)), recursive.trix(), ["value"])
 on_kernel("adosc", recursion(f"sum(coalesce((2 * close - low - high) / nullif(high - low, 0), 0) * volume) OVER {frame('UNBOUNDED PRECEDING')} AS c", ewm("e", "x", {"f": ("c", 2 / 4), "s": ("c", 2 / 11)}),
           final=joined("e", {"value": "f - s"}, 10)), recursive.adosc(), ["value"])
-on_kernel("sar", None, recursive.sar(), ["value"])
-on_kernel("stochrsi", None, recursive.stochrsi(), ["stoch_k", "stoch_d"])
+on_kernel("sar", f"""WITH RECURSIVE {bars_sql()}, x AS (SELECT *, row_number() OVER {W} AS rn, lag(high) OVER {W} AS h1, lag(low) OVER {W} AS l1,
+    coalesce(lag(high, 2) OVER {W}, lag(high) OVER {W}) AS h2, coalesce(lag(low, 2) OVER {W}, lag(low) OVER {W}) AS l2 FROM bars),
+  z AS (SELECT symbol, rn, true AS up, low AS stop, high AS top, 0.02::DOUBLE AS speed FROM x WHERE rn = 1
+  UNION ALL SELECT symbol, rn, up <> flip, CASE WHEN flip THEN top ELSE s END, CASE WHEN flip THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(high, top) ELSE least(low, top) END,
+    CASE WHEN flip THEN 0.02::DOUBLE WHEN CASE WHEN up THEN high > top ELSE low < top END THEN least(0.2::DOUBLE, speed + 0.02::DOUBLE) ELSE speed END
+  FROM (SELECT *, CASE WHEN up THEN low < s ELSE high > s END AS flip FROM (
+    SELECT x.symbol, x.rn, x.high, x.low, z.up, z.top, z.speed, CASE WHEN z.up THEN least(z.stop + z.speed * (z.top - z.stop), l1, l2) ELSE greatest(z.stop + z.speed * (z.top - z.stop), h1, h2) END AS s
+    FROM z JOIN x ON x.symbol = z.symbol AND x.rn = z.rn + 1)))
+""" + joined("(SELECT symbol, rn, stop FROM z)", {"value": "stop"}, 1), recursive.sar(), ["value"])
+GAINS = f"coalesce(greatest({DIFF}, 0), 0) AS g, coalesce(greatest(-({DIFF}), 0), 0) AS l"
+on_kernel("stochrsi", recursion(
+    GAINS, ewm("e", "x", {"ag": ("g", 1 / 14), "al": ("l", 1 / 14)}),
+    "q AS (SELECT symbol, ts, rn, CASE WHEN al = 0 THEN 100.0 ELSE 100 - 100 / (1 + ag / al) END AS v FROM x JOIN e USING (symbol, rn))",
+    f"k AS (SELECT symbol, ts, rn, 100 * (v - {roll('min', 'v', 14)}) / nullif({roll('max', 'v', 14)} - {roll('min', 'v', 14)}, 0) AS k FROM q)",
+    f"m AS (SELECT symbol, ts, rn, {roll('avg', 'k', 3)} AS stoch_k FROM k)",
+    final=values(f"(SELECT symbol, ts, rn, stoch_k, {roll('avg', 'stoch_k', 3)} AS stoch_d FROM m)", {"stoch_k": "stoch_k", "stoch_d": "stoch_d"}),
+), recursive.stochrsi(), ["stoch_k", "stoch_d"])
+
+MIX = {
+    "sma": ("sma", {"period": 20}), "ema": ("ema", {"timeperiod": 20}), "mid": ("midpoint", {}), "midprice": ("midprice", {}), "trima": ("trima", {"period": 9}), "line": ("linearreg", {}), "next": ("tsf", {}),
+    "start": ("linearreg_intercept", {}), "angle": ("linearreg_angle", {}), "var": ("var", {"period": 10}), "sum": ("sum", {"period": 7}), "mm": ("minmax", {"period": 12}), "ratio": ("rocr100", {"period": 3}),
+    "ago": ("minindex", {"period": 12}), "apo": ("apo", {"fast": 26, "slow": 12}), "cmo": ("cmo", {}), "dema": ("dema", {"period": 30}), "doji": ("cdldoji", {}), "typ": ("typprice", {}), "range": ("trailing_range_vol", {"lookback": 5}),
+}
+RNF = "CAST(rn AS DOUBLE)"
+SLOPE, AT0 = pair("regr_slope", "close", RNF, 14), pair("regr_intercept", "close", RNF, 14)
+
+
+def from_row(n: int, x: str, name: str) -> str:
+    return r(f"CASE WHEN rn > {n} THEN {x} END", name)
+
+
+@query("indicator_mix", recursion(
+    "close AS c, " + GAINS, ewm("e", "x", {"y": ("c", 2 / 21), "f": ("c", 2 / 13), "s": ("c", 2 / 27), "d": ("c", 2 / 31), "ag": ("g", 1 / 14), "al": ("l", 1 / 14)}), ewm("e2", "e", {"dd": ("d", 2 / 31)}),
+    f"t AS (SELECT x.*, e.* EXCLUDE (symbol, rn), e2.dd FROM x JOIN e USING (symbol, rn) JOIN e2 USING (symbol, rn)), u AS (SELECT *, {roll('avg', 'close', 5)} AS half, {SLOPE} AS b, {AT0} AS a FROM t)",
+    final=f"""SELECT symbol, ts, {r(roll('avg', 'close', 20), 'sma')}, {from_row(20, 'y', 'ema')}, {r(f"({roll('max', 'close', 14)} + {roll('min', 'close', 14)}) / 2", 'mid')}, {r(f"({roll('max', 'high', 14)} + {roll('min', 'low', 14)}) / 2", 'midprice')},
+      {r(roll('avg', 'half', 5), 'trima')}, {r('a + b * rn', 'line')}, {r('a + b * (rn + 1)', 'next')}, {r('a + b * (rn - 13)', 'start')}, {r('degrees(atan(b))', 'angle')}, {r(roll('var_pop', 'close', 10), 'var')}, {r(roll('sum', 'close', 7), 'sum')},
+      {r(roll('min', 'close', 12), 'mm_min')}, {r(roll('max', 'close', 12), 'mm_max')}, {r(f"100 * close / nullif({lag('close', 3)}, 0)", 'ratio')}, CAST({ago('close', 12, '-')} AS INTEGER) AS ago,
+      {from_row(26, 'f - s', 'apo')}, {from_row(14, 'coalesce(100 * (ag - al) / nullif(ag + al, 0), 0)', 'cmo')}, {from_row(59, '2 * d - dd', 'dema')},
+      {CANDLES['doji']} AS doji, {r('(high + low + close) / 3', 'typ')}, {r(roll('avg', '(high - low)', 5), 'range')} FROM u""",
+))
+def indicator_mix(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Twenty indicators by name, bounded and recursive ones together, one of them with fast and slow the wrong way round."""
+    return rounded(compute_indicators(market.bars(spark, sf_dir), MIX))
+
+
 on_bars("zigzag", f"""WITH RECURSIVE {bars_sql()}, x AS (SELECT symbol, ts, close AS p, row_number() OVER {W} AS rn FROM bars),
 z AS (SELECT symbol, rn, 0 AS way, p AS lp, ts AS lt, CAST(NULL AS VARCHAR) AS dir, CAST(NULL AS DOUBLE) AS ep, CAST(NULL AS TIMESTAMP) AS et FROM x WHERE rn = 1
   UNION ALL SELECT x.symbol, x.rn,

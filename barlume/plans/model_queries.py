@@ -85,12 +85,59 @@ def cohens_d(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(selection.cohens_d(items(spark, sf_dir), "l_returnflag", "l_quantity", "A", "N"))
 
 
-@query("mrmr_rank")
+MRMR = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def mrmr_sql() -> str:
+    """One table a step: the best of the features that no step before has taken."""
+    every = [*MRMR, "l_extendedprice"]
+    c = " UNION ALL ".join(f"SELECT '{a}' AS f, '{b}' AS g, abs(corr({a}, {b})) AS c FROM lineitem" for a in MRMR for b in every if a != b)
+    steps = []
+    for i in range(len(MRMR)):
+        past = " UNION ALL ".join(f"SELECT f FROM s{j}" for j in range(i))
+        less = f" - (SELECT avg(c) FROM c x WHERE x.f = c.f AND x.g IN ({past}))" if i else ""
+        steps.append(f"s{i} AS MATERIALIZED (SELECT f, c{less} AS score FROM c WHERE g = 'l_extendedprice'{f' AND f NOT IN ({past})' if i else ''} ORDER BY score DESC, f LIMIT 1)")
+    return f"WITH c AS MATERIALIZED ({c}), " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {i + 1} AS rank, f AS feature, {r('score', 'score')} FROM s{i}" for i in range(len(MRMR)))
+
+
+@query("mrmr_rank", mrmr_sql())
 def mrmr_rank(spark, sf_dir):  # noqa: ANN001, ANN201
-    chosen = selection.mrmr(items(spark, sf_dir), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], 4)
+    chosen = selection.mrmr(items(spark, sf_dir), "l_extendedprice", MRMR, 4)
     return rounded(spark.createDataFrame([(i + 1, f, s) for i, (f, s) in enumerate(chosen)], "rank int, feature string, score double"))
 
 
+@query("cohens_d_batch", "WITH m AS (" + " UNION ALL ".join(f"""SELECT '{f}' AS feature, count(*) FILTER (WHERE l_returnflag = 'A') AS n1, count(*) FILTER (WHERE l_returnflag = 'N') AS n2, avg({f}) FILTER (WHERE l_returnflag = 'A') AS m1, avg({f}) FILTER (WHERE l_returnflag = 'N') AS m2,
+  var_samp({f}) FILTER (WHERE l_returnflag = 'A') AS v1, var_samp({f}) FILTER (WHERE l_returnflag = 'N') AS v2 FROM lineitem""" for f in MRMR) + f"""), p AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d FROM m),
+  e AS (SELECT *, 1.959963984540054::DOUBLE * sqrt((n1 + n2) / (n1 * n2)::DOUBLE + d * d / (2 * (n1 + n2))) AS h FROM p) SELECT feature, {r('d', 'cohens_d')}, {r('d - h', 'low')}, {r('d + h', 'high')} FROM e""")
+def cohens_d_batch(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rounded(selection.cohens_d_batch(items(spark, sf_dir), "l_returnflag", MRMR, "A", "N").select("feature", "cohens_d", "low", "high"))
+
+
+@query("information_matrix")
+def information_matrix(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.information_matrix(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, by=["symbol"])
+
+
+@query("mi_paired_difference")
+def mi_paired_difference(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.paired_difference(numbered_bars(spark, sf_dir), "n", [("open", "volume"), ("range", "true_range")], "target", replicates=1000, by=["symbol"])
+
+
+@query("out_of_sample")
+def out_of_sample(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.validate_out_of_sample(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", by=["symbol"])
+
+
+@query("mi_sensitivity")
+def mi_sensitivity(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.sensitivity(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", by=["symbol"])
+
+
+@query("mi_significance")
+def mi_significance(spark, sf_dir):  # noqa: ANN001, ANN201
+    return selection.significance_report(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", replicates=1000, by=["symbol"])
+
+
 def numbered_bars(spark, sf_dir):  # noqa: ANN001, ANN201
     """All bars with features and a target, numbered from 0 within their symbol."""
     b = derived.derived_fields(market.bars(spark, sf_dir)).selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n")

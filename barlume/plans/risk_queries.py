@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlume.operators import forecast, volatility
 from barlume.plans.bar_queries import P, on_bars
 from barlume.plans.catalogue import query
-from barlume.plans.oracle import RETURNS_SQL, W, bars_sql, frame, last, r, roll, rounded, with_bars
+from barlume.plans.oracle import RETURNS_SQL, W, bars_sql, frame, lag, last, r, roll, rounded, with_bars
 from barlume.sources import market
 
 LN2 = 0.6931471805599453
@@ -144,7 +144,13 @@ on_bars("multiscale", SESSION + f""", u AS (SELECT symbol, session AS ts, gap +
 on_bars("semivariance", with_bars(f"SELECT symbol, ts, ln(close / {P}) AS q FROM prev", f"""SELECT symbol, ts, {r(f'sum(least(q, 0) * least(q, 0)) OVER {last(24)}', 'downside_rv')}, {r(f'sum(greatest(q, 0) * greatest(q, 0)) OVER {last(24)}', 'upside_rv')},
   {r(f'sum(q * q) OVER {last(24)}', 'bar_rv')}, {r(f'count(q) OVER {last(24)} / 24', 'coverage')} FROM prev WHERE q IS NOT NULL"""),
     lambda b: forecast.semivariance(b.withColumn("q", F.ln(F.col("close") / F.expr("lag(close) OVER (PARTITION BY symbol ORDER BY ts)"))).filter("q IS NOT NULL"), "q", 24))
-on_bars("asymmetry_regression", None, lambda b: forecast.asymmetry_regression(b.withColumn("q", F.ln(F.col("close") / F.expr("lag(close) OVER (PARTITION BY symbol ORDER BY ts)"))).filter("q IS NOT NULL"), "q"))
+# with its sign and their product as terms, the regression is one line for falls and one for the rest
+LINES = {"a": "p >= 0", "c": "p < 0"}
+on_bars("asymmetry_regression", with_bars(
+    f"SELECT symbol, ts, ln(close / nullif({lag('close')}, 0)) AS q FROM prev", f"SELECT symbol, q * q AS y, {lag('q')} AS p FROM prev WHERE q IS NOT NULL",
+    "SELECT symbol, " + ", ".join(f"regr_intercept(y, p) FILTER (WHERE {w}) AS {k}0, regr_slope(y, p) FILTER (WHERE {w}) AS {k}1" for k, w in LINES.items()) + ", count(*) AS observations FROM prev WHERE p IS NOT NULL GROUP BY 1",
+    f"SELECT symbol, {r('a0', 'b0')}, {r('a1', 'b1')}, {r('c0 - a0', 'b2')}, {r('c1 - a1', 'b3')}, observations FROM prev",
+), lambda b: forecast.asymmetry_regression(b.withColumn("q", F.ln(F.col("close") / F.expr("lag(close) OVER (PARTITION BY symbol ORDER BY ts)"))).filter("q IS NOT NULL"), "q"))
 on_bars("gap_jump_labels", SESSION + """SELECT symbol, session, array_to_string(list_filter([CASE WHEN gap / greatest(gap + rv, 1e-12) >= 0.6 THEN 'GAP_DOMINATED_VOL' END,
   CASE WHEN rv / greatest(gap + rv, 1e-12) >= 0.4 THEN 'INTRADAY_RANGE_DOMINATED_VOL' END, CASE WHEN 0.05 * rv / greatest(gap + rv, 1e-12) >= 0.045 THEN 'JUMP_DAY' END], lambda f: f IS NOT NULL), ',') AS labels FROM t""",
     lambda b: forecast.gap_jump_labels(forecast.target_rv_total(b).selectExpr("symbol", "session", "overnight_gap_var", "intraday_bar_rv AS intraday_range_var", "0.05D * intraday_bar_rv AS jump_var", "target_rv_total AS total_var"), threshold_jump=0.045)

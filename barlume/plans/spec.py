@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class BarSpec:
-    """Names of the symbol and time columns. Operators never look across symbols."""
+    """Names of the symbol and time columns. Operators never look across symbols.
+
+    With keep, an indicator adds its outputs to the table, with nulls in the warm-up, instead of giving a table of them.
+    """
 
     symbol: str = "symbol"
     ts: str = "ts"
+    keep: bool = False
 
     @property
     def order(self) -> WindowSpec:

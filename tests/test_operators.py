@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barlume.functions import variance
 from barlume.operators import asof, derived, forecast, grids, labels, microstructure, recursive, regime, registry, resample, selection, store, transforms, volatility, windowed
+from barlume.operators.batch import compute_indicators
 from barlume.plans.spec import skip
 
 T0 = datetime(2024, 1, 15, 10)
@@ -44,6 +45,37 @@ def test_missing_columns_and_unknown_names(frame):
     with pytest.raises(ValueError):
         windowed.candle(bars(frame, [1.0]), "moon")
     assert registry.get("RSI").parameters == {"period": 14} and "macd" in registry.names()
+    with pytest.raises(ValueError):
+        registry.get("sma").resolve({"colour": 1})
+    with pytest.raises(ValueError):
+        registry.get("sma").resolve({"period": 0})
+    with pytest.raises(ValueError):
+        registry.get("sma")(bars(frame, [1.0]), inputs={"close": "nothing"})
+
+
+def test_registry_describes_itself():
+    assert len(registry.names()) >= 50 and set(registry.names("volume")) >= {"obv", "ad", "adosc"}
+    assert "ema" in registry.names(inputs=("close",)) and "atr" not in registry.names(inputs=("close",))
+    assert registry.get("macd").resolve({"fastperiod": 30, "slowperiod": 10}) == {"fast": 10, "slow": 30, "signal": 9}
+    assert registry.get("atr").metadata() == {"name": "atr", "category": "volatility", "inputs": ["high", "low", "close"], "outputs": ["value"], "parameters": {"period": 14, "midrange": False}, "recursive": True}
+
+
+def test_all_indicators_at_once_equal_each_alone(frame):
+    """Rows in which a single indicator has all outputs agree with the batch; other bars are kept there."""
+    b = bars(frame, [100 + 5 * math.sin(i / 3) + (i * 7 % 11) / 5 for i in range(120)])
+    every = {n: (n, {}) for n in registry.names()}
+    rows = {r["ts"]: r.asDict() for r in compute_indicators(b, every).collect()}
+    assert len(rows) == 120 and all(any(r[c] is not None for r in rows.values()) for c in rows[T0])
+    for n in ("stochastic", "hma", "cci", "aroon", "linearreg_angle", "minmaxindex", "cdlhammer", "roll_extreme_midrange", "kama", "tema", "macd", "adx_midrange", "plus_di", "dx"):
+        i = registry.get(n)
+        alone = i(b).collect()
+        assert set(i.outputs) <= set(alone[0].asDict()) if alone else True
+        for r in alone:
+            for o in i.outputs:
+                v, w = r[o], rows[r["ts"]][n if o == "value" else f"{n}_{o}"]
+                assert (v is None and w is None) or v == pytest.approx(w), (n, o)
+    renamed = compute_indicators(b.withColumn("other", F.col("high")), {"x": ("sma", {"period": 5})}, inputs={"close": "other"}).filter("x IS NOT NULL").count()
+    assert renamed == 116
 
 
 def test_registry_runs_by_name(frame):
@@ -350,3 +382,58 @@ def test_stability_of_equal_scores(frame):
     rows = [(w, f, 0.0 if w == 1 else float(ord(f) * s)) for w, s in ((0, 1), (1, 1), (2, 1), (3, -1)) for f in "abc"]
     got = {r["w"]: (r["spearman"], r["regime_change"]) for r in selection.rank_stability(frame(rows, "w int, f string, s double"), "w", "f", "s").collect()}
     assert got == {1: (1.0, False), 2: (1.0, False), 3: (pytest.approx(-1.0), True)}
+
+
+def sample(frame, n=400):
+    """x drives y, noise does not; z copies x with holes."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(n)
+    y, noise = x + 0.3 * rng.standard_normal(n), rng.standard_normal(n)
+    z = [None if i % 7 == 0 else float(round(v, 1)) for i, v in enumerate(x)]
+    return frame([(i, float(a), float(b), float(c), d) for i, (a, b, c, d) in enumerate(zip(x, y, noise, z, strict=True))], "n bigint, x double, y double, noise double, z double")
+
+
+def test_correlations_by_pair_and_ranks_equal_pandas(frame):
+    df = sample(frame)
+    cols = ["x", "y", "noise", "z"]
+    pdf = df.toPandas()[cols].astype(float)
+    for listwise, want in ((False, pdf.corr()), (True, pdf.dropna().corr())):
+        got = selection.correlation_pairs(df, cols, listwise)
+        assert {(r["f1"], r["f2"]): pytest.approx(r["corr"]) for r in got.collect()} == {(a, b): want.loc[a, b] for i, a in enumerate(cols) for b in cols[i:]}
+    want = pdf.dropna().corr("spearman")
+    assert {(r["f1"], r["f2"]): pytest.approx(r["corr"]) for r in selection.spearman_pairs(df, cols).collect()} == {(a, b): want.loc[a, b] for i, a in enumerate(cols) for b in cols[i:]}
+    ranks = selection.distributed_ranks(selection.long_form(df, "n", ["z"]), parts=5).orderBy("value").collect()
+    want = pdf["z"].dropna()
+    assert {r["value"]: r["rank"] for r in ranks} == dict(zip(want, want.rank(), strict=True))
+    constant = frame([(1, 5.0, 1.0), (2, 5.0, 2.0)], "n int, a double, b double")
+    assert [r["corr"] for r in selection.correlation_pairs(constant, ["a", "b"]).orderBy("f1", "f2").collect()] == [None, None, 1.0]
+
+
+def test_information_of_a_driver_against_noise(frame):
+    df = sample(frame)
+    matrix = {(r["f1"], r["f2"]): r["mi"] for r in selection.information_matrix(df, "n", ["x", "y", "noise"]).collect()}
+    assert set(matrix) == {("x", "y"), ("x", "noise"), ("y", "noise")} and matrix["x", "y"] > 0.5 > 5 * matrix["x", "noise"]
+    r = selection.paired_difference(df, "n", [("x", "noise")], "y", replicates=60, block=20).first()
+    assert r["low"] > 0.3 and r["difference"] == pytest.approx(matrix["x", "y"] - matrix["y", "noise"], abs=0.15) and r["p_value"] == 0.0
+    assert selection.paired_difference(df.limit(2), "n", [("x", "noise")], "y", replicates=4).first()["difference"] is None
+    out = {r["feature"]: r for r in selection.validate_out_of_sample(df, "n", ["x", "noise"], "y").collect()}
+    assert out["x"]["rank_in"] == out["x"]["rank_out"] == 1 and abs(out["x"]["degradation"]) < 0.4
+    told = {r["feature"]: r for r in selection.sensitivity(df, "n", ["x"], "y").collect()}
+    assert told["x"]["robust"] and told["x"]["low"] <= told["x"]["mean"] <= told["x"]["high"]
+    report = {r["feature"]: r for r in selection.significance_report(df, "n", ["x", "noise"], "y", replicates=60).collect()}
+    assert report["x"]["significant"] and not report["noise"]["significant"]
+
+
+def test_effect_sizes_of_many_columns(frame):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(1, 1, 50), rng.normal(0, 1, 40)
+    df = frame([("A", float(x), 1.0) for x in a] + [("B", float(x), 1.0) for x in b] + [("C", 9.0, 1.0)], "g string, v double, flat double")
+    out = {r["feature"]: r for r in selection.cohens_d_batch(df, "g", ["v", "flat"], "A", "B").collect()}
+    d = (a.mean() - b.mean()) / np.sqrt((49 * a.var(ddof=1) + 39 * b.var(ddof=1)) / 88)
+    half = 1.959963984540054 * np.sqrt(90 / 2000 + d * d / 180)
+    assert (out["v"]["cohens_d"], out["v"]["low"], out["v"]["high"]) == pytest.approx((d, d - half, d + half)) and out["flat"]["cohens_d"] is None
+
+
+def test_periods_from_the_data_or_a_table(frame):
+    assert grids.periods_for_timeframe("1d")[-1] == 89 and grids.periods_for_timeframe("1w")[-1] == 377
+    assert grids.periods_for_timeframe("1d", bars(frame, range(1, 101))) == [2, 3, 5]
