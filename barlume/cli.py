@@ -11,6 +11,8 @@ from barlume.operators.derived import derived_fields
 from barlume.operators.store import FeatureCache, cache_key, data_fingerprint, usage
 from barlume.sources.market import read_bars
 
+FILTERS = ("symbol", "indicator", "timeframe", "older-than", "params-hash", "data-hash")
+
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="barlume")
@@ -23,8 +25,11 @@ def main(argv: list[str] | None = None) -> int:
         s = c if name == "compute" else sub.add_parser(name)
         s.add_argument("--root", required=True)
         if name in ("list", "clean"):
-            for f in ("symbol", "indicator", "timeframe", "older-than"):
+            for f in FILTERS:
                 s.add_argument(f"--{f}")
+        if name == "list":
+            s.add_argument("--limit", type=int)
+            s.add_argument("--offset", type=int, default=0)
         if name == "clean":
             s.add_argument("--all", action="store_true")
             s.add_argument("--dry-run", action="store_true")
@@ -40,9 +45,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "stats":
         usage(cache.entries()).orderBy("dimension", "name").show(1000, False)
         return 0
-    filters = {"symbol": a.symbol, "indicator": a.indicator, "timeframe": a.timeframe, "older_than": a.older_than}
+    filters = {f.replace("-", "_"): getattr(a, f.replace("-", "_")) for f in FILTERS}
     if a.command == "list":
-        cache.query(**filters).orderBy("key").show(1000, False)
+        cache.query(**filters, limit=a.limit, offset=a.offset).orderBy("key").show(1000, False)
         return 0
     try:
         n, size = cache.clean(a.dry_run, a.all, **filters)

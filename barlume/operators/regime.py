@@ -53,6 +53,22 @@ def svm_regimes(train: DataFrame, test: DataFrame, features: list[str] | str, la
     return model.transform(scaler.transform(vectors(test, features))).withColumn("prediction", F.col("prediction").cast("int")).drop("__v", "__s", "rawPrediction")
 
 
+def invalid_assignments(df: DataFrame, cluster: str, probabilities: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """The rows of df that assign no valid regime, with a column reason: the first of those below that fits.
+
+    cluster is the number of one of the probability columns, of which there are two at least (else ValueError); each
+    probability is a finite number from 0 to 1, and they add up to 1.
+    """
+    if len(probabilities) < 2:
+        raise ValueError("there must be two regimes at least")
+    p = F.array(*[F.col(c).cast("double") for c in probabilities])
+    k = F.col(cluster)
+    outside = F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1))
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    reason = F.when(k.isNull() | (k < 0) | (k >= len(probabilities)), "cluster").when(outside, "probability").when(F.abs(total - 1) > tolerance, "sum")
+    return df.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def long_vectors(df: DataFrame, row_id: str, vector: str, *keep: str) -> DataFrame:
     """(row, keep, dim, value) of an array column."""
     return df.select(F.col(row_id).alias("row"), *keep, F.posexplode(vector).alias("dim", "value")).withColumn("value", F.col("value").cast("double"))

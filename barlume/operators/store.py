@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from fnmatch import translate
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +52,12 @@ def usage(entries: DataFrame) -> DataFrame:
     return entries.select("size_bytes", rows).groupBy("dimension", "name").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("size_bytes"))
 
 
+def page(entries: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """limit entries (None: all) from the offset on, in the order of keys."""
+    out = entries.orderBy("key").offset(offset)
+    return out if limit is None else out.limit(limit)
+
+
 class FeatureCache:
     """Datasets below a root folder of any file system that Spark reads, one folder for each key."""
 
@@ -84,24 +89,30 @@ class FeatureCache:
         return self._fs.delete(self._path(self.path(key)), True)
 
     def entries(self) -> DataFrame:
-        """One row for each key of the indicators' form, from the listing of the folder; no data are read."""
-        found = self._fs.globStatus(self._path(f"{self.root}/*/indicators/*/*")) or []
-        rows = []
-        for s in found:
-            p = s.getPath()
-            key = "/".join(unquote(x) for x in p.toString().rsplit("/", 4)[1:])
-            rows.append((key, self._fs.getContentSummary(p).getLength(), s.getModificationTime() / 1000))
-        df = self.spark.createDataFrame(rows, "key string, size_bytes bigint, created double")
-        return parse_keys(df).withColumn("created_at", F.timestamp_seconds("created")).select(*[re.split(" ", c.strip())[0] for c in ENTRY.split(",")])
-
-    def query(self, symbol: str | None = None, indicator: str | None = None, timeframe: str | None = None, older_than: str | None = None) -> DataFrame:
-        """The entries that fit all that is given; older_than is a duration, and entries of unknown age are never older."""
+        """One row for each key of the indicators' form, with the size of its files and the time of the last one.
+
+        Spark lists the files; no data are read. A root that does not exist has no entries.
+        """
+        if not self._fs.exists(self._path(self.root)):
+            return self.spark.createDataFrame([], ENTRY)
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", "length", "modificationTime")
+        folder = F.regexp_extract("path", r"([^/]+/indicators/[^/]+/[^/]+)/[^/]+$", 1)
+        found = files.withColumn("folder", folder).filter("folder <> ''").groupBy("folder").agg(F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("created_at"))
+        return parse_keys(found.withColumn("key", F.url_decode("folder"))).select(*[c.split()[0] for c in ENTRY.split(",")])
+
+    def query(self, older_than: str | None = None, indicator: str | None = None, limit: int | None = None, offset: int = 0, **equal: str | None) -> DataFrame:
+        """The entries that fit all that is given: symbol, timeframe, params_hash and data_hash by equality, indicator by a glob.
+
+        older_than is a duration, and entries of unknown age are never older. limit and offset count in the order of keys.
+        """
         out = self.entries().filter(matches(indicator))
-        for name, value in (("symbol", symbol), ("timeframe", timeframe)):
+        for name, value in equal.items():
+            if name not in ("symbol", "timeframe", "params_hash", "data_hash"):
+                raise ValueError(f"entries have no {name}")
             out = out if value is None else out.filter(F.col(name) == value)
         if older_than is not None:
             out = out.filter(F.coalesce(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("created_at") > parse_duration(F.lit(older_than)), F.lit(False)))
-        return out
+        return out if limit is None and not offset else page(out, limit, offset)
 
     def clean(self, dry_run: bool = False, everything: bool = False, **filters: str | None) -> tuple[int, int]:
         """(entries, bytes) deleted, or that would be; ValueError without a filter unless everything is meant."""
@@ -142,8 +153,13 @@ def compute_feature(df: DataFrame, definition: FeatureDefinition, spec: BarSpec
     return skip(out, definition.lookback, spec) if definition.lookback else out
 
 
-def compute_feature_set(df: DataFrame, features: FeatureSet, spec: BarSpec = BARS) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Each feature, and all joined on their common rows less the longest lookback. Dependencies come as columns of their name; ValueError for missing or circular ones."""
+def compute_feature_set(
+    df: DataFrame, features: FeatureSet, spec: BarSpec = BARS, compute: Callable[[DataFrame, FeatureDefinition, BarSpec], DataFrame] = compute_feature
+) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """Each feature, and all joined on their common rows less the longest lookback; None for a set without features.
+
+    Dependencies come as columns of their name; ValueError for missing or circular ones. compute makes one feature.
+    """
     base, keys = derived_fields(df, spec), [spec.symbol, spec.ts]
     done: dict[str, DataFrame] = {}
     left = {f.name: f for f in features.features}
@@ -155,7 +171,7 @@ def compute_feature_set(df: DataFrame, features: FeatureSet, spec: BarSpec = BAR
             given = base
             for d in f.dependencies:
                 given = given.join(done[d], keys, "left")
-            done[f.name] = compute_feature(given, f, spec)
+            done[f.name] = compute(given, f, spec)
             del left[f.name]
     combined = None
     for d in done.values():
@@ -163,3 +179,42 @@ def compute_feature_set(df: DataFrame, features: FeatureSet, spec: BarSpec = BAR
     if combined is not None and features.max_lookback:
         combined = skip(combined, features.max_lookback, spec)
     return done, combined
+
+
+@dataclass(frozen=True)
+class FeatureStore:
+    """Features of a dataset of bars, each computed once for the same rows, name, input, lookback and dependencies.
+
+    A fingerprint of the rows is in every key, so changed bars never get old features; it costs one pass over them. What a
+    feature's function does is not: give another name, or force, when it changes.
+    """
+
+    cache: FeatureCache
+    dataset: str
+    timeframe: str
+
+    def key(self, f: FeatureDefinition, data: str, dependencies: list[str]) -> str:
+        return cache_key(self.dataset, self.timeframe, f.name, {"input": f.input_column, "lookback": f.lookback, "dependencies": dependencies}, data)
+
+    def kept(self, key: str, make: Callable[[], DataFrame], force: bool) -> DataFrame:
+        """What the key has, or what make gives, written first."""
+        found = None if force else self.cache.get(key)
+        return self.cache.set(key, make()) if found is None else found
+
+    def compute_feature(self, df: DataFrame, f: FeatureDefinition, force: bool = False, spec: BarSpec = BARS) -> DataFrame:
+        """As compute_feature, from the cache if it is there; force computes and writes it anew."""
+        key = self.key(f, data_fingerprint(df).first()["fingerprint"], list(f.dependencies))
+        return self.kept(key, lambda: compute_feature(df, f, spec), force)
+
+    def compute_feature_set(self, df: DataFrame, features: FeatureSet, force: bool = False, spec: BarSpec = BARS) -> tuple[dict[str, DataFrame], DataFrame | None]:
+        """As compute_feature_set, each feature and the joined set from the cache if they are there; a feature's key holds those of its dependencies."""
+        data, keys = data_fingerprint(df).first()["fingerprint"], {}
+
+        def one(given: DataFrame, f: FeatureDefinition, spec: BarSpec) -> DataFrame:
+            keys[f.name] = self.key(f, data, [keys[d] for d in f.dependencies])
+            return self.kept(keys[f.name], lambda: compute_feature(given, f, spec), force)
+
+        done, combined = compute_feature_set(df, features, spec, one)
+        if combined is None:
+            return done, None
+        return done, self.kept(cache_key(self.dataset, self.timeframe, features.name, {"features": [*keys.values()]}, data), lambda: combined, force)

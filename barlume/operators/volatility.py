@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from barlume.functions import variance
 from barlume.plans.spec import BARS, BarSpec, ratio, require
 
 ESTIMATORS = ["ctc", "parkinson", "garman_klass", "rogers_satchell", "gk_yang_zhang", "yang_zhang", "rv"]
+TARGETS = ["close_to_close_risk_variance", "continuous_intraday_variance", "quadratic_variation"]
+UNITS = ["per_bar_variance", "per_bar_vol", "annualized_variance", "annualized_vol"]
 
 
 class VolatilityError(ValueError):
@@ -42,10 +44,23 @@ class VarianceSpec:
     estimator: str = "yang_zhang"
     window: int = 21
     min_periods: int = 21
-    periods_per_year: int = 252
+    periods_per_year: int | None = 252
     quality: QualityPolicy = QualityPolicy()
+    target: str = "close_to_close_risk_variance"
+    unit: str = "annualized_variance"  # with a unit per bar the annualized columns are null
+    sampling: str | None = None  # of the returns within a bar, such as 5m; quadratic variation needs one
+
+    @property
+    def annualized(self) -> bool:
+        return self.unit.startswith("annualized")
 
     def check(self) -> None:
+        if self.target not in TARGETS or self.unit not in UNITS:
+            raise SpecError(f"target is one of {', '.join(TARGETS)}, unit one of {', '.join(UNITS)}")
+        if self.target == "quadratic_variation" and self.sampling is None:
+            raise SpecError("quadratic_variation needs a sampling")
+        if self.annualized and self.periods_per_year is None:
+            raise SpecError(f"{self.unit} needs periods_per_year")
         if self.estimator not in ESTIMATORS or self.estimator == "rv":
             raise SpecError(f"estimator {self.estimator} is not supported")
         if self.window <= 0 or self.min_periods <= 0 or self.min_periods > self.window:
@@ -107,11 +122,41 @@ def trailing_mean(x: Column, window: int, min_periods: int, spec: BarSpec = BARS
     return F.when(F.count(x).over(frame) >= min_periods, F.avg(x).over(frame))
 
 
-def estimate_variance(df: DataFrame, config: VarianceSpec = VarianceSpec(), asof: object = None, valid_from: str | None = None, gate: bool = True, spec: BarSpec = BARS) -> DataFrame:
+def log_prices(df: DataFrame, spec: BarSpec = BARS) -> DataFrame:
+    """Adds the logarithms __o, __h, __l, __c and __p, that of the close before; null for what is not positive."""
+    log = lambda c: F.when(F.col(c) > 0, F.ln(c))
+    return df.withColumns({"__o": log("open"), "__h": log("high"), "__l": log("low"), "__c": log("close")}).withColumn("__p", spec.lag("__c"))
+
+
+def estimates(config: VarianceSpec, spec: BarSpec = BARS) -> tuple[dict[str, Column], Column, Column]:
+    """The trailing mean of each estimator over log prices, and the continuous and the overnight part of yang_zhang."""
+    o, h, lo, c, p = (F.col(k) for k in ("__o", "__h", "__l", "__c", "__p"))
+    mean = lambda v: trailing_mean(v, config.window, config.min_periods, spec)
+    k = variance.yz_weight(config.window)
+    cont = k * mean((c - o) * (c - o)) + (1 - k) * mean(variance.rogers_satchell(o, h, lo, c))
+    gap = mean((o - p) * (o - p))
+    by_name = {
+        "ctc": mean(variance.ctc(c, p)), "parkinson": mean(variance.parkinson(h, lo)), "garman_klass": mean(variance.garman_klass(o, h, lo, c)),
+        "rogers_satchell": mean(variance.rogers_satchell(o, h, lo, c)), "gk_yang_zhang": mean(variance.gk_yang_zhang(o, h, lo, c, p)), "yang_zhang": cont + gap,
+    }
+    return by_name, cont, gap
+
+
+def after_fallback(name: str, by_name: dict[str, Column]) -> Column:
+    """The estimate of name where estimator_used allows it, else that of the estimator taken instead."""
+    used = F.col("estimator_used")
+    return F.when(used == "ctc", by_name["ctc"]).when(used == "parkinson", by_name["parkinson"]).otherwise(by_name[name])
+
+
+def estimate_variance(
+    df: DataFrame, config: VarianceSpec = VarianceSpec(), asof: object = None, valid_from: str | None = None, gate: bool = True, spec: BarSpec = BARS, returns: DataFrame | None = None
+) -> DataFrame:
     """(symbol, ts, var_per_bar, vol_per_bar, var_annualized, vol_annualized, cont, overnight_gap, flags, estimator_used).
 
     All symbols are estimated in one job, each by itself. With gate, DataQualityError is raised if a symbol has too many
     hard errors; that needs one pass over the bars. cont and overnight_gap are the parts of the Yang-Zhang estimate.
+    Annualized columns are null where the unit is one per bar. returns within the bars (symbol, ts, seq, r) add
+    volatility_signature, null for bars without them, and the flag NOISY_RV_TARGET.
     """
     config.check()
     require(df, spec.symbol, spec.ts, "open", "high", "low", "close")
@@ -120,27 +165,28 @@ def estimate_variance(df: DataFrame, config: VarianceSpec = VarianceSpec(), asof
     judged = bar_quality(df, config.window, config.quality, spec)
     if gate and failure_rate(judged, spec).filter(F.col("failure_rate") > config.quality.max_failure_rate).limit(1).count():
         raise DataQualityError(f"more than {config.quality.max_failure_rate:.0%} of a symbol's bars are unusable")
-    log = lambda c: F.when(F.col(c) > 0, F.ln(c))
-    x = fallback(judged, config.estimator, spec).withColumns({"__o": log("open"), "__h": log("high"), "__l": log("low"), "__c": log("close")})
-    x = x.withColumn("__p", spec.lag("__c"))
-    o, h, lo, c, p = (F.col(k) for k in ("__o", "__h", "__l", "__c", "__p"))
-    mean = lambda v: trailing_mean(v, config.window, config.min_periods, spec)
-    used = F.col("estimator_used")
-    k = variance.yz_weight(config.window)
-    cont = k * mean((c - o) * (c - o)) + (1 - k) * mean(variance.rogers_satchell(o, h, lo, c))
-    gap = mean((o - p) * (o - p))
-    single = {
-        "ctc": variance.ctc(c, p), "parkinson": variance.parkinson(h, lo), "garman_klass": variance.garman_klass(o, h, lo, c),
-        "rogers_satchell": variance.rogers_satchell(o, h, lo, c), "gk_yang_zhang": variance.gk_yang_zhang(o, h, lo, c, p),
-    }
-    yz = used == "yang_zhang"
-    value = F.when(yz, cont + gap)
-    for name in {config.estimator, "ctc", "parkinson"} - {"yang_zhang"}:
-        value = value.when(used == name, mean(single[name]))
-    x = x.select(spec.symbol, spec.ts, value.alias("var_per_bar"), F.when(yz, cont).alias("cont"), F.when(yz, gap).alias("overnight_gap"), "flags", "estimator_used")
-    year = F.col("var_per_bar") * config.periods_per_year
+    x = log_prices(fallback(judged, config.estimator, spec), spec)
+    by_name, cont, gap = estimates(config, spec)
+    yz = F.col("estimator_used") == "yang_zhang"
+    value = after_fallback(config.estimator, by_name).alias("var_per_bar")
+    x = x.select(spec.symbol, spec.ts, value, F.when(yz, cont).alias("cont"), F.when(yz, gap).alias("overnight_gap"), "flags", "estimator_used")
+    year = F.col("var_per_bar") * (config.periods_per_year if config.annualized else F.lit(None).cast("double"))
     root = lambda v: F.when(v >= 0, F.sqrt(v))
-    return x.withColumns({"vol_per_bar": root(F.col("var_per_bar")), "var_annualized": year, "vol_annualized": root(year)})
+    x = x.withColumns({"vol_per_bar": root(F.col("var_per_bar")), "var_annualized": year, "vol_annualized": root(year)})
+    if returns is None:
+        return x
+    inside = volatility_signature(returns, [spec.symbol, spec.ts], config.quality.noise_ratio)
+    x = x.join(inside.select(spec.symbol, spec.ts, F.col("signature").alias("volatility_signature"), "noisy"), [spec.symbol, spec.ts], "left")
+    return x.withColumn("flags", F.when(F.col("noisy"), F.array_append("flags", F.lit("NOISY_RV_TARGET"))).otherwise(F.col("flags"))).drop("noisy")
+
+
+def compare_estimates(df: DataFrame, names: list[str], config: VarianceSpec = VarianceSpec(), spec: BarSpec = BARS) -> DataFrame:
+    """(symbol, ts, a column for each of names): the estimates per bar of several estimators, after the fallback, in one projection."""
+    for name in names:
+        replace(config, estimator=name).check()
+    x = log_prices(fallback(bar_quality(df, config.window, config.quality, spec), "as asked", spec), spec)
+    by_name = estimates(config, spec)[0]
+    return x.select(spec.symbol, spec.ts, *[after_fallback(n, by_name).alias(n) for n in names])
 
 
 # ---- realised measures from returns within a bar

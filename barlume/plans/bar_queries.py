@@ -150,3 +150,15 @@ def indicator_batch(spark, sf_dir):  # noqa: ANN001, ANN201
     from barlume.operators.batch import compute_indicators
 
     return rounded(compute_indicators(market.bars(spark, sf_dir), {"sma": ("sma", {"period": 20}), "roc": ("roc", {"timeperiod": 10}), "dev": ("stddev", {"period": 20})}))
+
+
+SWEEP = {"sma": {"period": [5, 8]}, "mom": {"period": [3, 5]}, "stddev": {"period": [8]}}
+
+
+@query("indicator_sweep", with_bars(f"""SELECT symbol, ts, {r(roll('avg', 'close', 5), 'sma_period5')}, {r(roll('avg', 'close', 8), 'sma_period8')}, {r(f'close - {lag("close", 3)}', 'mom_period3')},
+    {r(f'close - {lag("close", 5)}', 'mom_period5')}, {r(roll('stddev_pop', 'close', 8), 'stddev_period8')} FROM prev"""))
+def indicator_sweep(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Every combination of several grids in one job."""
+    from barlume.operators import sweeps
+
+    return rounded(sweeps.compute(market.bars(spark, sf_dir), sweeps.specs(SWEEP, include_defaults=False)))

@@ -225,3 +225,14 @@ def svm_regimes(spark, sf_dir):  # noqa: ANN001, ANN201
     return regime.svm_regimes(e, e, "embedding", "label").select("vec_id", "label", "prediction")
 
 
+#: Probabilities with every defect, from the row's number alone.
+ASSIGNED = [
+    "vec_id", "CASE WHEN vec_id % 11 = 3 THEN NULL WHEN vec_id % 13 = 4 THEN 3 ELSE CAST(vec_id % 3 AS INTEGER) END AS cluster", "CASE WHEN vec_id % 7 = 2 THEN CAST(1.25 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS regime_0",
+    "CASE WHEN vec_id % 17 = 5 THEN NULL ELSE CAST(0.25 AS DOUBLE) END AS regime_1", "CASE WHEN vec_id % 5 = 1 THEN CAST(0.125 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END AS regime_2",
+]
+
+
+@query("regime_violations", f"""WITH a AS (SELECT {", ".join(ASSIGNED)} FROM embeddings), j AS (SELECT vec_id, CASE WHEN cluster IS NULL OR cluster NOT BETWEEN 0 AND 2 THEN 'cluster'
+  WHEN regime_0 > 1 OR regime_1 IS NULL THEN 'probability' WHEN abs(regime_0 + regime_1 + regime_2 - 1) > 1e-6 THEN 'sum' END AS reason FROM a) SELECT * FROM j WHERE reason IS NOT NULL""")
+def regime_violations(spark, sf_dir):  # noqa: ANN001, ANN201
+    return regime.invalid_assignments(embeddings(spark, sf_dir).selectExpr(*ASSIGNED), "cluster", ["regime_0", "regime_1", "regime_2"]).select("vec_id", "reason")

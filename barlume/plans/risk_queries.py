@@ -100,11 +100,7 @@ NAMES = ["ctc", "parkinson", "garman_klass", "rogers_satchell"]
 
 
 def all_estimates(bars):  # noqa: ANN001, ANN201
-    parts = [volatility.estimate_variance(bars, volatility.VarianceSpec(n), gate=False).select("symbol", "ts", F.col("var_per_bar").alias(n)) for n in NAMES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, ["symbol", "ts"])
-    return volatility.dispersion_flags(out, 0.5, NAMES).select("symbol", "ts", "dispersion", F.array_join("flags", ",").alias("flags"))
+    return volatility.dispersion_flags(volatility.compare_estimates(bars, NAMES), 0.5, NAMES).select("symbol", "ts", "dispersion", F.array_join("flags", ",").alias("flags"))
 
 
 on_bars("vol_dispersion_flags", with_bars(

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barlume.functions import variance
-from barlume.operators import asof, derived, forecast, grids, labels, microstructure, recursive, regime, registry, resample, selection, store, transforms, volatility, windowed
+from barlume.operators import asof, derived, forecast, grids, labels, microstructure, recursive, regime, registry, resample, selection, store, sweeps, transforms, volatility, windowed
 from barlume.operators.batch import compute_indicators
 from barlume.plans.spec import skip
 
@@ -197,6 +197,44 @@ def test_estimate_gates(frame):
     assert used.first()["estimator_used"] == "parkinson"
 
 
+def test_estimate_targets_and_units(frame):
+    b = bars(frame, [100 + i % 7 for i in range(40)])
+    spec = volatility.VarianceSpec
+    for bad in (spec(target="other"), spec(unit="other"), spec(target="quadratic_variation"), spec(periods_per_year=None)):
+        with pytest.raises(volatility.SpecError):
+            volatility.estimate_variance(b, bad)
+    year = volatility.estimate_variance(b).orderBy("ts").collect()[-1]
+    for unit in ("per_bar_variance", "per_bar_vol"):
+        last = volatility.estimate_variance(b, spec(unit=unit, periods_per_year=None, target="quadratic_variation", sampling="5m")).orderBy("ts").collect()[-1]
+        assert last["var_per_bar"] == year["var_per_bar"] > 0 and last["vol_per_bar"] == year["vol_per_bar"] and last["var_annualized"] is last["vol_annualized"] is None
+    assert year["var_annualized"] == pytest.approx(252 * year["var_per_bar"])
+
+
+def test_estimates_together_equal_each_alone(frame):
+    b = bars(frame, [100 + i % 7 for i in range(40)]).unionByName(bars(frame, [50 + i % 5 for i in range(30)], "B").withColumn("open", F.when(F.col("volume") != 1005, F.col("open"))))
+    names = [n for n in volatility.ESTIMATORS if n != "rv"]
+    together = volatility.compare_estimates(b, names)
+    for n in names:
+        alone = volatility.estimate_variance(b, volatility.VarianceSpec(n), gate=False)
+        assert column(together, n) == column(alone, "var_per_bar") and any(column(alone, "var_per_bar"))
+    with pytest.raises(volatility.SpecError):
+        volatility.compare_estimates(b, ["rv"])
+
+
+def test_returns_within_bars_give_the_signature(frame):
+    b = bars(frame, [100 + i % 7 for i in range(30)])
+    bounce = [("A", T0 + timedelta(hours=25), i, 0.01 * (-1) ** i) for i in range(60)]  # back and forth: noise, not movement
+    calm = [("A", T0 + timedelta(hours=26), i, 0.01) for i in range(60)]
+    returns = frame(bounce + calm, "symbol string, ts timestamp_ntz, seq int, r double")
+    out = volatility.estimate_variance(b, returns=returns)
+    rows = {r["ts"]: r for r in out.collect()}
+    assert out.count() == 30 and rows[T0]["volatility_signature"] is None
+    noisy, quiet = rows[T0 + timedelta(hours=25)], rows[T0 + timedelta(hours=26)]
+    fine, coarse = 60 * 0.01**2, 12 * 0.01**2  # five returns in turn add up to one of them
+    assert fine >= 2 * coarse and noisy["volatility_signature"] == pytest.approx(coarse) and "NOISY_RV_TARGET" in noisy["flags"]
+    assert quiet["volatility_signature"] == pytest.approx(fine) and "NOISY_RV_TARGET" not in quiet["flags"]
+
+
 @settings(max_examples=8, deadline=None)
 @given(k=st.floats(0.1, 1000), seed=st.integers(0, 1000))
 def test_variance_does_not_depend_on_the_price_scale(spark, k, seed):
@@ -300,6 +338,15 @@ def test_regimes(spark, frame):
 # ---- store and grids
 
 
+def test_invalid_assignments(frame):
+    rows = [(0, 0.5, 0.5), (1, 1.0, 0.0), (2, 0.5, 0.5), (-1, 0.5, 0.5), (None, 0.5, 0.5), (0, 0.5, None), (0, float("nan"), 0.5), (0, -0.1, 1.1), (0, 0.5, 0.4), (0, 0.5, 0.5 + 5e-7)]
+    df = frame(rows, "k int, regime_0 double, regime_1 double")
+    got = [r["reason"] for r in regime.invalid_assignments(df, "k", ["regime_0", "regime_1"]).collect()]
+    assert sorted(got) == ["cluster"] * 3 + ["probability"] * 3 + ["sum"]
+    with pytest.raises(ValueError):
+        regime.invalid_assignments(df, "k", ["regime_0"])
+
+
 def test_cache(spark, frame, tmp_path):
     cache = store.FeatureCache(spark, f"{tmp_path}/cache")
     b = bars(frame, range(1, 9))
@@ -324,6 +371,70 @@ def test_feature_sets_need_their_dependencies(frame):
     assert skip(bars(frame, range(5)), 2).count() == 3
 
 
+def test_cache_pages_and_filters(spark, frame, tmp_path):
+    cache = store.FeatureCache(spark, f"{tmp_path}/none yet")
+    assert cache.query().count() == 0 and cache.clean(everything=True) == (0, 0)
+    b = bars(frame, range(1, 4))
+    keys = sorted(store.cache_key("A+B %", "1h", "ema", {"period": p}, d) for p in (5, 8) for d in ("x", "y"))
+    for key in keys:
+        cache.set(key, b)
+    got = lambda **f: [r["key"] for r in cache.query(**f).orderBy("key").collect()]
+    assert got() == keys and got(limit=2, offset=1) == keys[1:3] and got(offset=3) == keys[3:] and got(limit=0) == []
+    assert got(data_hash="x") == [k for k in keys if k.endswith(":x")] and len(got(params_hash=grids.hash_params({"period": 8}), symbol="A+B %", data_hash="y")) == 1
+    with pytest.raises(ValueError):
+        cache.query(colour="red")
+
+
+def test_feature_store_computes_once(spark, frame, tmp_path):
+    kept, calls = store.FeatureStore(store.FeatureCache(spark, f"{tmp_path}/cache"), "demo", "1h"), []
+
+    def mean_of(df, c):
+        calls.append(c)
+        return windowed.sma(df, 2, c)
+
+    def gap(df, c):
+        calls.append("gap")
+        return df.select("symbol", "ts", (F.col(c) - F.col("mean")).alias("v"))
+
+    mean = store.FeatureDefinition("mean", mean_of, 1)
+    both = store.FeatureSet("both", [store.FeatureDefinition("gap", gap, 0, "close", ("mean",)), mean])
+    b, other = bars(frame, [1, 2, 4, 8, 16]), bars(frame, [1, 2, 4, 8, 17])
+    want = store.compute_feature_set(b, both)[1].collect()
+    calls.clear()
+    for _ in range(2):
+        parts, whole = kept.compute_feature_set(b, both)
+        assert sorted(whole.select("symbol", "ts", "gap", "mean").collect()) == sorted(tuple(r[c] for c in ("symbol", "ts", "gap", "mean")) for r in want) and set(parts) == {"gap", "mean"}
+        kept.compute_feature(b, mean)
+    assert calls == ["close", "gap"]  # the set wrote what compute_feature then found
+    kept.compute_feature_set(other, both)
+    assert calls == ["close", "gap"] * 2  # other rows, other keys
+    kept.compute_feature(b, mean, force=True)
+    assert calls == ["close", "gap"] * 2 + ["close"]
+    assert kept.compute_feature_set(b, store.FeatureSet("none")) == ({}, None)
+
+
+def test_sweeps(frame):
+    found = sweeps.specs({"sma": {"period": [5, 8]}, "macd": {"fast": [5, 34], "slow": [13], "signal": [5]}, "obv": {}, "unheard": {"x": [1]}})
+    assert [s.key for s in found[:2]] == ["sma_period5", "sma_period8"] and len(found) == len(set(found))
+    assert [s.key for s in found if s.name in ("obv", "unheard")] == ["obv", "unheard_x1"]
+    assert [dict(s.params) for s in found if s.name == "macd"] == [{"fast": 5, "slow": 13, "signal": 5}, registry.get("macd").parameters]
+    assert sweeps.IndicatorSpec.of("a", {"x": 1, "y": 2}) == sweeps.IndicatorSpec.of("a", {"y": 2, "x": 1})
+    assert {s.name for s in sweeps.specs(indicators=["rsi"])} == {"rsi"} and len(sweeps.specs(include_defaults=False)) < len(sweeps.specs())
+    made = sweeps.registry_grids(timeframe="1d")
+    assert "cdldoji" not in made and "avgprice" not in made and max(made["sma"]["period"]) <= 108 and len(made) > 50
+    assert list(sweeps.registry_grids(only=["sma", "rsi"], exclude=("rsi",))) == ["sma"] and {"sma", "rsi"} <= set(sweeps.single_price()) and "atr" not in sweeps.single_price()
+    b = bars(frame, [float(i % 9) + 1 for i in range(60)])
+    every = sweeps.compute(b, sweeps.specs({"rsi": {"period": [3, 5]}, "bbands": {"period": [8], "std_dev": [1.5]}}, include_defaults=False))
+    assert every.columns[2:4] == ["rsi_period3", "rsi_period5"] and all(c.startswith("bbands_period8_std_dev1_5_") for c in every.columns[4:]) and every.count() == 60
+    assert column(every, "rsi_period5")[5:] == column(registry.get("rsi")(b, period=5), "value")
+
+
+def test_generated_grids_run(frame):
+    b = bars(frame, [float(i % 9) + 1 for i in range(40)])
+    wanted = [s for s in sweeps.specs(sweeps.registry_grids("coarse", exclude_categories=()), include_defaults=False) if all(not isinstance(v, (int, float)) or v <= 8 for _, v in s.params)]
+    assert len(sweeps.compute(b, wanted[::7]).columns) > len(wanted[::7]) and len({s.name for s in wanted}) > 40
+
+
 def test_grids():
     assert grids.fibonacci_periods(1000) == [2, 3, 5, 8, 13, 21, 34]
     assert grids.format_params({"b": [1, 2], "a": {"z": 1}}) == 'a={"z":1},b=1;2' and grids.format_params({}) == "default"
