@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,3 +79,16 @@ def let(value: Column, body) -> Column:
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of a text column; one pass that reads that column alone."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"])
+
+
+def ranked(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """rows with a rank from 0 in the given order, which should leave no ties.
+
+    Spark deals ranges of the order over its tasks and sorts each; a row's rank is its place in its range plus the number
+    of rows in the ranges before, of which there is one count a task.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
+    placed = scratch.stage(placed, "placed")
+    ranges = placed.groupBy(F.shiftright("pos", 33).alias("range")).agg(F.count("*").alias("n"))
+    ranges = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.withColumn("range", F.shiftright("pos", 33)).join(F.broadcast(ranges), "range").withColumn("rank", F.col("before") + F.col("pos") % (1 << 33)).drop("range", "before", "pos")

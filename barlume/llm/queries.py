@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from barlume.llm.chat import rotate_perspectives
 from barlume.llm.decontamination import mark_contamination
+from barlume.llm.fingerprints import fingerprint_documents
+from barlume.llm.hard_negatives import mine
 from barlume.llm.jaccard_join import near_duplicates
 from barlume.llm.language_id import identify
 from barlume.llm.pii import replace_pii
+from barlume.llm.prefix_trie import prefix_trie
 from barlume.llm.sentence_pieces import decode, encode_documents
 from barlume.llm.token_counts import count_tokens
 from barlume.llm.token_files import round_trip
@@ -82,6 +85,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=noisy)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = (F.crc32(F.col("conv").cast("string")) % 6).cast("int")
+    return prefix_trie(table(spark, sf_dir, "conversations"), base=F.col("conv") - F.col("conv") % 100, shared=shared)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -93,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_perspectives": op9_chat_perspectives,
     "op10_decontamination": op10_decontamination,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {}
@@ -171,3 +191,42 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+SQL["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+
+SQL["op13_prefix_trie"] = """
+WITH own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w,
+         flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda k: [CAST(ascii(k) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS bits
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT c, w, c - c % 100 AS base, CAST(xor(list_reduce(list_prepend(4294967295, bits), lambda a, x:
+    CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS BIGINT) AS h FROM own),
+s AS (SELECT h.c, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) AS w FROM h LEFT JOIN own b ON h.base = b.c),
+m AS (SELECT c, w[1:d] AS k, d, len(w) = d AS ends FROM (SELECT c, w, unnest(generate_series(0, len(w))) AS d FROM s)),
+n AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(k[d].x) END AS own FROM m GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+up AS (SELECT k[1:a] AS k, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN up USING (k) LEFT JOIN n p ON f.d > 0 AND p.k = f.k[1:f.d - 1]
+"""
