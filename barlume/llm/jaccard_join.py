@@ -107,7 +107,7 @@ def bit_sketch(s: np.ndarray, band: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-SKETCHED = "doc_id bigint, t bigint, u bigint, n bigint, node bigint, check bigint, spare int, keys0 array<bigint>, keys1 array<bigint>, bits array<bigint>"
+SKETCHED = "doc_id {id}, t bigint, u bigint, n bigint, node bigint, check bigint, spare int, keys0 array<bigint>, keys1 array<bigint>, bits array<bigint>"
 
 
 def sketch(docs: DataFrame, words: int, percent: int, remember: int = 200_000) -> DataFrame:
@@ -116,11 +116,11 @@ def sketch(docs: DataFrame, words: int, percent: int, remember: int = 200_000) -
     node and check are 127 bits of a hash of the set; nodes are multiples of 2. A task gives keys and bits for a set once (as
     far back as it remembers), whatever the number of copies.
     """
-    names, kinds = [], []
-    for f in SKETCHED.split(", "):
+    names, kinds, schema = [], [], SKETCHED.format(id=dict(docs.dtypes)["doc_id"])
+    for f in schema.split(", "):
         name, kind = f.split(" ")
         names.append(name)
-        kinds.append({"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[kind])
+        kinds.append({"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[kind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(words), set()
@@ -151,7 +151,7 @@ def sketch(docs: DataFrame, words: int, percent: int, remember: int = 200_000) -
                     rows.append((key, t, u, n, *name, extra, own, up, bit_sketch(s, band)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, SKETCHED)
+    return docs.mapInArrow(run, schema)
 
 
 def one_node_a_set(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     percent / 100. Null texts and texts without words have an empty set and link with nothing: their component is their own
     id. Texts of any length are taken whole. Repeated rows of a document are returned each, rows of one id with different
     texts are judged by their own texts, a null id is none to name a component by (null if all ids there are); an empty
-    table gives an empty one; other columns are ignored.
+    table gives an empty one; other columns are ignored. Ids are whole numbers or strings.
     """
     with Scratch(docs.sparkSession) as scratch:
         return _near_duplicates(docs, scratch, id_col, text_col, words, percent, small)
@@ -296,7 +296,8 @@ def offered(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int, small: int) -> DataFrame:
     text = F.col(text_col)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"), text.alias("text"))
+    name = F.col(id_col) if dict(docs.dtypes)[id_col] == "string" else F.col(id_col).cast("bigint")
+    texts = docs.select(name.alias("doc_id"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"), text.alias("text"))
     rows = one_node_a_set(scratch.stage(sketch(texts, words, percent), "sketches"), scratch)
     bits = rows.filter("bits IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"])
     members = scratch.stage(offered(rows, scratch), "members")
