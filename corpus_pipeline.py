@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlume.llm import decontamination, jaccard_join, language_id, pii, sentence_pieces
@@ -36,9 +36,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).select("kept.*")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds __text, by which verdicts on a text come back, and __null and __id, doc_id without a null. Ids may be missing or repeated."""
-    return docs.withColumns({"__text": F.xxhash64("text"), "__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0))})
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def text_key() -> Column:
+    """128 bits of a hash of the text, by which verdicts on a text come back; one for all null texts."""
+    return F.concat(F.hex(F.xxhash64("text")), F.lit("."), F.hex(F.xxhash64(F.lit(1), F.col("text"))))
 
 
 def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -51,29 +62,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words (null, empty or blank texts) link with nothing, so all of them stay. Texts and not ids are
     compared and looked up, so repeated and null ids do no harm. An empty table stays empty, texts are compared whole,
-    further columns come through.
+    further columns come through, whatever their names.
     """
-    row = ["__null", "__id", "__text"]
-    texts = keyed(docs)
-    judged = jaccard_join.near_duplicates(texts.select("__text", "text"), id_col="__text").distinct()
-    found = texts.groupBy(row).agg(F.count("*").alias("copies")).join(judged.filter("n_shingles > 0"), "__text")
-    best = found.groupBy("component_id").agg(F.min(F.struct(row)).alias("best")).select("best.*", F.lit(True).alias("stays"))
-    found = found.select(*row, "copies").join(best, row, "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
-    touched = stage(found.filter("copies > 1 OR NOT stays").select(*row, "stays"), "touched")
-    once = texts.join(F.broadcast(repeated) if (repeated := touched.filter("stays").drop("stays")).count() <= FEW else repeated, row, "left_semi").dropDuplicates(row)
-    return without(texts, touched.drop("stays"), row).unionByName(once).select(docs.columns)
+    text, null, number, stays = fresh(docs, "text_key", "id_is_null", "id_or_zero", "stays")
+    row = [null, number, text]
+    texts = docs.withColumns({text: text_key(), null: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0))})
+    judged = jaccard_join.near_duplicates(texts.select(text, "text"), id_col=text).distinct()
+    found = texts.groupBy(row).agg(F.count("*").alias("copies")).join(judged.filter("n_shingles > 0"), text)
+    best = found.groupBy("component_id").agg(F.min(F.struct(row)).alias("best")).select("best.*", F.lit(True).alias(stays))
+    found = found.select(*row, "copies").join(best, row, "left").withColumn(stays, F.coalesce(stays, F.lit(False)))
+    touched = stage(found.filter((F.col("copies") > 1) | ~F.col(stays)).select(*row, stays), "touched")
+    once = texts.join(F.broadcast(repeated) if (repeated := touched.filter(stays).drop(stays)).count() <= FEW else repeated, row, "left_semi").dropDuplicates(row)
+    return without(texts, touched.drop(stays), row).unionByName(once).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, whatever their id: the verdict is one on the text.
 
     Texts without words, null ones among them, stay; repeated rows go or stay together; an empty table stays empty, texts
-    are looked through whole, further columns come through.
+    are looked through whole, further columns come through, whatever their names.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    texts = keyed(docs)
-    marked = decontamination.mark_contamination(texts.select("__text", "text"), benchmark, id_col="__text")
-    return without(texts, marked.filter("contaminated").select("__text").distinct(), ["__text"]).select(docs.columns)
+    [text] = fresh(docs, "text_key")
+    texts = docs.withColumn(text, text_key())
+    marked = decontamination.mark_contamination(texts.select(text, "text"), benchmark, id_col=text)
+    return without(texts, marked.filter("contaminated").select(text).distinct(), [text]).select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
