@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from barlume.plans import bar_queries, flow_queries, model_queries, risk_queries, store_queries  # noqa: F401  they register themselves
+    from barlume.plans import bar_queries, flow_queries, model_queries, regime_queries, risk_queries, store_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES), dict(SQL)
