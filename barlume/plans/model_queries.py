@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlume.operators import derived, regime, selection, transforms
+from barlume.operators import derived, regime, selection, transforms, validation
 from barlume.plans.bar_queries import P, on_bars
 from barlume.plans.catalogue import query
 from barlume.plans.oracle import bars_sql, lag, r, rounded, with_bars
@@ -120,28 +120,51 @@ def information_matrix(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("mi_paired_difference")
 def mi_paired_difference(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.paired_difference(numbered_bars(spark, sf_dir), "n", [("open", "volume"), ("range", "true_range")], "target", replicates=1000, by=["symbol"])
+    return validation.paired_targets(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "midrange", by=["symbol"])
 
 
 @query("out_of_sample")
 def out_of_sample(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.validate_out_of_sample(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", by=["symbol"])
+    return validation.split_validation(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", top=2, by=["symbol"])
 
 
 @query("mi_sensitivity")
 def mi_sensitivity(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.sensitivity(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", by=["symbol"])
+    return validation.k_sensitivity(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", by=["symbol"])
 
 
 @query("mi_significance")
 def mi_significance(spark, sf_dir):  # noqa: ANN001, ANN201
-    return selection.significance_report(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", replicates=1000, by=["symbol"])
+    return validation.two_target_report(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "midrange", by=["symbol"])
+
+
+@query("effect_sizes")
+def effect_sizes(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = items(spark, sf_dir)
+    return validation.effect_sizes(rows, F.xxhash64("l_orderkey", "l_linenumber"), "l_returnflag", MRMR, "A", "N")
+
+
+#: Yesterday's return as the forecast of today's, for closes and for midranges.
+SHARPE = "avg(sign({p}) * {y}) / nullif(stddev_pop(sign({p}) * {y}), 0)"
+
+
+@query("model_comparison", with_bars(
+    "SELECT symbol, ts, close / lag(close) OVER w - 1 AS c, (high + low) / lag(high + low) OVER w - 1 AS m FROM prev WINDOW w AS (PARTITION BY symbol ORDER BY ts)",
+    "SELECT symbol, c, m, lag(c) OVER w AS cp, lag(m) OVER w AS mp FROM prev WINDOW w AS (PARTITION BY symbol ORDER BY ts)",
+    f"""SELECT symbol, n, {r("c_mae", "first_mae")}, {r("m_mae", "second_mae")}, {r("c_rmse", "first_rmse")}, {r("c_dir", "first_directional")}, {r("m_sharpe - c_sharpe", "sharpe_improvement")}, {r("(c_mae - m_mae) / c_mae", "mae_improvement")} FROM (
+  SELECT symbol, count(*) AS n, avg(abs(cp - c)) AS c_mae, avg(abs(mp - m)) AS m_mae, sqrt(avg((cp - c) * (cp - c))) AS c_rmse, avg(CASE WHEN sign(cp) = sign(c) THEN 1.0 ELSE 0.0 END) AS c_dir,
+  {SHARPE.format(p="cp", y="c")} AS c_sharpe, {SHARPE.format(p="mp", y="m")} AS m_sharpe FROM prev WHERE c IS NOT NULL AND m IS NOT NULL AND cp IS NOT NULL AND mp IS NOT NULL GROUP BY 1)"""))
+def model_comparison(spark, sf_dir):  # noqa: ANN001, ANN201
+    w = "OVER (PARTITION BY symbol ORDER BY ts)"
+    b = market.bars(spark, sf_dir).selectExpr("symbol", "ts", f"try_divide(close, lag(close) {w}) - 1 AS c", f"try_divide(high + low, lag(high + low) {w}) - 1 AS m").selectExpr("*", f"lag(c) {w} AS cp", f"lag(m) {w} AS mp")
+    out = validation.model_comparison(b, ("c", "cp"), ("m", "mp"), ["symbol"])
+    return rounded(out.select("symbol", "n", "first_mae", "second_mae", "first_rmse", "first_directional", "sharpe_improvement", "mae_improvement"))
 
 
 def numbered_bars(spark, sf_dir):  # noqa: ANN001, ANN201
     """All bars with features and a target, numbered from 0 within their symbol."""
     b = derived.derived_fields(market.bars(spark, sf_dir)).selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n")
-    return b.selectExpr("symbol", "n", "open", "range", "true_range", "volume", "close AS target").filter("target IS NOT NULL")
+    return b.selectExpr("symbol", "n", "open", "range", "true_range", "volume", "close AS target", "midrange").filter("target IS NOT NULL")
 
 
 BAR_FEATURES = ["open", "range", "true_range", "volume"]
