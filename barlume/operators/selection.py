@@ -8,9 +8,12 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlume.plans.staging import in_order, matrix, staged, summed
+
 EPSILON = 1e-10
 
 
@@ -18,14 +21,23 @@ def pairs(features: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(features) for b in features[i:]]
 
 
-def correlation_pairs(df: DataFrame, features: list[str], listwise: bool = True) -> DataFrame:
+def correlation_pairs(df: DataFrame, features: list[str], listwise: bool = True, block: int = 1000) -> DataFrame:
     """(f1, f2, corr) of the upper triangle and diagonal. Null where a feature does not vary.
 
     Each task adds up the products of its rows, as matrices, around one value a feature, and gives a row for each pair; Spark
-    sums these. Without listwise every pair takes the rows that have both of it.
+    sums these. Without listwise every pair takes the rows that have both of it. Of more than block features, two blocks at a
+    time are taken, so a task's six matrices have at most (2 * block) ** 2 numbers each.
     """
     if listwise:
         df = df.dropna(subset=features)
+    if len(features) > block:
+        parts, out = [features[i : i + block] for i in range(0, len(features), block)], None
+        for i, a in enumerate(parts):
+            for b in parts[i:]:
+                own = correlation_pairs(df, a if a is b else a + b, False, 2 * block)
+                own = own if a is b else own.filter(F.col("f1").isin(a) & F.col("f2").isin(b))
+                out = own if out is None else out.unionByName(own)
+        return out
     wide = df.select(*[F.col(f).cast("double").alias(f"{i}") for i, f in enumerate(features)])
     near = wide.agg(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(c) for c in wide.columns]).first()
     around, (first, second) = np.array(list(near)), np.triu_indices(len(features))
@@ -75,17 +87,94 @@ def distributed_ranks(long: DataFrame, parts: int = 64) -> DataFrame:
     return ranked.select("feature", "value", (F.col("shift") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
+def value_ranks(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, rank): the average rank of each distinct value under its keys.
+
+    Values are counted first, then dealt by ranges and sorted; each task adds up its counts, and one total a task and one a
+    key go round.
+    """
+    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("n")).repartitionByRange(*keys, "value").sortWithinPartitions(*keys, "value")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            upto = total + np.cumsum(b.column("n").to_numpy())
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto), pa.array(np.full(b.num_rows, part, np.int32))], [*b.schema.names, "upto", "part"])
+
+    fields = ", ".join(f"{c} {t}" for c, t in counts.dtypes)
+    placed = staged(counts.mapInArrow(add, f"{fields}, upto bigint, part int"))
+    earlier = lambda c: F.coalesce(F.sum("m").over(Window.orderBy(*c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # noqa: E731  a row a task or key
+    parts = placed.groupBy("part").agg(F.sum("n").alias("m")).select("part", earlier(["part"]).alias("before"))
+    starts = placed.groupBy(*keys).agg(F.sum("n").alias("m")).select(*keys, earlier(keys).alias("start"))
+    placed = placed.join(F.broadcast(parts), "part").join(F.broadcast(starts), keys)
+    return placed.select(*keys, "value", (F.col("before") + F.col("upto") - F.col("start") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def presence(df: DataFrame, width: int) -> list[tuple[float, ...]]:
+    """For each place of the array column v a signature of the rows that have it: places with the same rows have the same one."""
+    weights = np.random.default_rng(1).integers(0, 2**64, width, dtype=np.uint64)
+
+    def signs(b: pa.RecordBatch) -> np.ndarray:
+        there = np.isfinite(matrix(b.column(0)))
+        with np.errstate(over="ignore"):
+            h = (there * weights).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        pieces = np.stack([np.ones(len(h)), *[((h >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(float) for i in range(4)]])
+        return (pieces @ there).T
+
+    return [tuple(x) for x in summed(df, signs, (width, 5))]
+
+
 def spearman_pairs(df: DataFrame, features: list[str], listwise: bool = True, min_periods: int = 2) -> DataFrame:
-    """(f1, f2, corr): Pearson of the average ranks among the rows without a missing feature, or among those that have a value, then by pair; null for features with fewer than min_periods values."""
-    df = df.dropna(subset=features) if listwise else df
-    df = df.withColumns({f: F.col(f).cast("double") for f in features})
-    rank = distributed_ranks(long_form(df.withColumn("__row", F.lit(0)), "__row", features))
-    out = df.select(features)
-    for f in features:
-        own = rank.filter(F.col("feature") == f).select(F.col("value").alias(f), F.col("rank").alias(f"__{f}"))
-        out = out.join(own, f, "left").drop(f).withColumnRenamed(f"__{f}", f)
-    enough = out.agg(*[F.count(f).alias(f) for f in features]).first()
-    return correlation_pairs(out.select(*[(F.col(f) if enough[f] >= min_periods else F.lit(None).cast("double")).alias(f) for f in features]), features, listwise=False)
+    """(f1, f2, corr): Pearson of average ranks, over the rows without a missing feature, or with listwise off over each pair's own common rows, ranked anew among them.
+
+    Features that are missing in the same rows are ranked together; where rows differ, two such groups at a time are ranked
+    among the rows that have both. However many features there are, values are dealt twice: by value to meet their ranks, and
+    by row. A task then adds up products of ranks, features squared. Null with fewer than min_periods (2 at least) common
+    rows, or where a feature does not vary there. Infinite values count as missing.
+    """
+    number = lambda f: F.when(F.abs(F.col(f).cast("double")) < float("inf"), F.col(f).cast("double"))  # noqa: E731  not for NaN either
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.array(*[number(f) for f in features]).alias("v"))
+    rows = staged(rows.filter(~F.exists("v", lambda x: x.isNull())) if listwise else rows)
+    classes: dict[tuple, list[int]] = {}
+    for i, sign in enumerate([(1.0,)] * len(features) if listwise else presence(rows.select("v"), len(features))):
+        classes.setdefault(sign, []).append(i)
+    groups = list(classes.values())
+    sets = [(a, b) for i, a in enumerate(groups) for b in groups[i:]]
+    parts = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(a[0]).alias("a"), F.lit(b[0]).alias("b"), F.array(*[F.lit(i) for i in sorted({*a, *b})]).alias("of")) for s, (a, b) in enumerate(sets)])
+    here = F.filter(parts, lambda p: F.get("v", p["a"]).isNotNull() & F.get("v", p["b"]).isNotNull())
+    long = rows.select("row", "v", F.explode(here).alias("p")).select("row", F.col("p.s").alias("s"), F.inline(F.transform("p.of", lambda i: F.struct(i.alias("i"), F.get("v", i).alias("value")))))
+    ranked = long.join(value_ranks(long, ["s", "i"]), ["s", "i", "value"])
+    count = {r["s"]: r["n"] for r in rows.select(F.explode(here).alias("p")).groupBy("p.s").agg(F.count("*").alias("n")).collect()}
+    together = ranked.groupBy("s", "row").agg(F.sort_array(F.collect_list(F.struct("i", "rank"))).alias("r")).select("s", F.transform("r", lambda x: x["rank"]).alias("r"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            which = b.column("s").to_numpy()
+            for s in np.unique(which).tolist():
+                x = matrix(b.column("r").filter(pa.array(which == s))) - (count[s] + 1) / 2
+                total[s] = total.get(s, 0) + x.T @ x
+        for s, t in total.items():
+            i, j = np.triu_indices(len(t))
+            of = np.array(sorted({*sets[s][0], *sets[s][1]}))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), s, np.int32)), pa.array(of[i].astype(np.int32)), pa.array(of[j].astype(np.int32)), pa.array(t[i, j])], ["s", "i", "j", "xy"])
+
+    m = together.mapInArrow(products, "s int, i int, j int, xy double").groupBy("s", "i", "j").agg(F.sum("xy").alias("xy"))
+    m = staged(m)  # features squared
+    own = m.filter("i = j").select("s", "i", F.col("xy").alias("xx"))
+    m = m.join(F.broadcast(own), ["s", "i"]).join(F.broadcast(own.select("s", F.col("i").alias("j"), F.col("xx").alias("yy"))), ["s", "j"])
+    name = F.array(*[F.lit(f) for f in features])
+    of_pair = {tuple(sorted((i, j))): s for s, (a, b) in enumerate(sets) for i in a for j in b}
+    if len(sets) > 1:  # a set also ranks pairs within its groups, which are another set's
+        m = m.join(F.broadcast(df.sparkSession.createDataFrame([(s, i, j) for (i, j), s in of_pair.items()], "s int, i int, j int")), ["s", "i", "j"])
+    enough = F.create_map(*[F.lit(x) for s in range(len(sets)) for x in (s, count.get(s, 0) >= max(2, min_periods))])[F.col("s")]
+    found = m.select(name[F.col("i")].alias("f1"), name[F.col("j")].alias("f2"), F.when(enough & (F.col("xx") > 0) & (F.col("yy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))))).alias("corr"))
+    lost = [p for p, s in of_pair.items() if not count.get(s)]
+    if lost:  # pairs without a common row
+        found = found.unionByName(df.sparkSession.createDataFrame([(features[i], features[j], None) for i, j in lost], "f1 string, f2 string, corr double"))
+    return found
 
 
 def highly_correlated_pairs(correlations: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -93,44 +182,123 @@ def highly_correlated_pairs(correlations: DataFrame, threshold: float = 0.8) ->
     return correlations.filter((F.col("f1") != F.col("f2")) & (F.abs("corr") >= threshold)).orderBy(F.desc(F.abs("corr")), "f1", "f2")
 
 
-def cluster_features(correlations: DataFrame, cut: float = 0.5) -> dict[str, int]:
-    """Cluster numbers by average linkage on 1 - |corr|, cut at a distance. The matrix of features is small beside the rows."""
-    rows = correlations.collect()
-    names = sorted({r["f1"] for r in rows})
-    at = {n: i for i, n in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
-    for r in rows:
-        d[at[r["f1"]], at[r["f2"]]] = d[at[r["f2"]], at[r["f1"]]] = 1 - abs(r["corr"] or 0.0)
-    groups = [[i] for i in range(len(names))]
-    while len(groups) > 1:
-        best = min((float(np.mean(d[np.ix_(a, b)])), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-        if best[0] > cut:
-            break
-        groups[best[1]] += groups.pop(best[2])
-    return {names[i]: k for k, g in enumerate(sorted(map(sorted, groups))) for i in g}
-
-
-def mrmr(df: DataFrame, target: str, features: list[str], k: int = 10, denominator: str = "mean", same_domain: bool = False) -> list[tuple[str, float]]:
-    """(feature, score) in order of selection: |corr| with the target less the mean, or the greatest, |corr| with those selected.
-
-    All correlations come from one aggregation; ties go to the first name. With same_domain only selected features of the
-    same name prefix count.
+def cluster_features(correlations: DataFrame, cut: float = 0.5, linkage: str = "average") -> dict[str, int]:
+    """Cluster numbers by average, single or complete linkage on 1 - |corr|, cut at a distance.
+
+    The matrix of features is held by the driver, 8 bytes a pair. Mergers follow a chain of nearest neighbours, so each looks
+    at one row of the matrix and not at all of it.
+    """
+    if linkage not in ("average", "single", "complete"):
+        raise ValueError(f"unknown linkage {linkage}")
+    rows = correlations.select("f1", "f2", F.coalesce(F.abs("corr"), F.lit(0.0)).alias("c")).toArrow()
+    first, second, c = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("f1", "f2", "c"))
+    names, at = np.unique(first, return_inverse=True)
+    d = np.ones((len(names), len(names)))
+    to = np.searchsorted(names, second)
+    d[at, to] = d[to, at] = 1 - c
+    np.fill_diagonal(d, np.inf)
+    size, parent, alive, chain = np.ones(len(names)), np.arange(len(names)), np.ones(len(names), bool), []
+    mergers: list[tuple[float, int, int]] = []
+    while alive.sum() > 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        x = chain[-1]
+        y = int(np.argmin(np.where(alive, d[x], np.inf)))
+        if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+            y = chain[-2]
+        if len(chain) > 1 and y == chain[-2]:
+            chain = chain[:-2]
+            mergers.append((float(d[x, y]), x, y))
+            if linkage == "average":
+                joined = (size[x] * d[x] + size[y] * d[y]) / (size[x] + size[y])
+            else:
+                joined = (np.minimum if linkage == "single" else np.maximum)(d[x], d[y])
+            d[y], d[:, y] = joined, joined
+            d[y, y], size[y], alive[x] = np.inf, size[x] + size[y], False
+        else:
+            chain.append(y)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for height, x, y in mergers:
+        if height <= cut:
+            parent[root(x)] = root(y)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(names)):
+        groups.setdefault(root(i), []).append(i)
+    return {str(names[i]): k for k, g in enumerate(sorted(groups.values())) for i in g}
+
+
+def correlations_with(rows: DataFrame, width: int, other: int, around: np.ndarray) -> np.ndarray:
+    """|corr| of every place of the array column v with one of them, over the rows that have both; 0 where one does not vary."""
+
+    def sums(b: pa.RecordBatch) -> np.ndarray:
+        x = matrix(b.column(0)) - around
+        there = np.isfinite(x) & np.isfinite(x[:, [other]])
+        x, y = np.where(there, x, 0.0), np.where(there, x[:, [other]], 0.0)
+        return np.stack([there.sum(axis=0), x.sum(axis=0), y.sum(axis=0), (x * x).sum(axis=0), (y * y).sum(axis=0), (x * y).sum(axis=0)])
+
+    n, x, y, xx, yy, xy = summed(rows, sums, (6, width))
+    n = np.maximum(n, 1)
+    vx, vy = xx - x * x / n, yy - y * y / n
+    spread = (n > 1) & (vx > 1e-12 * xx) & (vy > 1e-12 * yy)
+    return np.where(spread, np.abs(np.divide(xy - x * y / n, np.sqrt(np.abs(vx * vy)), out=np.zeros(width), where=spread)), 0.0)
+
+
+def domain(f: str) -> str:
+    return f.split("_")[0]
+
+
+def mrmr_scores(df: DataFrame, target: str, features: list[str], k: int = 10, denominator: str = "mean", same_domain: bool = False, max_features: int = 2000, information: dict[str, float] | None = None, row_id: str | None = None) -> list[tuple[str, float, float, float]]:
+    """(feature, relevance, redundancy, score) in order of selection, ties to the first name.
+
+    relevance is |corr| with the target, redundancy the mean or greatest |corr| with those selected (with same_domain of the
+    same name prefix only), the score their difference. Each step is one pass that correlates all features with the one
+    selected last, so nothing grows with the square of the features. Of more than max_features (0: no bound) those that tell
+    most of the target go on: by information, or by mutual_information() over row_id where that is not given.
     """
-    c = {(r["f1"], r["f2"]): abs(r["corr"] or 0.0) for r in correlation_pairs(df, [*features, target], listwise=False).collect()}  # features squared, not rows
-    value = lambda a, b: c.get((a, b), c.get((b, a), 0.0))
-    chosen: list[tuple[str, float]] = []
+    if max_features and len(features) > max_features:
+        if information is None:
+            if row_id is None:
+                raise ValueError("more features than max_features need information scores or a row_id to compute them")
+            information = {r["feature"]: r["mi"] or 0.0 for r in mutual_information(df, row_id, features, target).collect()}
+        features = sorted(sorted(features), key=lambda f: -(information.get(f) or 0.0))[:max_features]
     left = sorted(features)
-    while left and len(chosen) < k:
-        def score(f: str) -> float:
-            past = [value(f, s) for s, _ in chosen if not same_domain or s.split("_")[0] == f.split("_")[0]]
-            return value(f, target) - ((max(past) if denominator == "max" else sum(past) / len(past)) if past else 0.0)
-
-        best = max(left, key=lambda f: (score(f), [-ord(x) for x in f]))
-        chosen.append((best, score(best)))
-        left.remove(best)
+    names = [*left, target]
+    number = lambda f: F.coalesce(F.when(F.abs(F.col(f).cast("double")) < float("inf"), F.col(f).cast("double")), F.lit(float("nan")))
+    rows = df.select(F.array(*[number(f) for f in names]).alias("v"))
+    s = summed(rows, lambda b: np.stack([(t := np.isfinite(x := matrix(b.column(0)))).sum(axis=0), np.where(t, x, 0.0).sum(axis=0)]), (2, len(names)))
+    around = s[1] / np.maximum(s[0], 1)
+    relevance = correlations_with(rows, len(names), len(left), around)
+    total, most, met = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+    taken, chosen = np.zeros(len(names), bool), []
+    taken[-1] = True
+    for _ in range(min(k, len(left))):
+        redundancy = most if denominator == "max" else np.divide(total, met, out=np.zeros(len(names)), where=met > 0)
+        score = np.where(taken, -np.inf, relevance - redundancy)
+        best = int(np.argmax(score))
+        chosen.append((names[best], float(relevance[best]), float(redundancy[best]), float(score[best])))
+        taken[best] = True
+        if len(chosen) < min(k, len(left)):
+            c = correlations_with(rows, len(names), best, around)
+            counts = np.array([not same_domain or domain(f) == domain(names[best]) for f in names])
+            total, most, met = total + c * counts, np.maximum(most, c * counts), met + counts
     return chosen
 
 
+def mrmr(df: DataFrame, target: str, features: list[str], k: int = 10, denominator: str = "mean", same_domain: bool = False, **options) -> list[tuple[str, float]]:
+    """(feature, score) in order of selection, see mrmr_scores()."""
+    return [(f, score) for f, _, _, score in mrmr_scores(df, target, features, k, denominator, same_domain, **options)]
+
+
+def mrmr_classes(df: DataFrame, target: str, features: list[str], k: int = 10, **options) -> list[tuple[str, float]]:
+    """mrmr() for a target of classes, by their numbers."""
+    return mrmr(df.withColumn(target, F.col(target).cast("double")), target, features, k, **options)
+
+
 # ---- mutual information by nearest neighbours
 
 
@@ -285,17 +453,30 @@ def resampled_information(df: DataFrame, row_id: str, features: list[str], targe
     return out.withColumns({"low": low, "high": F.col("observed") + z * F.col("spread")})
 
 
-def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
-    """Adds q_value and significant; missing p-values have neither and do not count."""
+def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, by: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
+    """Adds q_value and significant; missing p-values have neither and do not count.
+
+    Rows are dealt by ranges of falling p-values (within by) and numbered; the least of what follows a row comes from its
+    block of rows and one number for each block before, so no task holds a family of any size.
+    """
     by = by or []
     known = F.col(p).isNotNull() & ~F.isnan(p)
-    x = df.withColumn("__k", known)
-    group = Window.partitionBy(*by, "__k")
-    order = group.orderBy(p)
-    x = x.withColumns({"__n": F.count("*").over(group), "__r": F.row_number().over(order)})
-    raw = F.when(F.col("__k"), F.col(p) * F.col("__n") / F.col("__r"))
-    q = F.when(F.col("__k"), F.least(F.min(raw).over(order.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0)))
-    return x.withColumn("q_value", q).withColumn("significant", F.when(F.col("__k"), F.col("q_value") < alpha)).drop("__k", "__n", "__r")
+    x = in_order(df.filter(known), *[F.col(c) for c in by], F.desc(p), name="__i")
+    family = x.groupBy(*by).agg(F.min("__i").alias("__first"), F.count("*").alias("__n")) if by else x.agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
+    same = lambda t: [F.col(c).eqNullSafe(F.col(f"{t}{c}")) for c in by]
+    named = lambda d, t: d.withColumnsRenamed({c: f"{t}{c}" for c in by})
+    x = x.join(F.broadcast(named(family, "__f_")), same("__f_") or F.lit(True)).drop(*[f"__f_{c}" for c in by])  # a row a family
+    place = F.col("__n") - (F.col("__i") - F.col("__first"))
+    x = x.withColumn("__raw", F.col(p) * F.col("__n") / place).withColumn("__b", F.floor(F.col("__i") / block))
+    least = x.groupBy(*by, "__b").agg(F.min("__raw").alias("__m"))
+    before = F.min("__m").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    least = named(least.select(*by, "__b", before.alias("__before")).withColumnRenamed("__b", "__c"), "__c_")
+    x = x.join(F.broadcast(least), [F.col("__b") == F.col("__c"), *same("__c_")]).drop("__c", *[f"__c_{c}" for c in by])
+    own = F.min("__raw").over(Window.partitionBy(*by, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("q_value", F.least(own, F.coalesce("__before", own), F.lit(1.0))).drop("__first", "__n", "__raw", "__b", "__i", "__before")
+    x = x.withColumn("significant", F.col("q_value") < alpha)
+    missing = df.filter(~known).withColumns({"q_value": F.lit(None).cast("double"), "significant": F.lit(None).cast("boolean")})
+    return x.unionByName(missing)
 
 
 def cohens_d(df: DataFrame, group: str, value: str, first: object, second: object) -> DataFrame:
