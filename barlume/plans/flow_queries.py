@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlume.operators import asof, labels, microstructure, recursive, resample
+from barlume.operators import asof, labels, microstructure, recursive, resample, scans
 from barlume.operators.batch import compute_indicators
 from barlume.plans.bar_queries import CANDLES, MID, TR, P, ago, on_bars, pair
-from barlume.plans.catalogue import query
+from barlume.plans.catalogue import SQL, query
 from barlume.plans.oracle import BOOK_SQL, TRADES_SQL, W, bars_sql, frame, lag, last, r, roll, rounded, values, with_bars
 from barlume.sources import market
 
@@ -165,6 +165,8 @@ on_kernel("rsi", recursion(f"coalesce(greatest({DIFF}, 0), 0) AS g, coalesce(gre
 on_kernel("macd", recursion("close AS c", ewm("e", "x", {"f": ("c", 2 / 13), "s": ("c", 2 / 27)}), "m AS (SELECT symbol, rn, f - s AS m FROM e)", ewm("g", "m", {"sg": ("m", 2 / 10)}), "k AS (SELECT symbol, rn, m, sg FROM m JOIN g USING (symbol, rn))",
           final=joined("k", {"macd": "m", "signal": "sg", "histogram": "m - sg"}, 26)), recursive.macd(), ["macd", "signal", "histogram"])
 on_kernel("atr", recursion(f"{TR} AS tr", ewm("e", "x", {"y": ("tr", 1 / 14)}), final=joined("e", {"value": "y"}, 14)), recursive.atr(), ["value"])
+for _name, _scan in (("ema", scans.ema), ("rsi", scans.rsi), ("macd", scans.macd), ("atr", scans.atr)):
+    on_bars(f"{_name}_scan", SQL[_name], _scan)
 on_kernel("atr_midrange", recursion(f"{TRM} AS tr", ewm("e", "x", {"y": ("tr", 1 / 14)}), final=joined("e", {"value": "y"}, 14)), recursive.atr(midrange=True), ["value"])
 on_kernel("natr", recursion(f"{TR} AS tr", ewm("e", "x", {"y": ("tr", 1 / 14)}), final=joined("e", {"value": "100 * y / nullif(close, 0)"}, 14)), recursive.natr(), ["value"])
 
