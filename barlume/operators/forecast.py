@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,3 +142,14 @@ def clock_violations(df: DataFrame) -> DataFrame:
     bad = [F.sum((~F.coalesce(F.expr(c), F.lit(False))).cast("bigint")).alias(k) for k, c in CLOCKS.items()]
     totals = df.agg(*[F.coalesce(b, F.lit(0)).alias(k) for b, k in zip(bad, CLOCKS, strict=True)])
     return totals.unpivot([], list(CLOCKS), "clock", "violations")
+
+
+def dictionary_signature(identifier: str, version: str, entries: dict[str, dict]) -> str:
+    """SHA-256 of a feature dictionary's canonical JSON, by which a pipeline notices that its definitions have changed."""
+    payload = {"feature_dictionary_id": identifier, "feature_dictionary_version": version, "entries": entries}
+    return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def dictionary_of(df: DataFrame, identifier: str, version: str) -> str:
+    """The signature of a table's own dictionary: the type of every column, whether it may be null, and its metadata."""
+    return dictionary_signature(identifier, version, {f.name: {"type": f.dataType.simpleString(), "nullable": f.nullable, **f.metadata} for f in df.schema.fields})

@@ -23,8 +23,13 @@ class TripleBarrier:
     volatility_window: int = 20
 
 
+ONE_SIDED = 0.02  # the other barrier where one is given
+
+
 def binary_next_bar(df: DataFrame, horizon: int = 1, spec: BarSpec = BARS) -> DataFrame:
-    """Adds label: 1.0 if the close horizon bars on is higher, else 0.0, at the end too."""
+    """Adds label: 1.0 if the close horizon bars on is higher, else 0.0, at the end too. ValueError for a horizon below 1."""
+    if horizon < 1:
+        raise ValueError("horizon must be at least 1")
     ahead = F.lead("close", horizon).over(spec.order)
     return df.withColumn("label", F.when(ahead > F.col("close"), 1.0).otherwise(0.0))
 
@@ -40,11 +45,15 @@ def first_touch(ahead: Column, up: Column, down: Column) -> Column:
 
 
 def triple_barrier(df: DataFrame, config: TripleBarrier = TripleBarrier(), spec: BarSpec = BARS) -> DataFrame:
-    """Adds label (-1, 0, 1). The deviation's window grows up to its size, its first return is 0, and where it is 0 or missing 0.01 stands."""
+    """Adds label (-1, 0, 1). Barriers are fixed shares where one is given, the other then being ONE_SIDED, else multiples of the deviation.
+
+    The deviation's window grows up to its size, its first return is 0, and where it is 0 or missing 0.01 stands.
+    """
     require(df, "close")
     df = df.withColumn("__ahead", F.collect_list("close").over(spec.next(config.max_holding)))
-    if config.take_profit is not None and config.stop_loss is not None:
-        up, down = F.col("close") * (1 + config.take_profit), F.col("close") * (1 - config.stop_loss)
+    if config.take_profit is not None or config.stop_loss is not None:
+        profit, loss = (ONE_SIDED if x is None else x for x in (config.take_profit, config.stop_loss))
+        up, down = F.col("close") * (1 + profit), F.col("close") * (1 - loss)
     else:
         change = F.coalesce(ratio(F.col("close") - spec.lag("close"), spec.lag("close")), F.lit(0.0))
         df = df.withColumn("__r", change)

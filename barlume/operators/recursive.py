@@ -217,6 +217,78 @@ def sar(step: float = 0.02, most: float = 0.2) -> Kernel:
     return f
 
 
+def sarext(start: float = 0.0, offset: float = 0.0, first_long: float = 0.02, step_long: float = 0.02, most_long: float = 0.2, first_short: float = 0.02, step_short: float = 0.02, most_short: float = 0.2) -> Kernel:
+    """Parabolic stop and reverse with a speed of its own for each side; negative while short.
+
+    A start above 0 is a first stop below the price, one below 0 a first stop above it; 0 lets the first two bars decide,
+    short if the lows fell by more than the highs rose. At a reversal the stop is moved off by the share offset.
+    """
+
+    def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
+        h, lo = b["high"].to_numpy(), b["low"].to_numpy()
+        out = np.full(len(b), np.nan)
+        if len(b) < 2:
+            return 1, {"value": out}
+        fell, rose = max(lo[0] - lo[1], 0.0), max(h[1] - h[0], 0.0)
+        rising = start > 0 or (start == 0 and not fell > rose)
+        stop = abs(start) if start else (lo[0] if rising else h[0])
+        extreme, speed = (h[0], first_long) if rising else (lo[0], first_short)
+        for i in range(1, len(b)):
+            if i > 1 or not start:
+                stop += speed * (extreme - stop)
+                near = (lo if rising else h)[max(0, i - 2) : i]
+                stop = min(stop, near.min()) if rising else max(stop, near.max())
+            if (lo[i] < stop) if rising else (h[i] > stop):
+                rising = not rising
+                stop = extreme * (1 - offset) if rising else extreme * (1 + offset)
+                extreme, speed = (h[i], first_long) if rising else (lo[i], first_short)
+            elif (h[i] > extreme) if rising else (lo[i] < extreme):
+                extreme = h[i] if rising else lo[i]
+                speed = min(most_long, speed + step_long) if rising else min(most_short, speed + step_short)
+            out[i] = stop if rising else -stop
+        return 1, {"value": out}
+
+    return f
+
+
+def weighted_mean(x: np.ndarray, n: int) -> np.ndarray:
+    w = np.arange(n, 0, -1) / (n * (n + 1) / 2)
+    return np.concatenate([np.full(min(n - 1, len(x)), np.nan), np.convolve(x, w)[n - 1 : len(x)]])
+
+
+#: Moving averages by name and by the number under which they are also known.
+AVERAGES: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
+    "sma": lambda x, n: pd.Series(x).rolling(n).mean().to_numpy(),
+    "ema": lambda x, n: mean(x, span(n)),
+    "wma": weighted_mean,
+    "dema": lambda x, n: 2 * (e := mean(x, span(n))) - mean(e, span(n)),
+    "tema": lambda x, n: 3 * (e := mean(x, span(n))) - 3 * (f := mean(e, span(n))) + mean(f, span(n)),
+    "trima": lambda x, n: pd.Series(x).rolling((n + 1) // 2).mean().rolling(n // 2 + 1).mean().to_numpy(),
+}
+
+
+def average(kind: str | int) -> Callable[[np.ndarray, int], np.ndarray]:
+    """ValueError for an unknown one."""
+    name = list(AVERAGES)[kind] if isinstance(kind, int) and 0 <= kind < len(AVERAGES) else kind
+    if name not in AVERAGES:
+        raise ValueError(f"unknown average {kind}")
+    return AVERAGES[name]
+
+
+def macdext(fast: int = 12, fast_average: str | int = "sma", slow: int = 26, slow_average: str | int = "sma", signal: int = 9, signal_average: str | int = "sma") -> Kernel:
+    """macd() with an average of its own for each of its lines."""
+    by = average(fast_average), average(slow_average), average(signal_average)
+
+    def f(b: pd.DataFrame) -> tuple[int, dict[str, np.ndarray]]:
+        c = b["close"].to_numpy()
+        m = by[0](c, fast) - by[1](c, slow)
+        begun = int(np.flatnonzero(~np.isnan(m))[0]) if (~np.isnan(m)).any() else len(m)
+        s = np.concatenate([m[:begun], by[2](m[begun:], signal)])
+        return slow, {"macd": m, "signal": s, "histogram": m - s}
+
+    return f
+
+
 def compute(df: DataFrame, kernels: dict[str, Kernel], outputs: dict[str, list[str]], spec: BarSpec = BARS, keep: list[str] | None = None) -> DataFrame:
     """(symbol, ts, keep, name or name_output columns): all kernels in one pass over each symbol; a kernel's warm-up is null.
 

@@ -40,7 +40,7 @@ class Indicator:
             k = k if k in self.parameters else ALIASES.get(k.lower(), k)
             if k not in self.parameters:
                 raise ValueError(f"{self.name} has no parameter {k}")
-            if ("period" in k or k in ("fast", "slow", "signal", "lookback")) and v < 1:
+            if ("period" in k and isinstance(v, int | float) or k in ("fast", "slow", "signal", "lookback")) and v < 1:
                 raise ValueError(f"{self.name}: {k} is below 1")
             known[k] = v
         out = {**self.parameters, **known}
@@ -140,7 +140,10 @@ for _n in ("ema", "kama"):
     register_kernel(_n, getattr(recursive, _n), category="overlap", inputs=("close",))
 register_kernel("dema", recursive.stacked(2), category="overlap", inputs=("close",))
 register_kernel("tema", recursive.stacked(3), category="overlap", inputs=("close",))
+register("mavp", windowed.mavp, category="overlap", inputs=("close", "periods"))
 register_kernel("sar", recursive.sar, category="overlap", inputs=HL)
+register_kernel("sarext", recursive.sarext, category="overlap", inputs=HL)
+register_kernel("macdext", recursive.macdext, ["macd", "signal", "histogram"], "momentum", ("close",))
 for _n in ("rsi", "ppo", "trix", "apo", "cmo"):
     register_kernel(_n, getattr(recursive, _n), category="momentum", inputs=("close",))
 register_kernel("macd", recursive.macd, ["macd", "signal", "histogram"], "momentum", ("close",))

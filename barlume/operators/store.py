@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from fnmatch import translate
@@ -18,9 +19,10 @@ ENTRY = "key string, symbol string, indicator string, params_hash string, timefr
 
 
 def data_fingerprint(df: DataFrame) -> DataFrame:
-    """(n_rows, fingerprint): the same for the same rows in any order, other for repeated or missing ones."""
+    """(n_rows, fingerprint): the same for the same rows in any order, other for repeated or missing ones, and for other names or types."""
     h = F.xxhash64(*sorted(df.columns))
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias("x"), F.coalesce(F.sum(F.pmod(h, F.lit(2**31))), F.lit(0)).alias("s")).select("n_rows", F.sha2(F.concat_ws(":", "n_rows", "x", "s"), 256).substr(1, 16).alias("fingerprint"))
+    schema = F.lit(",".join(f"{n} {t}" for n, t in sorted(df.dtypes)))
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias("x"), F.coalesce(F.sum(F.pmod(h, F.lit(2**31))), F.lit(0)).alias("s")).select("n_rows", F.sha2(F.concat_ws(":", "n_rows", "x", "s", schema), 256).substr(1, 16).alias("fingerprint"))
 
 
 def cache_key(symbol: str, timeframe: str, indicator: str, params: dict, data: str) -> str:
@@ -74,15 +76,20 @@ class FeatureCache:
         return self._fs.exists(self._path(f"{self.path(key)}/_SUCCESS"))
 
     def get(self, key: str) -> DataFrame | None:
-        """The dataset, or None if it is missing or empty."""
-        if not self.has(key):
-            return None
-        df = self.spark.read.parquet(self.path(key))
-        return None if df.isEmpty() else df
+        """The dataset, which may be empty, or None if it is missing."""
+        return self.spark.read.parquet(self.path(key)) if self.has(key) else None
 
     def set(self, key: str, df: DataFrame) -> DataFrame:
-        """Writes df in place of what the key had, and returns it as read back."""
-        df.write.mode("overwrite").parquet(self.path(key))
+        """Writes df in place of what the key had, and returns it as read back. It is written beside it first, so a write that fails leaves the old one."""
+        beside = f"{self.root}/_new-{uuid.uuid4().hex}"  # Spark's readers pass over such names
+        try:
+            df.write.parquet(beside)
+            self.delete(key)
+            self._fs.mkdirs(self._path(self.path(key)).getParent())
+            if not self._fs.rename(self._path(beside), self._path(self.path(key))):
+                raise OSError(f"{beside} could not be renamed")
+        finally:
+            self._fs.delete(self._path(beside), True)
         return self.spark.read.parquet(self.path(key))
 
     def delete(self, key: str) -> bool:

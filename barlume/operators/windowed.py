@@ -67,6 +67,29 @@ def hma(df: DataFrame, period: int = 55, column: str = "close", spec: BarSpec =
     return finish(df, spec, {"value": weighted("__h", int(period**0.5), spec)})
 
 
+def mavp(df: DataFrame, least: int = 2, most: int = 30, column: str = "close", periods: str = "periods", spec: BarSpec = BARS) -> DataFrame:
+    """The mean of as many last values as the column periods says, kept within least and most; from the most-th row of a symbol on.
+
+    Running sums, of differences from the symbol's first value, and those of the row before the frame, which a join by row
+    number finds: so most may be any number. Null where the period, or a value of the frame, is missing. Without a column
+    periods all are most.
+    """
+    require(df, column)
+    period = F.col(periods) if periods in df.columns else F.lit(most)
+    if not 1 <= least <= most:
+        raise ValueError("1 <= least <= most must hold")
+    first = F.first(column, ignorenulls=True).over(spec.so_far)
+    own = df.withColumns({"__rn": F.row_number().over(spec.order), "__base": first})
+    own = own.withColumns({"__s": F.sum(F.coalesce(F.col(column) - F.col("__base"), F.lit(0.0))).over(spec.so_far), "__k": F.count(column).over(spec.so_far)})
+    own = own.withColumn("__p", F.when(period.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), period.cast("int")))))
+    past = own.select(F.col(spec.symbol).alias("__symbol"), F.col("__rn").alias("__at"), F.col("__s").alias("__s0"), F.col("__k").alias("__k0"))
+    met = own.join(past, F.col(spec.symbol).eqNullSafe(F.col("__symbol")) & (F.col("__rn") - F.col("__p") == F.col("__at")), "left")
+    full = (F.col("__k") - F.coalesce("__k0", F.lit(0)) == F.col("__p")) & (F.col("__rn") >= most)
+    value = F.when(full, F.col("__base") + (F.col("__s") - F.coalesce("__s0", F.lit(0.0))) / F.col("__p"))
+    met = met.withColumn("value", value).drop("__rn", "__base", "__s", "__k", "__p", "__symbol", "__at", "__s0", "__k0")
+    return met if spec.keep else met.select(spec.symbol, spec.ts, "value").filter("value IS NOT NULL")
+
+
 def abnormal_turnover(df: DataFrame, window: int = 55, spec: BarSpec = BARS) -> DataFrame:
     require(df, "volume")
     m, s = spec.roll(F.avg, "volume", window), spec.roll(F.stddev_samp, "volume", window)

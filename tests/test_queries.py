@@ -48,11 +48,18 @@ def test_query_equals_sql(spark, duck, name):
             assert got[c].where(got[c].notna(), None).tolist() == want[c].where(want[c].notna(), None).tolist(), c
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"svm_regimes", "gmm_regimes", "rolling_mi"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"gmm_regimes", "rolling_mi"}))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SAMPLE).count() > 0
 
 
+def test_rolling_information_has_a_row_for_each_pair_of_windows(spark, duck):
+    folder = SAMPLE.replace("0.001", "0.01")  # the smallest sample has one window a symbol
+    bars = dict(duck.sql(f"SELECT event_type, count(DISTINCT date_trunc('hour', ts)) FROM read_parquet('{folder}/events.parquet') GROUP BY 1").fetchall())
+    got = QUERIES["rolling_mi"](spark, folder).groupBy("symbol").count().collect()
+    assert {r["symbol"]: r["count"] for r in got} == {s: (n - 120) // 60 for s, n in bars.items()}
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
     assert set(SQL) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
