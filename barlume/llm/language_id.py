@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barlume.llm.common import Scratch
 
@@ -232,7 +233,7 @@ def learn(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_col:
 class Scorer:
     """Log probabilities of words by language, with a bounded memory of words seen before."""
 
-    def __init__(self, model: LanguageModel, remember: int = 500_000):
+    def __init__(self, model: LanguageModel, remember: int = 200_000):
         self.model, self.lattice, self.remember = model, Lattice(model.pieces), remember
         self.forget()
 
@@ -276,20 +277,22 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
 
     Texts of any length are judged whole. Null texts and those without a letter are ``und`` with score 0, as is every text where nothing was learned. Ties go
     to the first language in order. Repeated rows are judged each, other columns are ignored; keep is passed through as
-    kept and is no input of the prediction.
+    kept and is no input of the prediction, but for its field text_col where it is a struct with one: the text is then sent once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for i in range(0, len(texts), 500):
-                lang, score = scorer.score(texts[i : i + 500])
+            column = b.column(2) if inside is None else b.column(1).field(inside)
+            for i in range(0, b.num_rows, 500):
+                lang, score = scorer.score(column.slice(i, 500).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), b.column(1).slice(i, 500), pa.array(lang, pa.string()), pa.array(score)], ["id", "kept", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), (F.lit(None).cast("boolean") if keep is None else keep).alias("kept"), F.col(text_col).alias("text"))
-    types = dict(rows.dtypes)
+    types, kind = dict(rows.dtypes), rows.schema["kept"].dataType
+    inside = kind.names.index(text_col) if isinstance(kind, StructType) and kind.names.count(text_col) == 1 else None
+    rows = rows if inside is None else rows.drop("text")
     out = rows.mapInArrow(judge, f"id {types['id']}, kept {types['kept']}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col) if keep is not None else out.drop("kept").withColumnRenamed("id", id_col)
 
