@@ -225,3 +225,43 @@ def test_trie_of_little(spark, frame):
     c = next(c for c in range(1, 99) if zlib.crc32(str(c).encode()) % 6)
     one = [(c, 0, "user", "x")]  # its base is absent, so what it would share is gone
     assert trie(frame, one, **rebuilt()) == brute_trie(one) and len(brute_trie(one)) == 1
+
+
+# ---- 7: shards by space
+
+
+def test_medians_send_every_row_to_a_leaf_of_its_own_kind():
+    from barlume.llm.topk import Medians
+
+    x = np.random.default_rng(0).normal(size=(4000, 3))
+    tree = Medians.of(x[:500], 7)
+    leaf = tree.leaf(x)
+    sizes = np.bincount(leaf)
+    assert len(sizes) == 7 and sizes.min() > 0.3 * len(x) / 7 and sizes.max() < 2.5 * len(x) / 7 and (tree.leaf(x[::-1]) == leaf[::-1]).all()
+    assert set(Medians.of(np.ones((50, 2)), 4).leaf(x[:, :2])) == {0} and set(Medians.of(x[:0], 4).leaf(x)) == {0}
+
+
+def test_clustered_vectors_prune_pairs_and_stay_exact(spark, frame, monkeypatch):
+    from barlume.llm import topk
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 4
+    x = centres[rng.integers(0, 12, 1500)] + 0.1 * rng.normal(size=(1500, 8))
+    x[100:400] = x[100]  # a fifth of all rows alike
+    df = frame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    met, real = [], topk.pair_bounds
+    monkeypatch.setattr(topk, "pair_bounds", lambda b, s: met.append(real(b, s)) or met[-1])
+    tried = []
+    from pyspark.sql import SparkSession
+
+    make = SparkSession.createDataFrame
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, schema=None, *a, **o: tried.append(len(data)) or make(self, data, schema, *a, **o) if schema == "block int, shard int" else make(self, data, schema, *a, **o))
+    got = sorted(tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 20 == 0, shard_rows=60, block_rows=3).collect())
+    e = np.floor(256 * x).astype(np.int64)
+    want = []
+    for q in range(0, 1500, 20):
+        s = e @ e[q]
+        best = sorted((-s[i], i) for i in range(1500) if i != q)[:5]
+        want += [(q, r + 1, i, -n) for r, (n, i) in enumerate(best)]
+    assert got == sorted(want)
+    assert len(met[0]) > 100 and sum(tried) < 0.5 * len(met[0]), (sum(tried), len(met[0]))  # more than half of the pairs never meet
