@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlume.operators import derived, regime, selection, transforms, validation
+from barlume.operators import derived, information, regime, selection, transforms, validation
 from barlume.plans.bar_queries import P, on_bars
 from barlume.plans.catalogue import query
 from barlume.plans.oracle import bars_sql, lag, r, rounded, with_bars
@@ -175,6 +175,12 @@ def mutual_information(spark, sf_dir):  # noqa: ANN001, ANN201
     return selection.mutual_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", by=["symbol"])
 
 
+@query("large_information")
+def large_information(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = items(spark, sf_dir).selectExpr("l_orderkey * 8 + l_linenumber AS row", "l_quantity", "l_discount", "l_extendedprice")
+    return information.large_information(rows, "row", ["l_quantity", "l_discount"], "l_extendedprice")
+
+
 @query("mi_bootstrap")
 def mi_bootstrap(spark, sf_dir):  # noqa: ANN001, ANN201
     return selection.resampled_information(numbered_bars(spark, sf_dir), "n", BAR_FEATURES, "target", "bootstrap", by=["symbol"])
