@@ -126,12 +126,30 @@ def presence(df: DataFrame, width: int) -> list[tuple[float, ...]]:
     return [tuple(x) for x in summed(df, signs, (width, 5))]
 
 
+def small_domains(ranks: DataFrame, most: int = 20_000, room: int = 2_000_000) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """(values, ranks), rising, of each (s, i) with up to most different values, up to room of them in all: what tasks look up by themselves."""
+    small = []
+    for r in ranks.groupBy("s", "i").count().orderBy("count", "s", "i").filter(F.col("count") <= most).collect():  # a row a set and feature
+        room -= r["count"]
+        if room < 0:
+            break
+        small.append((r["s"], r["i"]))
+    if not small:
+        return {}
+    t = ranks.join(F.broadcast(ranks.sparkSession.createDataFrame(small, "s int, i int")), ["s", "i"]).select("s", "i", "value", "rank").toArrow()
+    s, i, value, rank = (t[c].to_numpy() for c in ("s", "i", "value", "rank"))
+    order = np.lexsort((value, i, s))
+    s, i, value, rank = s[order], i[order], value[order], rank[order]
+    cuts = [0, *(np.flatnonzero((np.diff(s) != 0) | (np.diff(i) != 0)) + 1), len(s)]
+    return {(int(s[a]), int(i[a])): (value[a:b], rank[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+
+
 def spearman_pairs(df: DataFrame, features: list[str], listwise: bool = True, min_periods: int = 2) -> DataFrame:
     """(f1, f2, corr): Pearson of average ranks, over the rows without a missing feature, or with listwise off over each pair's own common rows, ranked anew among them.
 
     Features that are missing in the same rows are ranked together; where rows differ, two such groups at a time are ranked
     among the rows that have both. However many features there are, values are dealt twice: by value to meet their ranks, and
-    by row. A task then adds up products of ranks, features squared. Null with fewer than min_periods (2 at least) common
+    by row; those of features with few different values stay where they are. A task then adds up products of ranks, features squared. Null with fewer than min_periods (2 at least) common
     rows, or where a feature does not vary there. Infinite values count as missing.
     """
     number = lambda f: F.when(F.abs(F.col(f).cast("double")) < float("inf"), F.col(f).cast("double"))  # noqa: E731  not for NaN either
@@ -145,20 +163,46 @@ def spearman_pairs(df: DataFrame, features: list[str], listwise: bool = True, mi
     parts = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(a[0]).alias("a"), F.lit(b[0]).alias("b"), F.array(*[F.lit(i) for i in sorted({*a, *b})]).alias("of")) for s, (a, b) in enumerate(sets)])
     here = F.filter(parts, lambda p: F.get("v", p["a"]).isNotNull() & F.get("v", p["b"]).isNotNull())
     long = rows.select("row", "v", F.explode(here).alias("p")).select("row", F.col("p.s").alias("s"), F.inline(F.transform("p.of", lambda i: F.struct(i.alias("i"), F.get("v", i).alias("value")))))
-    ranked = long.join(value_ranks(long, ["s", "i"]), ["s", "i", "value"])
+    ranks = staged(value_ranks(long, ["s", "i"]))
     count = {r["s"]: r["n"] for r in rows.select(F.explode(here).alias("p")).groupBy("p.s").agg(F.count("*").alias("n")).collect()}
-    together = ranked.groupBy("s", "row").agg(F.sort_array(F.collect_list(F.struct("i", "rank"))).alias("r")).select("s", F.transform("r", lambda x: x["rank"]).alias("r"))
+    known = small_domains(ranks)
+    members = [sorted({*a, *b}) for a, b in sets]
+    few, many = ([[i for i in of if ((s, i) in known) == there] for s, of in enumerate(members)] for there in (True, False))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = matrix(b.column("v"))
+            for s, (first, second) in enumerate(sets):
+                at = np.flatnonzero(np.isfinite(v[:, first[0]]) & np.isfinite(v[:, second[0]]))
+                x, n = v[at], len(at)
+                found = [known[s, i][1][np.searchsorted(known[s, i][0], x[:, i])] for i in few[s]]
+                lists = lambda flat, width: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), flat)  # noqa: B023, E731
+                small = lists(pa.array(np.stack(found, axis=1).ravel() if found else np.zeros(0)), len(few[s]))
+                left = pa.StructArray.from_arrays([pa.array(np.tile(many[s], n).astype(np.int32)), pa.array(x[:, many[s]].ravel())], ["i", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), b.column("row").take(pa.array(at)), small, lists(left, len(many[s]))], ["s", "row", "small", "large"])
+
+    parts = rows.select("row", "v").mapInArrow(look_up, "s int, row bigint, small array<double>, large array<struct<i:int,value:double>>")
+    together = parts.filter(F.size("large") == 0).select("s", "small", F.array().cast("array<double>").alias("large"))
+    if any(many):  # only values of large domains are dealt, and one of a row takes what is known of it along
+        dealt = parts.filter(F.size("large") > 0).select("s", "row", "small", F.posexplode("large").alias("j", "l")).select("s", "row", F.when(F.col("j") == 0, F.col("small")).alias("small"), "l.i", "l.value")
+        met = dealt.join(ranks, ["s", "i", "value"])
+        if max(map(len, many)) == 1:
+            met = met.select("s", "small", F.array("rank").alias("large"))
+        else:
+            met = met.groupBy("s", "row").agg(F.first("small", ignorenulls=True).alias("small"), F.sort_array(F.collect_list(F.struct("i", "rank"))).alias("r")).select("s", "small", F.transform("r", lambda x: x["rank"]).alias("large"))
+        together = together.unionByName(met) if not all(many) else met
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             which = b.column("s").to_numpy()
             for s in np.unique(which).tolist():
-                x = matrix(b.column("r").filter(pa.array(which == s))) - (count[s] + 1) / 2
+                own = pa.array(which == s)
+                x = np.concatenate([matrix(b.column(c).filter(own)) for c, of in (("small", few[s]), ("large", many[s])) if of], axis=1) - (count[s] + 1) / 2
                 total[s] = total.get(s, 0) + x.T @ x
         for s, t in total.items():
-            i, j = np.triu_indices(len(t))
-            of = np.array(sorted({*sets[s][0], *sets[s][1]}))
+            of = np.array([*few[s], *many[s]])
+            i, j = np.nonzero(of[:, None] <= of[None])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), s, np.int32)), pa.array(of[i].astype(np.int32)), pa.array(of[j].astype(np.int32)), pa.array(t[i, j])], ["s", "i", "j", "xy"])
 
     m = together.mapInArrow(products, "s int, i int, j int, xy double").groupBy("s", "i", "j").agg(F.sum("xy").alias("xy"))

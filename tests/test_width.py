@@ -25,7 +25,11 @@ def pairs_of(df):
     return {(r["f1"], r["f2"]): r["corr"] for r in df.collect()}
 
 
-def test_pairwise_spearman_ranks_each_pair_anew(frame):
+@pytest.mark.parametrize(("most", "room"), [(20_000, 2_000_000), (0, 0), (70, 100), (130, 2_000_000)])
+def test_pairwise_spearman_ranks_each_pair_anew(frame, monkeypatch, most, room):
+    """Domains looked up in tasks: all, none, one, some."""
+    real = selection.small_domains
+    monkeypatch.setattr(selection, "small_domains", lambda ranks: real(ranks, most, room))
     pdf = holes()
     names = list(pdf.columns)
     want = {}
@@ -42,6 +46,18 @@ def test_pairwise_spearman_ranks_each_pair_anew(frame):
     assert {k for k, v in few.items() if v is None} == {k for k in want if (pdf[k[0]].notna() & pdf[k[1]].notna()).sum() < 150} != set()
 
 
+@pytest.mark.parametrize("most", [0, 60, 299, 20_000])
+def test_listwise_spearman_with_domains_of_any_size(frame, monkeypatch, most):
+    real = selection.small_domains
+    monkeypatch.setattr(selection, "small_domains", lambda ranks: real(ranks, most))
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "b": rng.integers(0, 5, 300) * 1.0, "c": rng.integers(0, 50, 300) * 1.0, "d": rng.integers(0, 2, 300) - 0.0})
+    pdf.loc[3, "c"] = np.nan
+    want = pdf.dropna().corr("spearman")
+    got = pairs_of(selection.spearman_pairs(as_table(frame, pdf), list("abcd")))
+    assert got == {(a, b): pytest.approx(want.loc[a, b], abs=1e-12) for i, a in enumerate("abcd") for b in "abcd"[i:]}
+
+
 def test_spearman_of_odd_columns(frame):
     df = frame([(1.0, None, 3.0, float("nan")), (2.0, None, 3.0, float("inf")), (None, 5.0, 3.0, 1.0), (None, 6.0, 3.0, 2.0)], "a double, b double, c double, d double")
     got = pairs_of(selection.spearman_pairs(df, list("abcd"), listwise=False))
