@@ -318,9 +318,9 @@ def frequent_words(docs: DataFrame, text_col: str, size: int, pattern: str = UNI
             return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(units(t, pattern))
-                if len(seen) > 500_000:
+            for i in range(b.num_rows):
+                seen.update(units(b.column(0)[i].as_py(), pattern))
+                if len(seen) > 250_000:
                     yield rows()
                     seen.clear()
         yield rows()
@@ -332,7 +332,7 @@ def frequent_words(docs: DataFrame, text_col: str, size: int, pattern: str = UNI
 class WordIds:
     """The ids of words by number: those of the word table first, then those that a task has met, a bounded number of them."""
 
-    def __init__(self, v: Vocabulary, words: list[str], sizes: np.ndarray, ids: np.ndarray, remember: int = 300_000):
+    def __init__(self, v: Vocabulary, words: list[str], sizes: np.ndarray, ids: np.ndarray, remember: int = 100_000):
         self.lattice, self.remember, self.table, self.pattern = ArrayLattice(v), remember, len(words), v.pattern
         self.index = Numbered(zip(words, range(len(words)), strict=True))
         self.sizes, self.starts, self.ids = sizes, np.cumsum(sizes) - sizes, ids
@@ -376,7 +376,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, kind: str = "bpe", id_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordIds(*shared.value)
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             done = 0
             for run in by_bytes([t or "" for t in b.column(b.schema.names.index(text_col)).to_pylist()], batch_bytes):
                 flat, sizes = encoder.encode(run)
