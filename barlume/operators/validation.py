@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlume.operators.selection import benjamini_hochberg, grouped_scores, key_schema, ksg, ksg_many
-from barlume.plans.staging import summed
+from barlume.plans.staging import staged, summed
 
 LEAST = 100  # rows below which two targets are not compared
 LEAST_SPLIT = 10  # rows below which a part of a split is not scored
@@ -92,8 +92,9 @@ def two_target_report(df: DataFrame, row_id: str, features: list[str], first: st
     """
     by = by or []
     names, z = [*by, "feature"], NormalDist().inv_cdf(0.5 + confidence / 2)
-    boot = drawn_scores(df, row_id, features, [first, second], "bootstrap", replicates, neighbors, seed, by, **options)
-    test = drawn_scores(df, row_id, features, [first, second], "permutation", replicates, neighbors, seed + 2000, by, **options)
+    # draws are dear and read more than once, so they are written
+    boot = staged(drawn_scores(df, row_id, features, [first, second], "bootstrap", replicates, neighbors, seed, by, **options))
+    test = staged(drawn_scores(df, row_id, features, [first, second], "permutation", replicates, neighbors, seed + 2000, by, **options))
     ends = []
     for i, t in enumerate(("first", "second")):
         seen, spread = F.get(F.first("observed"), F.lit(i)), F.stddev_samp(F.get("value", F.lit(i)))
