@@ -56,7 +56,7 @@ def drawn_scores(df: DataFrame, row_id: str, features: list[str], targets: list[
             own = x if kind == "permutation" else x[at]
             return [(own, y[at], np.random.default_rng([seed, r, 1])) for y in ys]
 
-        out, own, some = [], range(number * block, min(replicates, number * block + block)), max(1, 20_000 // (n * m))
+        out, own, some = [], range(number * block, min(replicates, number * block + block)), max(1, 40_000 // (n * m))
         for i in range(0, len(own), some):
             flat = ksg_many([s for r in own[i : i + some] for s in series(r)], neighbors)
             out += [flat[j : j + m] for j in range(0, len(flat), m)]
