@@ -316,6 +316,35 @@ def test_small_memory_of_words():
     assert [list(x) for t in texts for x in e.encode([t])] == library_ids(texts)
 
 
+def test_words_split_in_arrays_equal_the_library():
+    rng = random.Random(7)
+    parts = ["'", "'s", "'re", "'ll", "'ve", "'d", "'l", "'r", " ", "  ", "\n", "\t", "\r", "a", "é", "ÿ", "s", "re", "ll", "1", "9", ".", "$", "-"]
+    e = byte_bpe.ByteBpe(BPE, remember=500)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(3000)]
+    want = library_ids(texts)
+    assert all(map(e.plain, texts))
+    for i in range(0, len(texts), 7):
+        assert [list(x) for x in e.encode(texts[i : i + 7])] == want[i : i + 7]
+        assert e.count(texts[i : i + 7]).tolist() == [len(w) for w in want[i : i + 7]]
+
+
+def test_a_word_is_looked_up_once_in_a_run():
+    class Counted(byte_bpe.Numbered):
+        lookups = 0
+
+        def __getitem__(self, key):
+            self.lookups += 1
+            return super().__getitem__(key)
+
+    texts = ["one two three, it's two\n" * 100] * 20
+    for what in ("encode", "count"):
+        e = byte_bpe.ByteBpe(BPE)
+        e.index = Counted()
+        got = getattr(e, what)(texts)
+        assert [list(x) if what == "encode" else [0] * x for x in got] == [w if what == "encode" else [0] * len(w) for w in library_ids(texts)]
+        assert e.index.lookups == len(e.index) == 7
+
+
 # ---- 5
 
 
