@@ -78,14 +78,17 @@ class Lattice:
                     yield end, n, live[hit], ids[at[hit]]
 
 
-def grids(words: list[str], most: int = 20_000, cells: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, code points, sizes) of words of like length, a bounded number at a time."""
+def grids(words: list[str], most: int = 20_000, cells: int = 250_000, squares: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, code points, sizes) of words of like length, a bounded number at a time.
+
+    cells bounds the words times their length, or its square if squares; edges() alone takes some hundred bytes a code point.
+    """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     i = 0
     while i < len(order):
         at = order[i : i + most]
-        at = at[: max(1, np.searchsorted(np.arange(1, len(at) + 1) * sizes[at], cells, "right"))]
+        at = at[: max(1, np.searchsorted(np.arange(1, len(at) + 1) * sizes[at] ** (2 if squares else 1), cells, "right"))]
         i += len(at)
         width = int(sizes[at[-1]])
         flat = "".join(words[j].ljust(width, "\0") for j in at)
@@ -183,21 +186,21 @@ def learn(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_col:
     pieces = vocabulary(model_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(seen: dict[str, Counter]) -> pa.RecordBatch:
-            lang = [k for k, c in seen.items() for _ in c]
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([w for c in seen.values() for w in c], pa.string()), pa.array([n for c in seen.values() for n in c.values()], pa.int64())], ["lang", "word", "n"])
+        def rows(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+            while seen:  # a language's counts go before the next one's are laid out
+                lang, c = seen.popitem()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c, pa.string(), size=len(c)), pa.array(c.values(), pa.int64(), size=len(c))], ["lang", "word", "n"])
 
         seen: dict[str, Counter] = {}
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = words_of(text)
                 if own:
                     seen.setdefault(lang, Counter()).update(own)
                     seen[lang][""] += 1  # documents
                 if sum(map(len, seen.values())) > 400_000:
-                    yield rows(seen)
-                    seen = {}
-        yield rows(seen)
+                    yield from rows(seen)
+        yield from rows(seen)
 
     with Scratch(docs.sparkSession) as scratch:
         labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())

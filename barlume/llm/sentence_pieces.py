@@ -182,7 +182,7 @@ class ArrayLattice:
             add(np.array([row]), np.array([len(ids)]), np.array(ids))
 
         short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= WIDE)
-        for at, grid, lengths in grids([words[i] for i in short], 8192):
+        for at, grid, lengths in grids([words[i] for i in short], 8192, squares=True):
             rows = short[at]
             score, piece = self.table(grid, lengths)
             bounds, count = self.merge(score, lengths) if self.v.kind == "bpe" else self.viterbi(grid, lengths)
@@ -314,8 +314,8 @@ def frequent_words(docs: DataFrame, text_col: str, size: int, pattern: str = UNI
         seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            kept = {w: n for w, n in seen.items() if n > 1 and len(w) <= WIDE}
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
+            kept = [w for w, n in seen.items() if n > 1 and len(w) <= WIDE]
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([seen[w] for w in kept], pa.int64())], ["word", "n"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -347,9 +347,15 @@ class WordIds:
         """The ids of the texts, one after the other, and the number of ids of each."""
         if len(self.index) > self.table + self.remember:
             self.forget()
-        words, known = [units(t, self.pattern) for t in texts], len(self.index)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
+        known, counts = len(self.index), []
+
+        def words() -> Iterator[list[str]]:
+            for t in texts:  # only one text's words are there at a time
+                found = units(t, self.pattern)
+                counts.append(len(found))
+                yield found
+
+        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words())), np.int64)
         if len(self.index) > known:
             ids, starts, sizes = self.lattice.encode(list(itertools.islice(self.index, known, None)))
             self.starts, self.sizes = np.concatenate([self.starts, len(self.ids) + starts]), np.concatenate([self.sizes, sizes])
@@ -360,13 +366,16 @@ class WordIds:
         return flat, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", table_words: int = 150_000, batch_bytes: int = 1 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, *, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table_words: int = 150_000, batch_bytes: int = 1 << 20) -> DataFrame:
     """docs with n_tokens and ids (array of int) added: the ids of each whole text.
 
     Null and empty texts have no ids, texts of any length are encoded whole, repeated rows are encoded each, an empty table
-    gives an empty one. All columns of docs are kept; columns of it named n_tokens or ids are overwritten.
+    gives an empty one. All columns of docs are kept, or those named in keep, so that texts need not come back from the
+    tasks; columns of docs named n_tokens or ids are overwritten.
     """
     docs = docs.drop("n_tokens", "ids")
+    keep = docs.columns if keep is None else keep
+    docs = docs.select(*keep, *[text_col] * (text_col not in keep))
     v = Vocabulary.load(model_path, kind)
     with Scratch(docs.sparkSession) as scratch:
         words = scratch.stage(frequent_words(docs, text_col, table_words, v.pattern), "words")
@@ -380,12 +389,12 @@ def encode_documents(docs: DataFrame, model_path: str, *, kind: str = "bpe", id_
             done = 0
             for run in by_bytes([t or "" for t in b.column(b.schema.names.index(text_col)).to_pylist()], batch_bytes):
                 flat, sizes = encoder.encode(run)
-                part = b.slice(done, len(run))
+                part = b.slice(done, len(run)).select(keep)
                 done += len(run)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64()), lists], [*part.schema.names, "n_tokens", "ids"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return docs.mapInArrow(encode, f"{fields}, n_tokens bigint, ids array<int>")
 
 

@@ -23,6 +23,14 @@ LEAST_POSTERIOR = 0.5
 FEW = 1_000_000
 #: The key of the surrogates; a deployment sets its own.
 PII_KEY = "corpus-pipeline"
+#: Bytes of rows that go to Python at once. Spark builds such a batch outside its heap, one for each running task; the
+#: default of 64 MB is not needed, as the tasks take slices.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of up to BATCH_BYTES from here on. Who calls a stage runs it later, so the session keeps that."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +39,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Ids, null or repeated, decide only which rows are learned from. Each row is judged by its own whole text; an empty
     table stays empty, further columns come through.
     """
+    small_batches(spark)
     model = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"))), PIECES)
     judged = language_id.predict(docs, model, keep=F.struct(*docs.columns))
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).select("kept.*")
@@ -64,6 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     compared and looked up, so repeated and null ids do no harm. An empty table stays empty, texts are compared whole,
     further columns come through, whatever their names.
     """
+    small_batches(spark)
     text, null, number, stays = fresh(docs, "text_key", "id_is_null", "id_or_zero", "stays")
     row = [null, number, text]
     texts = docs.withColumns({text: text_key(), null: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0))})
@@ -101,7 +111,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids) of every row: no ids for null and empty texts, nothing for an empty table."""
-    return sentence_pieces.encode_documents(docs, PIECES).select("doc_id", "lang", "source", "n_tokens", "ids")
+    small_batches(spark)
+    return sentence_pieces.encode_documents(docs, PIECES, keep=["doc_id", "lang", "source"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
