@@ -70,6 +70,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b by IEEE 754: infinite or NaN where b is 0, null where one is null."""
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
+
+
+def logarithm(x: Column) -> Column:
+    """The natural logarithm by IEEE 754: minus infinity of 0, NaN of what is below, null of null."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
 def skip(df: DataFrame, n: int, spec: BarSpec = BARS) -> DataFrame:
     """Without the first n rows of each symbol."""
     return df.withColumn("__n", F.row_number().over(spec.order)).filter(F.col("__n") > n).drop("__n")

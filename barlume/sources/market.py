@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlume.plans.spec import logarithm, quotient
+
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet dataset of bars; ValueError for another kind of file."""
@@ -65,9 +67,8 @@ def open_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log returns between consecutive events of a symbol within a day: (symbol, bar, seq, r)."""
+    """Log returns between consecutive events of a symbol within a day: (symbol, bar, seq, r); to and from a value of 0 they are infinite, between two NaN."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value", bucket(F.col("ts"), "day").alias("bar"))
-    return e.selectExpr(
-        "symbol", "bar", "row_number() OVER (PARTITION BY symbol, bar ORDER BY ts) - 1 AS seq",
-        "ln(value / lag(value) OVER (PARTITION BY symbol, bar ORDER BY ts)) AS r",
-    ).filter("r IS NOT NULL")
+    order = Window.partitionBy("symbol", "bar").orderBy("ts")
+    x = e.select("symbol", "bar", (F.row_number().over(order) - 1).alias("seq"), "value", F.lag("value").over(order).alias("before"))
+    return x.select("symbol", "bar", "seq", logarithm(quotient(F.col("value"), F.col("before"))).alias("r")).filter("r IS NOT NULL")
